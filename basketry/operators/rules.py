@@ -78,7 +78,7 @@ def rules_by_category(rules: DataFrame, limit: int = RULES_PER_KEY) -> DataFrame
     ranking = Window.partitionBy("category_id").orderBy(*by_lift())
     ranked = (
         rules.withColumn("category_id", F.explode("antecedent"))
-        .withColumn("rank", F.row_number().over(ranking))
+        .withColumn("rank", F.row_number().over(ranking).cast("bigint"))
         .filter(F.col("rank") <= limit)
     )
     return displayed(ranked)
@@ -124,7 +124,7 @@ def rules_for_customers(
         bought.withColumn("category_id", F.explode("bought"))
         .join(keyed_by_rarest_item(rules), "category_id")
         .filter(is_subset(F.col("antecedent"), F.col("bought")))
-        .withColumn("rank", F.row_number().over(ranking))
+        .withColumn("rank", F.row_number().over(ranking).cast("bigint"))
         .filter(F.col("rank") <= limit)
         .drop("category_id")
     )
@@ -204,7 +204,7 @@ def products_by_category(catalog: DataFrame, limit: int = PRODUCTS_SHOWN) -> Dat
     ranking = Window.partitionBy("category_id").orderBy("product_code")
     return (
         catalog.select("product_code", "category_id")
-        .withColumn("rank", F.row_number().over(ranking))
+        .withColumn("rank", F.row_number().over(ranking).cast("bigint"))
         .filter(F.col("rank") <= limit)
         .drop("rank")
     )

@@ -111,12 +111,12 @@ def cluster_labels(profiles: DataFrame) -> DataFrame:
     best_first = Window.orderBy(F.desc("score"), F.desc("cluster_id"))
     return (
         profiles.withColumn("score", scaled("avg_frequency") - scaled("avg_recency_days"))
-        .withColumn("rank", F.row_number().over(best_first))
+        .withColumn("rank", F.row_number().over(best_first).cast("bigint"))
         .select(
             "cluster_id",
             "score",
             "rank",
-            F.element_at(names, F.least("rank", F.lit(len(SEGMENT_LABELS)))).alias("label"),
+            F.element_at(names, F.least("rank", F.lit(len(SEGMENT_LABELS))).cast("int")).alias("label"),
         )
     )
 
@@ -157,33 +157,40 @@ def customer_segments(clusters: DataFrame, customer_id: int | None = None) -> Da
     )
 
 
-def pca_scatter(clusters: DataFrame, max_points: int = MAX_POINTS, seed: int = SEED) -> DataFrame:
-    """Two principal components of standardised behaviour for a sample of customers.
+def pca_projection(features: DataFrame) -> DataFrame:
+    """First two principal components of every customer's standardised behaviour.
 
-    Axes are fitted on all customers; the sample, drawn by a seeded hash so that
-    it is repeatable, only limits the points returned.  Each axis points to the
-    side of its largest loading.  Scaling is by population deviation: one
-    constant factor away from the sample deviation Spark divides by.
+    Each axis points to the side of its largest loading.  Scaling is by
+    population deviation: one constant factor away from the sample deviation
+    Spark divides by.
     """
-    features = clusters.select("customer_id", "cluster", *PCA_COLUMNS).fillna(0)
-    vectors = VectorAssembler(inputCols=PCA_COLUMNS, outputCol="raw").transform(features)
+    vectors = VectorAssembler(inputCols=PCA_COLUMNS, outputCol="raw").transform(
+        features.fillna(0, PCA_COLUMNS)
+    )
     scaler = StandardScaler(inputCol="raw", outputCol="scaled", withMean=True, withStd=True)
     scaled = scaler.fit(vectors).transform(vectors)
     model = PCA(k=2, inputCol="scaled", outputCol="components").fit(scaled)
-    loadings = model.pc.toArray()
-    signs = [1.0 if axis[abs(axis).argmax()] >= 0 else -1.0 for axis in loadings.T]
-
-    customers = clusters.count()
+    signs = [1.0 if axis[abs(axis).argmax()] >= 0 else -1.0 for axis in model.pc.toArray().T]
+    customers = features.count()
     population = (customers / (customers - 1)) ** 0.5 if customers > 1 else 1.0
     components = vector_to_array("components")
+    kept = [c for c in ("customer_id", "cluster") if c in features.columns]
+    return model.transform(scaled).select(
+        *kept,
+        F.round(components[0] * F.lit(signs[0] * population), 4).alias("pca_x"),
+        F.round(components[1] * F.lit(signs[1] * population), 4).alias("pca_y"),
+    )
+
+
+def pca_scatter(clusters: DataFrame, max_points: int = MAX_POINTS, seed: int = SEED) -> DataFrame:
+    """Projected customers with their cluster, at most ``max_points`` of them.
+
+    Axes are fitted on all customers; the sample, drawn by a seeded hash so that
+    it is repeatable, only limits the points returned.
+    """
     return (
-        model.transform(
-            scaled.orderBy(F.xxhash64(F.lit(seed), "customer_id"), "customer_id").limit(max_points)
-        )
-        .select(
-            "customer_id",
-            F.round(components[0] * F.lit(signs[0] * population), 4).alias("pca_x"),
-            F.round(components[1] * F.lit(signs[1] * population), 4).alias("pca_y"),
-            "cluster",
-        )
+        pca_projection(clusters)
+        .orderBy(F.xxhash64(F.lit(seed), "customer_id"), "customer_id")
+        .limit(max_points)
+        .select("customer_id", "pca_x", "pca_y", "cluster")
     )
