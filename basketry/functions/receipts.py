@@ -23,7 +23,20 @@ def year_month(date: Column) -> Column:
     return F.date_format(date, "yyyy-MM")
 
 
+def tokens(products_raw: Column) -> Column:
+    return F.split(F.trim(products_raw), " ")
+
+
+def whole_number(token: Column) -> Column:
+    """Number in a text, NULL for anything else.
+
+    The pattern is tried first because a failed cast is far dearer than a
+    failed match; the cast still guards against numbers that are too long.
+    """
+    numeric = token.rlike(r"^\s*[+-]?[0-9]+\s*$")
+    return F.when(numeric, token.try_cast("bigint"))
+
+
 def product_codes(products_raw: Column) -> Column:
     """Numeric tokens of a space-separated text; anything else is left out."""
-    tokens = F.split(F.trim(products_raw), " ")
-    return F.filter(F.transform(tokens, lambda t: t.try_cast("bigint")), lambda c: c.isNotNull())
+    return F.filter(F.transform(tokens(products_raw), whole_number), lambda code: code.isNotNull())

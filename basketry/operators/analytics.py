@@ -2,7 +2,7 @@
 
 import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketry.functions.stats import correlation, weighted_quartiles
@@ -14,7 +14,6 @@ from basketry.operators.filters import (
     check_limit,
 )
 from basketry.operators.summary import unique_categories
-from basketry.schemas import RECEIPT_KEY
 
 Date = datetime.date | str | None
 
@@ -47,8 +46,8 @@ def basket_sizes(
 
 
 def boxplot(
-    lines: DataFrame,
     baskets: DataFrame,
+    categories: DataFrame,
     dimension: str = "category",
     limit: int = 15,
     start_date: Date = None,
@@ -57,44 +56,42 @@ def boxplot(
 ) -> DataFrame:
     """Five-number summary of basket size per category name or per customer."""
     if check_choice("dimension", dimension, DIMENSIONS) == "category":
-        return boxplot_category(lines, limit, start_date, end_date, store_id)
+        return boxplot_category(baskets, categories, limit, start_date, end_date, store_id)
     return boxplot_customer(baskets, limit, start_date, end_date, store_id)
 
 
 def boxplot_category(
-    lines: DataFrame,
+    baskets: DataFrame,
+    categories: DataFrame,
     limit: int = 15,
     start_date: Date = None,
     end_date: Date = None,
     store_id: int | None = None,
 ) -> DataFrame:
-    """Box plot by category name.
+    """Box plot by category name; categories without a name have no box.
 
-    Two categories may share a name, so a transaction's names are made distinct
-    before its size is counted under them: one shuffle by transaction, whose
-    groups are never longer than the list of categories.  Lines without a name
-    count towards the size and have no label.
+    Categories may share a name, and a basket that holds several of them counts
+    once under it: at the first of them it holds.  That is decided inside the
+    basket's own row, so the baskets are never shuffled, only counted.
     """
-    names = F.col("names")
-    label_rows = F.transform(
-        F.array_distinct(names),
-        lambda name: F.struct(
-            name.alias("label"),
-            F.size(F.filter(names, lambda other: other == name)).alias("lines_of_label"),
-        ),
+    label = Window.partitionBy("category_name")
+    names = categories.filter(F.col("category_name").isNotNull()).select(
+        "category_id",
+        F.col("category_name").alias("label"),
+        F.collect_set("category_id").over(label).alias("same_name"),
     )
-    per_transaction = (
-        between(lines, start_date, end_date, store_id)
-        .groupBy(*RECEIPT_KEY)
-        .agg(
-            F.count(F.lit(1)).alias("basket_size"),
-            F.collect_list("category_name").alias("names"),
-        )
+    category, held = F.col("category_id"), F.col("categories")
+    counted_here = (F.size("same_name") == 1) | (
+        F.array_min(F.array_intersect("same_name", held)) == category
     )
     counts = (
-        per_transaction.select("basket_size", F.inline(label_rows))
+        between(baskets, start_date, end_date, store_id)
+        .select("basket_size", "categories", F.explode("categories").alias("category_id"))
+        .join(names, "category_id")
         .groupBy("label", "basket_size")
-        .agg(F.count(F.lit(1)).alias("transactions"), F.sum("lines_of_label").alias("weight"))
+        .agg(
+            F.count_if(counted_here).alias("transactions"), F.count(F.lit(1)).alias("weight")
+        )
     )
     return _five_numbers(counts, limit)
 

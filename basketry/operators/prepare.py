@@ -6,11 +6,18 @@ on the map side, so a receipt key that fills a third of the input still reaches
 its reducer as a few short category sets.
 """
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketry.functions.labels import id_list
-from basketry.functions.receipts import iso_date, product_codes, transaction_id, year_month
+from basketry.functions.receipts import (
+    iso_date,
+    product_codes,
+    tokens,
+    transaction_id,
+    whole_number,
+    year_month,
+)
 from basketry.schemas import RECEIPT_KEY, TRANSACTION_COLUMNS
 
 
@@ -23,23 +30,37 @@ def with_transaction(df: DataFrame) -> DataFrame:
     })
 
 
+def receipt_key() -> list[Column]:
+    return [
+        iso_date(F.col("date").cast("string")).alias("date"),
+        F.col("store_id").cast("bigint").alias("store_id"),
+        F.col("customer_id").cast("bigint").alias("customer_id"),
+    ]
+
+
 def parse_receipts(raw: DataFrame) -> DataFrame:
     """Raw receipts with a DATE, a transaction id and their product codes.
 
     Receipts without a readable date or without a single numeric token go.
     """
     parsed = raw.select(
-        iso_date(F.col("date").cast("string")).alias("date"),
-        F.col("store_id").cast("bigint").alias("store_id"),
-        F.col("customer_id").cast("bigint").alias("customer_id"),
-        product_codes(F.col("products_raw")).alias("products"),
+        *receipt_key(), product_codes(F.col("products_raw")).alias("products")
     ).filter(F.col("date").isNotNull() & (F.size("products") > 0))
     return with_transaction(parsed).select(*TRANSACTION_COLUMNS, "products")
 
 
-def receipt_items(receipts: DataFrame) -> DataFrame:
-    """One row per product code on a parsed receipt."""
-    return receipts.select(*RECEIPT_KEY, F.explode("products").alias("product_code"))
+def receipt_items(raw: DataFrame) -> DataFrame:
+    """One row per product code on a raw receipt.
+
+    Tokens are exploded first and then read one per row, which stays inside
+    generated code; the same codes as ``parse_receipts`` finds.
+    """
+    return (
+        raw.select(*receipt_key(), F.explode(tokens(F.col("products_raw"))).alias("token"))
+        .withColumn("product_code", whole_number(F.col("token")))
+        .filter(F.col("date").isNotNull() & F.col("product_code").isNotNull())
+        .select(*RECEIPT_KEY, "product_code")
+    )
 
 
 def categorise(items: DataFrame, catalog: DataFrame) -> DataFrame:

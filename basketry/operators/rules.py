@@ -16,13 +16,24 @@ PRODUCTS_SHOWN = 50
 
 
 def mine_rules(
-    baskets: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE
+    baskets: DataFrame,
+    min_support: float = MIN_SUPPORT,
+    min_confidence: float = MIN_CONFIDENCE,
+    partitions: int | None = None,
 ) -> FPGrowthModel:
-    """FP-Growth over the baskets' category sets."""
-    items = baskets.select(F.array_distinct("categories").alias("categories"))
+    """FP-Growth over the baskets' category sets.
+
+    ``baskets`` should be a stored table: mining reads it several times.  Its
+    conditional trees are spread over ``partitions`` tasks, by default as many
+    as any other shuffle has; Spark ML alone would take one per input file.
+    """
+    spark = baskets.sparkSession
     return FPGrowth(
-        itemsCol="categories", minSupport=min_support, minConfidence=min_confidence
-    ).fit(items)
+        itemsCol="categories",
+        minSupport=min_support,
+        minConfidence=min_confidence,
+        numPartitions=partitions or int(spark.conf.get("spark.sql.shuffle.partitions")),
+    ).fit(baskets.select(F.array_distinct("categories").alias("categories")))
 
 
 def frequent_itemsets(model: FPGrowthModel) -> DataFrame:

@@ -71,8 +71,8 @@ def train_segments(features: DataFrame, ks: Iterable[int] = K_RANGE, seed: int =
 
 
 def _silhouette(model: KMeansModel, scaled: DataFrame) -> float | None:
-    """Mean silhouette, None when all customers fell into one cluster."""
-    if sum(size > 0 for size in model.summary.clusterSizes) < 2:
+    """Mean silhouette, None when all customers are alike and share one cluster."""
+    if len(model.clusterCenters()) < 2:
         return None
     evaluator = ClusteringEvaluator(
         featuresCol="scaled_features", predictionCol="cluster", metricName="silhouette"

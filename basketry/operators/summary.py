@@ -187,3 +187,8 @@ def category_map(lines: DataFrame) -> DataFrame:
         .withColumn("display_label", display_label(F.col("category_name"), F.col("category_id")))
         .orderBy("category_id")
     )
+
+
+def category_names(lines: DataFrame) -> DataFrame:
+    """One name per category that occurs: any it has in the lines rather than none."""
+    return lines.groupBy("category_id").agg(F.max("category_name").alias("category_name"))

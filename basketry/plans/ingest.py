@@ -50,8 +50,8 @@ def bulk_load(
     lineage back to the raw text.
     """
     writers.write_table(catalog, store.catalog)
-    items = prepare.receipt_items(prepare.parse_receipts(raw))
-    baskets = prepare.build_baskets(prepare.categorise(items, readers.read_catalog(spark, store.catalog)))
+    products = readers.read_catalog(spark, store.catalog)
+    baskets = prepare.build_baskets(prepare.categorise(prepare.receipt_items(raw), products))
 
     seen = writers.write_partitioned(
         baskets,

@@ -2,6 +2,7 @@
 
 from collections.abc import Callable
 
+from pyspark.ml.fpm import FPGrowthModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,7 +37,7 @@ FILTERED_REPORTS: dict[str, Callable[..., DataFrame]] = {
     "time_series_week": lambda t, **f: analytics.time_series(t.baskets, "week", **f),
     "time_series_month": lambda t, **f: analytics.time_series(t.baskets, "month", **f),
     "basket_sizes": lambda t, **f: analytics.basket_sizes(t.baskets, **f),
-    "boxplot_category": lambda t, **f: analytics.boxplot_category(t.lines, **f),
+    "boxplot_category": lambda t, **f: analytics.boxplot_category(t.baskets, t.categories, **f),
     "boxplot_customer": lambda t, **f: analytics.boxplot_customer(t.baskets, **f),
 }
 
@@ -57,7 +58,7 @@ def parsed_products(t: RetailTables) -> DataFrame:
 
 
 def lines_from_text(t: RetailTables) -> DataFrame:
-    items = prepare.receipt_items(prepare.parse_receipts(t.raw_receipts))
+    items = prepare.receipt_items(t.raw_receipts)
     return prepare.build_lines(prepare.categorise(items, t.catalog), t.categories)
 
 
@@ -87,23 +88,19 @@ def projection(t: RetailTables) -> DataFrame:
     return segments.pca_projection(stored)
 
 
-def type_itemsets(t: RetailTables) -> DataFrame:
-    return rules.frequent_itemsets(rules.mine_rules(t.type_baskets)).withColumn(
-        "items", id_list(F.col("items"))
-    )
+def type_rules(t: RetailTables) -> FPGrowthModel:
+    return rules.mine_rules(staged(t.type_baskets, "baskets"))
 
 
-def type_rules(t: RetailTables) -> DataFrame:
-    return staged(rules.association_rules(rules.mine_rules(t.type_baskets)), "rules")
+def size_rules(baskets: DataFrame) -> FPGrowthModel:
+    return rules.mine_rules(baskets, SIZE_SUPPORT, SIZE_CONFIDENCE)
 
 
-def size_itemsets(t: RetailTables) -> DataFrame:
-    model = rules.mine_rules(t.baskets, SIZE_SUPPORT, SIZE_CONFIDENCE)
+def itemset_texts(model: FPGrowthModel) -> DataFrame:
     return rules.frequent_itemsets(model).withColumn("items", id_list(F.col("items")))
 
 
-def size_rules(t: RetailTables) -> DataFrame:
-    model = rules.mine_rules(t.baskets, SIZE_SUPPORT, SIZE_CONFIDENCE)
+def stored_rules(model: FPGrowthModel) -> DataFrame:
     return staged(rules.association_rules(model), "rules")
 
 
@@ -119,17 +116,19 @@ def rule_texts(df: DataFrame) -> DataFrame:
 
 
 def rules_of_customers(t: RetailTables) -> DataFrame:
-    bought = rules.bought_categories(t.baskets)
-    used = rules.rules_for_customers(bought, size_rules(t))
+    baskets = staged(t.baskets, "baskets")
+    bought = rules.bought_categories(baskets)
+    used = rules.rules_for_customers(bought, stored_rules(size_rules(baskets)))
     return rule_texts(used.drop("bought"))
 
 
 def recommendations(t: RetailTables) -> DataFrame:
+    baskets = staged(t.baskets, "baskets")
     sides = F.transform(
         "rules_used",
         lambda r: F.concat(id_list(r["antecedent"]), F.lit(">"), id_list(r["consequent"])),
     )
-    return rules.recommend(t.baskets, size_rules(t)).select(
+    return rules.recommend(baskets, stored_rules(size_rules(baskets))).select(
         "customer_id",
         id_list(F.col("recommended_categories")).alias("recommended_categories"),
         F.array_join(sides, ";").alias("rules_used"),
@@ -137,7 +136,10 @@ def recommendations(t: RetailTables) -> DataFrame:
 
 
 def recommendations_with_cluster(t: RetailTables) -> DataFrame:
-    found = rules.recommend(t.baskets, size_rules(t), segmentation(t).clusters)
+    baskets = staged(t.baskets, "baskets")
+    features_table = staged(features.customer_features(baskets), "features")
+    clusters = segments.train_segments(features_table).clusters
+    found = rules.recommend(baskets, stored_rules(size_rules(baskets)), clusters)
     return found.select(
         "customer_id",
         "cluster",
@@ -207,12 +209,16 @@ REPORTS: dict[str, Callable[[RetailTables], DataFrame]] = {
     "customer_cluster": lambda t: segments.customer_segments(segmentation(t).clusters),
     "pca_projection": projection,
     "pca_scatter": lambda t: segments.pca_scatter(segmentation(t).clusters),
-    "frequent_itemsets": type_itemsets,
-    "frequent_itemsets_by_size": size_itemsets,
-    "association_rules": lambda t: rule_texts(type_rules(t)),
-    "association_rules_by_size": lambda t: rule_texts(size_rules(t)),
-    "top_rules": lambda t: rule_texts(rules.top_rules(type_rules(t))),
-    "rules_for_category": lambda t: rule_texts(rules.rules_by_category(size_rules(t))),
+    "frequent_itemsets": lambda t: itemset_texts(type_rules(t)),
+    "frequent_itemsets_by_size": lambda t: itemset_texts(size_rules(staged(t.baskets, "baskets"))),
+    "association_rules": lambda t: rule_texts(rules.association_rules(type_rules(t))),
+    "association_rules_by_size": lambda t: rule_texts(
+        rules.association_rules(size_rules(staged(t.baskets, "baskets")))
+    ),
+    "top_rules": lambda t: rule_texts(rules.top_rules(stored_rules(type_rules(t)))),
+    "rules_for_category": lambda t: rule_texts(
+        rules.rules_by_category(stored_rules(size_rules(staged(t.baskets, "baskets"))))
+    ),
     "rules_for_customer": rules_of_customers,
     "recommend_all": recommendations,
     "recommend_with_cluster": recommendations_with_cluster,

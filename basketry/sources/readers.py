@@ -2,11 +2,13 @@
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from basketry import schemas
+from basketry.functions.receipts import whole_number
 
 # Separator, encoding and the header of the product catalog.
 SEPARATOR = "|"
@@ -28,8 +30,8 @@ def clean_catalog(raw: DataFrame) -> DataFrame:
     """Rename the dotted header, read both columns as numbers, drop rows that are none."""
     code, category = (F.col(f"`{name}`") for name in CATALOG_HEADER)
     return raw.select(
-        code.try_cast("bigint").alias("product_code"),
-        category.try_cast("bigint").alias("category_id"),
+        whole_number(code).alias("product_code"),
+        whole_number(category).alias("category_id"),
     ).dropna()
 
 
@@ -93,6 +95,25 @@ def read_stored(spark: SparkSession, path: str, schema: StructType) -> DataFrame
     return spark.read.schema(schema).parquet(path)
 
 
+def read_partitions(
+    spark: SparkSession, path: str, schema: StructType, stores: list[int], months: list[str]
+) -> DataFrame:
+    """Partitions of the given stores and months; empty when none of them exists.
+
+    Only their folders are listed, so the cost of a small batch does not grow
+    with the number of partitions the table has gathered.
+    """
+    folders = "{}/store_id={{{}}}/year_month={{{}}}".format(
+        path, ",".join(str(s) for s in stores), ",".join(months)
+    )
+    try:
+        return spark.read.schema(schema).option("basePath", path).parquet(folders)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
     return read_stored(spark, path, schemas.CATALOG)
 

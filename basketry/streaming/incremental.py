@@ -8,7 +8,6 @@ still leaves the baskets right.  One writer at a time.
 """
 
 import datetime
-from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,19 +21,6 @@ from basketry.session import fresh_path
 from basketry.sources import readers, writers
 
 
-@dataclass(frozen=True)
-class Touched:
-    """Stores and months named by a batch; never more than the table has partitions."""
-
-    stores: list[int]
-    months: list[str]
-
-    def rows_of(self, stored: DataFrame) -> DataFrame:
-        return stored.filter(
-            F.col("store_id").isin(self.stores) & F.col("year_month").isin(self.months)
-        )
-
-
 def incoming_lines(incoming: DataFrame, categories: DataFrame) -> DataFrame:
     """Distinct named lines of incoming transactions.
 
@@ -69,24 +55,27 @@ def merge_batch(
     """
     new = incoming_lines(incoming, categories).persist()
     try:
+        # At most as many values as the tables have partitions.
         named = new.agg(
             F.collect_set("store_id").alias("stores"), F.collect_set("year_month").alias("months")
         ).first()
-        touched = Touched(sorted(named.stores), sorted(named.months))
-        if not touched.stores:
+        if not named.stores:
             return 0
+
+        def stored_lines() -> DataFrame:
+            return readers.read_partitions(
+                spark, store.lines, LINES, sorted(named.stores), sorted(named.months)
+            )
+
         key = [*RECEIPT_KEY, "category_id"]
-        stored = touched.rows_of(readers.read_lines(spark, store.lines)).select(*key)
         added = writers.write_partitioned(
-            new.join(stored, key, "left_anti"),
+            new.join(stored_lines().select(*key), key, "left_anti"),
             store.lines,
             mode="append",
             measures={"lines": F.count(F.lit(1))},
         )
         partitions = new.select(*PARTITION_COLUMNS).distinct()
-        rebuilt = touched.rows_of(readers.read_lines(spark, store.lines)).join(
-            partitions, PARTITION_COLUMNS, "left_semi"
-        )
+        rebuilt = stored_lines().join(partitions, PARTITION_COLUMNS, "left_semi")
         writers.write_partitioned(prepare.build_baskets(rebuilt), store.baskets)
         return added["lines"]
     finally:
