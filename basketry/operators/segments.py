@@ -47,19 +47,23 @@ def train_segments(features: DataFrame, ks: Iterable[int] = K_RANGE, seed: int =
     ``features`` should be a stored table: training reads it many times.  Rows
     are placed and ordered by customer, so that the seeded start is repeatable.
     """
+    ks = list(ks)
+    different = _different_customers(features, max(ks))
+    if different < min(ks):
+        raise ValueError(f"only {different} different customers for {min(ks)} segments")
     placed = features.repartition("customer_id").sortWithinPartitions("customer_id")
     scaled = scaled_features(placed).persist()
     try:
         best, tried = None, []
-        for k in ks:
+        for k in (k for k in ks if k <= different):
             model = KMeans(
                 k=k, seed=seed, featuresCol="scaled_features", predictionCol="cluster"
             ).fit(scaled)
             score = _silhouette(model, scaled)
             tried.append((k, score, model.summary.trainingCost))
             # A strict comparison keeps the first k among equals.
-            if best is None or (score if score is not None else -1.0) > best[0]:
-                best = (score if score is not None else -1.0, k, model)
+            if best is None or score > best[0]:
+                best = (score, k, model)
     finally:
         scaled.unpersist()
     _, best_k, model = best
@@ -70,10 +74,18 @@ def train_segments(features: DataFrame, ks: Iterable[int] = K_RANGE, seed: int =
     return Segmentation(model, assign_segments(model, scaled), selection)
 
 
-def _silhouette(model: KMeansModel, scaled: DataFrame) -> float | None:
-    """Mean silhouette, None when all customers are alike and share one cluster."""
-    if len(model.clusterCenters()) < 2:
-        return None
+def _different_customers(features: DataFrame, enough: int) -> int:
+    """Number of different feature rows, counted no further than ``enough``.
+
+    Spark's K-Means needs as many different rows as clusters.  The first rows
+    nearly always settle it; only if not are all rows compared.
+    """
+    behaviour = features.select(*FEATURE_COLUMNS)
+    found = behaviour.limit(1000).distinct().limit(enough).count()
+    return found if found == enough else behaviour.distinct().limit(enough).count()
+
+
+def _silhouette(model: KMeansModel, scaled: DataFrame) -> float:
     evaluator = ClusteringEvaluator(
         featuresCol="scaled_features", predictionCol="cluster", metricName="silhouette"
     )
@@ -172,7 +184,7 @@ def pca_projection(features: DataFrame) -> DataFrame:
     model = PCA(k=2, inputCol="scaled", outputCol="components").fit(scaled)
     signs = [1.0 if axis[abs(axis).argmax()] >= 0 else -1.0 for axis in model.pc.toArray().T]
     customers = features.count()
-    population = (customers / (customers - 1)) ** 0.5 if customers > 1 else 1.0
+    population = (customers / (customers - 1)) ** 0.5
     components = vector_to_array("components")
     kept = [c for c in ("customer_id", "cluster") if c in features.columns]
     return model.transform(scaled).select(
