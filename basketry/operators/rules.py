@@ -133,7 +133,7 @@ def rules_for_customers(
     ranking = Window.partitionBy("customer_id").orderBy(*by_lift())
     return (
         bought.withColumn("category_id", F.explode("bought"))
-        .join(keyed_by_rarest_item(rules), "category_id")
+        .join(keyed_by_rarest_item(best_per_antecedent(rules, limit)), "category_id")
         .filter(is_subset(F.col("antecedent"), F.col("bought")))
         .withColumn("rank", F.row_number().over(ranking).cast("bigint"))
         .filter(F.col("rank") <= limit)
@@ -141,6 +141,18 @@ def rules_for_customers(
     )
 
 
+def best_per_antecedent(rules: DataFrame, limit: int) -> DataFrame:
+    """The rules that can be among somebody's best ``limit``.
+
+    Rules with the same antecedent apply to the same customers and stand in the
+    same order for all of them, so past the first ``limit`` none is ever used.
+    """
+    ranking = Window.partitionBy("antecedent").orderBy(*by_lift())
+    return (
+        rules.withColumn("rank", F.row_number().over(ranking)).filter(F.col("rank") <= limit).drop("rank")
+    )
+
+
 def keyed_by_rarest_item(rules: DataFrame) -> DataFrame:
     """Rules with the antecedent item that the fewest antecedents mention."""
     mentions = (
@@ -169,12 +181,15 @@ def recommend(
     clusters: DataFrame | None = None,
     limit: int = RULES_PER_KEY,
     since=None,
+    customer_id: int | None = None,
 ) -> DataFrame:
-    """Recommendations for every customer to whom at least one rule applies.
+    """Recommendations for every customer, or one, to whom at least one rule applies.
 
     The rules are cut to the best ``limit`` before what the customer already
     bought is taken out, so the list may be empty although rules were used.
     """
+    if customer_id is not None:
+        baskets = baskets.filter(F.col("customer_id") == customer_id)
     used = F.sort_array(
         F.collect_list(
             F.struct("rank", "antecedent", "consequent", "support", "confidence", "lift")

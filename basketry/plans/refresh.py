@@ -1,6 +1,5 @@
 """Rebuild the models over all stored transactions."""
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 
 from basketry.operators import features, rules, segments
@@ -9,14 +8,6 @@ from basketry.session import staged
 from basketry.sources import readers, writers
 
 
-def table_exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.parquet(path)
-    except AnalysisException:
-        return False
-    return True
-
-
 def refresh_segments(spark: SparkSession, store: Store) -> segments.Segmentation:
     """Train on all customers, then store the model and every customer's cluster."""
     baskets = readers.read_baskets(spark, store.baskets)
@@ -43,8 +34,8 @@ def refresh_models(spark: SparkSession, store: Store, force: bool = False) -> di
     Returns which of the two were rebuilt.
     """
     rebuilt = {
-        "segments": force or not table_exists(spark, store.clusters),
-        "rules": force or not table_exists(spark, store.rules),
+        "segments": force or not readers.table_exists(spark, store.clusters),
+        "rules": force or not readers.table_exists(spark, store.rules),
     }
     if rebuilt["segments"]:
         refresh_segments(spark, store)

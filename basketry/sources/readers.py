@@ -124,3 +124,30 @@ def read_rules(spark: SparkSession, path: str) -> DataFrame:
 
 def read_clusters(spark: SparkSession, path: str) -> DataFrame:
     return read_stored(spark, path, schemas.CLUSTERS)
+
+
+def table_exists(spark: SparkSession, path: str) -> bool:
+    try:
+        spark.read.parquet(path)
+    except AnalysisException:
+        return False
+    return True
+
+
+# Names under which the stored tables can be queried with SQL.
+VIEWS = {
+    "transactions_long": ("lines", schemas.LINES),
+    "transactions_basket": ("baskets", schemas.BASKETS),
+    "catalog": ("catalog", schemas.CATALOG),
+}
+
+
+def register_views(spark: SparkSession, store) -> list[str]:
+    """Make the stored tables that exist available to ``spark.sql``; returns their names."""
+    found = []
+    for name, (table, schema) in VIEWS.items():
+        path = getattr(store, table)
+        if table_exists(spark, path):
+            read_stored(spark, path, schema).createOrReplaceTempView(name)
+            found.append(name)
+    return found

@@ -16,7 +16,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from basketry.functions.labels import name_or_id
 from basketry.operators import prepare
 from basketry.plans.ingest import Store
-from basketry.schemas import BASKETS, LINES, PARTITION_COLUMNS, RECEIPT_KEY, TRANSACTION_COLUMNS
+from basketry.schemas import BASKETS, LINES, PARTITION_COLUMNS, RECEIPT_KEY
 from basketry.session import fresh_path
 from basketry.sources import readers, writers
 
@@ -31,11 +31,13 @@ def incoming_lines(incoming: DataFrame, categories: DataFrame) -> DataFrame:
         *RECEIPT_KEY, F.explode("categories").alias("category_id")
     )
     distinct = exploded.filter(F.col("category_id").isNotNull()).distinct()
-    named = prepare.with_transaction(distinct).join(categories, "category_id", "left")
-    return named.select(
-        *TRANSACTION_COLUMNS,
-        "category_id",
-        name_or_id(F.col("category_name"), F.col("category_id")).alias("category_name"),
+    return named_lines(distinct, categories)
+
+
+def named_lines(distinct: DataFrame, categories: DataFrame) -> DataFrame:
+    named = prepare.name_lines(prepare.with_transaction(distinct), categories)
+    return named.withColumn(
+        "category_name", name_or_id(F.col("category_name"), F.col("category_id"))
     )
 
 
@@ -116,11 +118,14 @@ def start_deduplicated_lines(
     checkpoint: str,
     delay: datetime.timedelta = datetime.timedelta(days=7),
     trigger: dict | None = None,
+    files_per_partition: int = 4,
 ) -> StreamingQuery:
     """Append-only variant: resent lines are dropped by bounded streaming state.
 
     State is kept for ``delay`` after a line's date.  Lines that come later than
-    that are not loaded; use ``start_incremental_load`` where they must be.
+    that are not loaded; use ``start_incremental_load`` where they must be.  A
+    micro-batch writes each partition it meets in up to ``files_per_partition``
+    tasks: more of them split a busy store's month further, fewer make fewer files.
     """
     watermark = f"{int(delay.total_seconds())} seconds"
     exploded = readers.valid_incoming(incoming).select(
@@ -134,13 +139,10 @@ def start_deduplicated_lines(
         .dropDuplicatesWithinWatermark([*RECEIPT_KEY, "category_id"])
         .drop("event_ts")
     )
-    named = prepare.with_transaction(distinct).join(categories, "category_id", "left")
+    part = F.pmod(F.xxhash64("customer_id"), F.lit(files_per_partition))
     return (
-        named.select(
-            *TRANSACTION_COLUMNS,
-            "category_id",
-            name_or_id(F.col("category_name"), F.col("category_id")).alias("category_name"),
-        )
+        named_lines(distinct, categories)
+        .repartition(*PARTITION_COLUMNS, part)
         .writeStream.format("parquet")
         .partitionBy(*PARTITION_COLUMNS)
         .option("path", lines_path)

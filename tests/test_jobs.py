@@ -41,11 +41,22 @@ def test_bulk_load_then_models(spark, tmp_path):
     names = {r.category_id: r.category_name for r in summary.category_names(lines).collect()}
     assert names == {1: "FRUTAS", 2: "QUESO", 3: "PAN", 4: None}
 
+    assert readers.register_views(spark, store) == [
+        "transactions_long", "transactions_basket", "catalog",
+    ]
+    (counted,) = spark.sql(
+        "SELECT count(*) AS n, count(DISTINCT transaction_id) AS t FROM transactions_long"
+        " WHERE store_id = 103"
+    ).collect()
+    assert 0 < counted.t == baskets.filter("store_id = 103").count() < counted.n
+
     before = sorted(map(str, as_dicts(lines)))
     again = load(103)
     assert again["stores"] == "103"
     assert sorted(map(str, as_dicts(readers.read_lines(spark, store.lines)))) == before
 
+    empty = ingest.Store(str(tmp_path / "nowhere"))
+    assert readers.register_views(spark, empty) == []
     assert refresh.refresh_models(spark, store) == {"segments": True, "rules": True}
     clusters = readers.read_clusters(spark, store.clusters)
     assert clusters.count() == 17

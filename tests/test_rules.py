@@ -158,6 +158,12 @@ def test_recommendations_with_cluster_and_since(spark, baskets, mined, history,
     }
 
 
+def test_recommendations_for_one_customer(baskets, mined):
+    every = {r["customer_id"]: r for r in as_dicts(rules.recommend(baskets, mined))}
+    assert as_dicts(rules.recommend(baskets, mined, customer_id=0)) == [every[0]]
+    assert as_dicts(rules.recommend(baskets, mined, customer_id=999)) == []
+
+
 def test_cut_comes_before_bought_is_removed(spark, make_baskets):
     table = spark.createDataFrame(
         [([1], [2], 0.9, 5.0, 0.1), ([1], [3], 0.9, 4.0, 0.1)],
