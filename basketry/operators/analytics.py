@@ -93,7 +93,9 @@ def boxplot_category(
             F.count_if(counted_here).alias("transactions"), F.count(F.lit(1)).alias("weight")
         )
     )
-    return _five_numbers(counts, limit)
+    # There are no more labels than categories, so all of them are summarised.
+    busiest = _five_numbers(counts).orderBy(F.desc("weight"), "label").limit(LABELS_CONSIDERED)
+    return _highest_medians(busiest, limit)
 
 
 def boxplot_customer(
@@ -103,38 +105,46 @@ def boxplot_customer(
     end_date: Date = None,
     store_id: int | None = None,
 ) -> DataFrame:
-    """Box plot by customer; sizes are counted first, so no customer's baskets are gathered."""
+    """Box plot by customer.
+
+    The busiest customers are found by counting alone and only their baskets
+    are summarised: a list of 50, so it is broadcast.  Sizes are counted before
+    quartiles are taken, so no customer's baskets are gathered.
+    """
+    chosen = between(baskets, start_date, end_date, store_id).withColumn(
+        "label", F.col("customer_id").cast("string")
+    )
+    busiest = (
+        chosen.groupBy("label")
+        .agg(F.count(F.lit(1)).alias("weight"))
+        .orderBy(F.desc("weight"), "label")
+        .limit(LABELS_CONSIDERED)
+    )
     counts = (
-        between(baskets, start_date, end_date, store_id)
-        .groupBy(F.col("customer_id").cast("string").alias("label"), "basket_size")
+        chosen.join(F.broadcast(busiest), "label", "left_semi")
+        .groupBy("label", "basket_size")
         .agg(F.count(F.lit(1)).alias("transactions"))
         .withColumn("weight", F.col("transactions"))
     )
-    return _five_numbers(counts, limit)
+    return _highest_medians(_five_numbers(counts), limit)
 
 
-def _five_numbers(counts: DataFrame, limit: int) -> DataFrame:
-    """Summary of the ``limit`` highest medians among the busiest labels.
+def _five_numbers(counts: DataFrame) -> DataFrame:
+    """Five-number summary and total weight per label.
 
-    ``counts`` holds (label, basket_size, transactions, weight); ``weight``
-    decides which labels are busiest.  Quartiles are then worked out for those
-    labels only: a list of 50, so it is broadcast.
+    ``counts`` holds (label, basket_size, transactions, weight).
     """
-    busiest = (
-        counts.groupBy("label")
-        .agg(F.sum("weight").alias("weight"))
-        .orderBy(F.desc("weight"), "label")
-        .limit(LABELS_CONSIDERED)
+    return counts.groupBy("label").agg(
+        F.min("basket_size").alias("min_val"),
+        weighted_quartiles("basket_size", "transactions").alias("quartiles"),
+        F.max("basket_size").alias("max_val"),
+        F.sum("weight").alias("weight"),
     )
+
+
+def _highest_medians(summaries: DataFrame, limit: int) -> DataFrame:
     return (
-        counts.join(F.broadcast(busiest), "label", "left_semi")
-        .groupBy("label")
-        .agg(
-            F.min("basket_size").alias("min_val"),
-            weighted_quartiles("basket_size", "transactions").alias("quartiles"),
-            F.max("basket_size").alias("max_val"),
-        )
-        .select(
+        summaries.select(
             "label",
             "min_val",
             F.col("quartiles")[0].alias("q1"),

@@ -40,9 +40,15 @@ class RetailTables:
 
     @property
     def items(self) -> DataFrame:
-        """One row per product on a receipt."""
+        """One row per product on a receipt.
+
+        Orders and line items grow together, so neither is ever a side to
+        broadcast, whatever a size estimate says; a sort-merge join lets
+        adaptive execution split an order that holds most of the items.
+        """
         bought = self.table("lineitem").select("l_orderkey", F.col("l_partkey").alias("product_code"))
-        return bought.join(self.receipts, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        same_order = F.col("l_orderkey") == F.col("o_orderkey")
+        return bought.hint("merge").join(self.receipts, same_order).select(
             *RECEIPT_KEY, "product_code"
         )
 
