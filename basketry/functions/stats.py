@@ -17,3 +17,13 @@ def weighted_quartiles(value: str, weight: str) -> Column:
 def min_max_scaled(value: Column, low: Column, high: Column) -> Column:
     # Fixed value: the small term keeps the divisor above zero.
     return (value - low) / (high - low + F.lit(1e-9))
+
+
+def rounded(value: Column, digits: int) -> Column:
+    """Non-negative number to ``digits`` places, as the SQL engines of reports round it.
+
+    Spark's own ``round`` works on the decimal text of a double and turns 1.005
+    into 1.01; here the scaled double itself is rounded, which gives 1.0.
+    """
+    scale = float(10**digits)
+    return F.floor(value * scale + 0.5) / scale

@@ -18,6 +18,7 @@ from basketry.functions.receipts import (
     whole_number,
     year_month,
 )
+from basketry.functions.stats import rounded
 from basketry.schemas import RECEIPT_KEY, TRANSACTION_COLUMNS
 
 
@@ -112,5 +113,5 @@ def ingest_report(baskets: DataFrame) -> DataFrame:
         F.min("date").alias("min_date"),
         F.max("date").alias("max_date"),
         id_list(F.collect_set("store_id")).alias("stores"),
-        F.round(F.try_divide(F.sum("basket_size"), F.count(F.lit(1))), 2).alias("avg_basket_size"),
+        rounded(F.try_divide(F.sum("basket_size"), F.count(F.lit(1))), 2).alias("avg_basket_size"),
     )

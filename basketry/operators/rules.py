@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from basketry.functions.arrays import is_subset
 from basketry.functions.labels import lift_tier
+from basketry.functions.stats import rounded
 
 # Mining thresholds and list lengths.
 MIN_SUPPORT = 0.01
@@ -24,15 +25,16 @@ def mine_rules(
     """FP-Growth over the baskets' category sets.
 
     ``baskets`` should be a stored table: mining reads it several times.  Its
-    conditional trees are spread over ``partitions`` tasks, by default as many
-    as any other shuffle has; Spark ML alone would take one per input file.
+    conditional trees are spread over ``partitions`` tasks, by default one per
+    core; Spark ML alone would take one per input split, most of them without a
+    single item.
     """
-    spark = baskets.sparkSession
+    cores = baskets.sparkSession.sparkContext.defaultParallelism
     return FPGrowth(
         itemsCol="categories",
         minSupport=min_support,
         minConfidence=min_confidence,
-        numPartitions=partitions or int(spark.conf.get("spark.sql.shuffle.partitions")),
+        numPartitions=partitions or cores,
     ).fit(baskets.select(F.array_distinct("categories").alias("categories")))
 
 
@@ -57,7 +59,7 @@ def by_lift() -> list:
     before it is compared and ties are settled by the sides of the rule.
     """
     return [
-        F.desc(F.round("lift", 9)),
+        F.desc(rounded(F.col("lift"), 9)),
         F.array_join(F.col("antecedent").cast("array<string>"), ","),
         F.array_join(F.col("consequent").cast("array<string>"), ","),
     ]
@@ -66,11 +68,11 @@ def by_lift() -> list:
 def displayed(rules: DataFrame) -> DataFrame:
     """Rules rounded for display, with confidence in percent and the lift tier."""
     return rules.withColumns({
-        "confidence_pct": F.round(F.col("confidence") * 100, 1),
+        "confidence_pct": rounded(F.col("confidence") * 100, 1),
         "lift_tier": lift_tier(F.col("lift")),
-        "support": F.round("support", 4),
-        "confidence": F.round("confidence", 4),
-        "lift": F.round("lift", 4),
+        "support": rounded(F.col("support"), 4),
+        "confidence": rounded(F.col("confidence"), 4),
+        "lift": rounded(F.col("lift"), 4),
     })
 
 

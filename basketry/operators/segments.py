@@ -10,7 +10,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from basketry.functions.stats import min_max_scaled
+from basketry.functions.stats import min_max_scaled, rounded
 from basketry.operators.features import scaled_features
 from basketry.schemas import FEATURE_COLUMNS
 
@@ -142,10 +142,10 @@ def labelled_profiles(clusters: DataFrame) -> DataFrame:
         .select(
             "cluster_id",
             "customer_count",
-            F.round("avg_frequency", 2).alias("avg_frequency"),
-            F.round("avg_unique_categories", 2).alias("avg_unique_categories"),
-            F.round("avg_basket_size", 2).alias("avg_basket_size"),
-            F.round("avg_recency_days", 1).alias("avg_recency_days"),
+            rounded(F.col("avg_frequency"), 2).alias("avg_frequency"),
+            rounded(F.col("avg_unique_categories"), 2).alias("avg_unique_categories"),
+            rounded(F.col("avg_basket_size"), 2).alias("avg_basket_size"),
+            rounded(F.col("avg_recency_days"), 1).alias("avg_recency_days"),
             "label",
         )
         .orderBy("cluster_id")
@@ -161,10 +161,10 @@ def customer_segments(clusters: DataFrame, customer_id: int | None = None) -> Da
     return chosen.join(labels, "cluster", "left").select(
         "customer_id",
         "cluster",
-        F.round(F.col("frequency").cast("double"), 2).alias("frequency"),
-        F.round(F.col("unique_categories").cast("double"), 2).alias("unique_categories"),
-        F.round("avg_basket_size", 2).alias("avg_basket_size"),
-        F.round(F.col("recency_days").cast("double"), 1).alias("recency_days"),
+        F.col("frequency").cast("double").alias("frequency"),
+        F.col("unique_categories").cast("double").alias("unique_categories"),
+        rounded(F.col("avg_basket_size"), 2).alias("avg_basket_size"),
+        F.col("recency_days").cast("double").alias("recency_days"),
         F.coalesce("label", F.lit(UNKNOWN_LABEL)).alias("label"),
     )
 

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketry.functions.labels import display_label
+from basketry.functions.stats import rounded
 from basketry.operators.filters import between, check_limit
 
 Date = datetime.date | str | None
@@ -154,7 +155,7 @@ def category_share(
     everything = F.sum("volume").over(Window.partitionBy())
     return (
         category_volumes(between(lines, start_date, end_date, store_id))
-        .withColumn("share_pct", F.round(F.col("volume") * F.lit(100.0) / everything, 2))
+        .withColumn("share_pct", rounded(F.col("volume") * F.lit(100.0) / everything, 2))
         .orderBy(F.desc("volume"), "category_id")
     )
 
@@ -173,7 +174,7 @@ def category_share_rollup(
         category_share(lines, start_date, end_date, store_id)
         .withColumn("position", F.least(F.row_number().over(ordering), F.lit(top + 1)).cast("bigint"))
         .groupBy("position", F.when(rest, OTHERS).otherwise(F.col("category_name")).alias("label"))
-        .agg(F.round(F.sum("share_pct"), 2).alias("share_pct"))
+        .agg(rounded(F.sum("share_pct"), 2).alias("share_pct"))
         .filter(~rest | (F.col("share_pct") > 0))
         .orderBy("position")
     )

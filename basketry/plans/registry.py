@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketry.functions.labels import id_list
+from basketry.functions.stats import rounded
 from basketry.operators import analytics, features, filters, prepare, rules, segments, summary
 from basketry.plans.ingest import Store
 from basketry.plans.tables import RetailTables
@@ -109,9 +110,9 @@ def rule_texts(df: DataFrame) -> DataFrame:
     return df.withColumns({
         "antecedent": id_list(F.col("antecedent")),
         "consequent": id_list(F.col("consequent")),
-        "confidence": F.round("confidence", 9),
-        "lift": F.round("lift", 9),
-        "support": F.round("support", 9),
+        "confidence": rounded(F.col("confidence"), 9),
+        "lift": rounded(F.col("lift"), 9),
+        "support": rounded(F.col("support"), 9),
     })
 
 
