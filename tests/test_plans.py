@@ -86,6 +86,20 @@ def test_group_limits_come_before_the_shuffle(spark, plan_of):
     assert re.search(r"WindowGroupLimit.*Final[\s\S]*Exchange[\s\S]*WindowGroupLimit.*Partial", plan)
 
 
+def test_customers_are_shuffled_once_for_all_rules(stored, spark, plan_of, tmp_path):
+    path = str(tmp_path / "rules")
+    spark.createDataFrame(
+        [([1], [2], 0.5, 1.2, 0.1), ([1, 2], [3], 0.5, 1.1, 0.1)],
+        "antecedent array<bigint>, consequent array<bigint>, confidence double, lift double, support double",
+    ).write.parquet(path)
+    bought = rules.bought_categories(stored[1])
+    plan = plan_of(rules.rules_for_customers(bought, readers.read_rules(spark, path)), "simple")
+    assert "WindowGroupLimit [customer_id" in plan
+    by_customer = [e for e in exchanges(plan) if e.startswith("customer_id")]
+    # One for the distinct (customer, category) pairs, one for the list per customer.
+    assert len(by_customer) == 2
+
+
 def test_no_python_and_no_cartesian_product(stored, categories, plan_of, spark):
     lines, baskets = stored
     table = spark.createDataFrame(

@@ -119,3 +119,32 @@ def test_cluster_without_shared_folder_is_refused():
         shared_folder(Session(spark_master="local-cluster[2,1,1024]"))
     configured = Session(spark_master="yarn", spark_checkpoint_dir="hdfs:///shared/")
     assert shared_folder(configured) == "hdfs:///shared"
+
+
+def test_busy_month_is_written_by_several_tasks(spark, tmp_path):
+    """One store's month holds nearly all rows; other partitions get one file each."""
+    path = str(tmp_path / "lines")
+    hot = spark.range(40000).selectExpr(
+        "sha2(cast(id AS string), 256) AS transaction_id", "date'2013-01-05' AS date",
+        "id AS customer_id", "id % 50 AS category_id", "sha2(cast(id AS string), 256) AS category_name",
+        "1L AS store_id", "'2013-01' AS year_month",
+    )
+    cold = hot.limit(20).selectExpr(
+        "transaction_id", "date", "customer_id", "category_id", "category_name",
+        "customer_id % 5 + 2 AS store_id", "year_month",
+    )
+    advisory = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(advisory)
+    spark.conf.set(advisory, "500KB")
+    try:
+        writers.write_partitioned(hot.unionByName(cold), path)
+    finally:
+        spark.conf.set(advisory, before)
+    files = readers.read_lines(spark, path).inputFiles()
+    per_store = {}
+    for file in files:
+        store = file.split("store_id=")[1].split("/")[0]
+        per_store[store] = per_store.get(store, 0) + 1
+    assert per_store.pop("1") > 2
+    assert set(per_store.values()) == {1}
+    assert readers.read_lines(spark, path).count() == 40020
