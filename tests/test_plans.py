@@ -86,13 +86,16 @@ def test_group_limits_come_before_the_shuffle(spark, plan_of):
     assert re.search(r"WindowGroupLimit.*Final[\s\S]*Exchange[\s\S]*WindowGroupLimit.*Partial", plan)
 
 
-def test_customers_are_shuffled_once_for_all_rules(stored, spark, plan_of, tmp_path):
-    path = str(tmp_path / "rules")
+def test_customers_are_shuffled_once_for_all_rules(spark, plan_of, tmp_path):
+    path, history = str(tmp_path / "rules"), str(tmp_path / "baskets")
+    spark.range(50000).selectExpr(
+        "id % 9973 AS customer_id", "array(id % 7, 10 + id % 31) AS categories"
+    ).write.parquet(history)
     spark.createDataFrame(
         [([1], [2], 0.5, 1.2, 0.1), ([1, 2], [3], 0.5, 1.1, 0.1)],
         "antecedent array<bigint>, consequent array<bigint>, confidence double, lift double, support double",
     ).write.parquet(path)
-    bought = rules.bought_categories(stored[1])
+    bought = rules.bought_categories(spark.read.parquet(history))
     plan = plan_of(rules.rules_for_customers(bought, readers.read_rules(spark, path)), "simple")
     assert "WindowGroupLimit [customer_id" in plan
     by_customer = [e for e in exchanges(plan) if e.startswith("customer_id")]
