@@ -5,7 +5,7 @@ from collections.abc import Sequence
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from basketry import schemas
 from basketry.functions.receipts import whole_number
@@ -52,6 +52,15 @@ def read_incoming_json(spark: SparkSession, path: str, multi_line: bool = False)
     ).json(path, multiLine=multi_line)
 
 
+def read_transaction_batch(spark: SparkSession, path: str) -> DataFrame:
+    """Incoming transactions wrapped as ``{"transactions": [...]}``, one or more such files.
+
+    A batch without a single transaction contributes nothing.
+    """
+    wrapped = StructType([StructField("transactions", ArrayType(schemas.INCOMING))])
+    return spark.read.schema(wrapped).json(path, multiLine=True).select(F.inline("transactions"))
+
+
 def stream_incoming_json(spark: SparkSession, folder: str, max_files: int | None = None) -> DataFrame:
     """Incoming JSON-lines files as a stream."""
     reader = spark.readStream.schema(incoming_schema()).option("columnNameOfCorruptRecord", CORRUPT)

@@ -84,3 +84,33 @@ def test_dates_are_dates(spark, tmp_path):
     raw = readers.read_receipts_csv(spark, str(tmp_path / "*_Tran.csv"))
     assert raw.count() == 400
     assert datetime.date.fromisoformat(raw.first().date)
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from basketry.__main__ import main
+
+    data, store = tmp_path / "DataSet", str(tmp_path / "store")
+    (data / "Products").mkdir(parents=True)
+    (data / "Transactions").mkdir()
+    write_inputs(tmp_path)
+    (data / "Products" / "Categories.csv").write_text((tmp_path / "categories.csv").read_text())
+    (data / "Products" / "ProductCategory.csv").write_text((tmp_path / "catalog.csv").read_text())
+    (data / "Transactions" / "102_Tran.csv").write_text((tmp_path / "102_Tran.csv").read_text())
+    main(["ingest", "--data", str(data), "--store", store])
+    assert "avg_basket_size" in capsys.readouterr().out
+    before = readers.read_lines(spark, ingest.Store(store).lines).count()
+
+    (tmp_path / "drop").mkdir()
+    (tmp_path / "drop" / "a.json").write_text(
+        '{"date": "2013-09-01", "store_id": 102, "customer_id": 99, "categories": [1, 2]}'
+    )
+    main([
+        "load", "--incoming", str(tmp_path / "drop"), "--store", store,
+        "--categories", str(data / "Products" / "Categories.csv"),
+        "--checkpoint", str(tmp_path / "checkpoint"),
+    ])
+    assert readers.read_lines(spark, ingest.Store(store).lines).count() == before + 2
+    clusters = readers.read_clusters(spark, ingest.Store(store).clusters)
+    assert clusters.filter("customer_id = 99").count() == 1
+    main(["refresh", "--store", store])
+    assert "{'segments': False, 'rules': False}" in capsys.readouterr().out

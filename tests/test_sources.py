@@ -60,6 +60,14 @@ def test_incoming_json_array(spark, tmp_path):
     assert readers.valid_incoming(incoming).count() == 2
 
 
+def test_wrapped_batch(spark, tmp_path):
+    record = {"date": "2013-07-08", "store_id": 1, "customer_id": 7, "categories": [1, 2]}
+    (tmp_path / "a.json").write_text(json.dumps({"transactions": [record, record]}, indent=1))
+    (tmp_path / "b.json").write_text(json.dumps({"transactions": []}))
+    rows = as_dicts(readers.valid_incoming(readers.read_transaction_batch(spark, str(tmp_path))))
+    assert rows == [{**record, "date": datetime.date(2013, 7, 8)}] * 2
+
+
 def test_partitioned_round_trip_and_dynamic_overwrite(spark, make_baskets, categories, tmp_path):
     path = str(tmp_path / "baskets")
     first = make_baskets([("2013-01-05", 1, 1, [1, 2]), ("2013-02-05", 1, 1, [3])])
