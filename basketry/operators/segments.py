@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from basketry.functions.stats import min_max_scaled, rounded
 from basketry.operators.features import scaled_features
 from basketry.schemas import FEATURE_COLUMNS
+from basketry.session import staged
 
 # Seed, range of k, projection features and size, segment names.
 SEED = 42
@@ -44,15 +45,16 @@ class Segmentation:
 def train_segments(features: DataFrame, ks: Iterable[int] = K_RANGE, seed: int = SEED) -> Segmentation:
     """Try every k, keep the highest silhouette and assign all customers.
 
-    ``features`` should be a stored table: training reads it many times.  Rows
-    are placed and ordered by customer, so that the seeded start is repeatable.
+    The features are written to the shared folder first, ordered by customer:
+    training reads them a hundred times, from partitions sized by their volume,
+    and the seeded start is the same whenever the features are.
     """
+    table = staged(features.sortWithinPartitions("customer_id"), "features")
     ks = list(ks)
-    different = _different_customers(features, max(ks))
+    different = _different_customers(table, max(ks))
     if different < min(ks):
         raise ValueError(f"only {different} different customers for {min(ks)} segments")
-    placed = features.repartition("customer_id").sortWithinPartitions("customer_id")
-    scaled = scaled_features(placed).persist()
+    scaled = scaled_features(table).persist()
     try:
         best, tried = None, []
         for k in (k for k in ks if k <= different):

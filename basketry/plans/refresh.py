@@ -4,14 +4,13 @@ from pyspark.sql import SparkSession
 
 from basketry.operators import features, rules, segments
 from basketry.plans.ingest import Store
-from basketry.session import staged
 from basketry.sources import readers, writers
 
 
 def refresh_segments(spark: SparkSession, store: Store) -> segments.Segmentation:
     """Train on all customers, then store the model and every customer's cluster."""
     baskets = readers.read_baskets(spark, store.baskets)
-    result = segments.train_segments(staged(features.customer_features(baskets), "features"))
+    result = segments.train_segments(features.customer_features(baskets))
     result.model.write().overwrite().save(store.kmeans)
     writers.write_table(result.clusters, store.clusters)
     return result

@@ -77,7 +77,7 @@ def scaled(t: RetailTables) -> DataFrame:
 
 
 def segmentation(t: RetailTables) -> segments.Segmentation:
-    return segments.train_segments(staged(features.customer_features(t.baskets), "features"))
+    return segments.train_segments(features.customer_features(t.baskets))
 
 
 def labels(t: RetailTables) -> DataFrame:
@@ -138,8 +138,7 @@ def recommendations(t: RetailTables) -> DataFrame:
 
 def recommendations_with_cluster(t: RetailTables) -> DataFrame:
     baskets = staged(t.baskets, "baskets")
-    features_table = staged(features.customer_features(baskets), "features")
-    clusters = segments.train_segments(features_table).clusters
+    clusters = segments.train_segments(features.customer_features(baskets)).clusters
     found = rules.recommend(baskets, stored_rules(size_rules(baskets)), clusters)
     return found.select(
         "customer_id",

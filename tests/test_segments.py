@@ -153,12 +153,12 @@ def test_customers_must_differ(make_baskets):
     for customers in (1, 3):
         baskets = make_baskets([("2013-01-01", 1, c, [1, 2]) for c in range(customers)])
         with pytest.raises(ValueError):
-            segments.train_segments(staged(features.customer_features(baskets), "alike"))
+            segments.train_segments(features.customer_features(baskets))
 
 
 def test_two_kinds_of_customers(make_baskets):
     """Fewer different customers than clusters asked for."""
     rows = [("2013-01-01", 1, c, [1, 2]) for c in range(3)] + [("2013-03-01", 1, 9, [1, 2, 3])]
-    result = segments.train_segments(staged(features.customer_features(make_baskets(rows)), "two"))
+    result = segments.train_segments(features.customer_features(make_baskets(rows)))
     assert sorted(r["customer_count"] for r in as_dicts(segments.labelled_profiles(result.clusters))) == [1, 3]
     assert [(r["k"], r["selected"]) for r in as_dicts(result.selection)] == [(2, True)]
