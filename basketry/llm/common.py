@@ -1,8 +1,12 @@
 """Small helpers that several operators share."""
 
+import pickle
+from typing import Any
+
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column
+from pyspark import Broadcast, cloudpickle
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 # A word is a run of anything but ASCII white space: bytes.split() with no
@@ -35,3 +39,12 @@ def n_words(text: Column) -> Column:
 def ascii_lower(text: Column) -> Column:
     """A-Z lower-cased, every other character left alone."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def ship(spark: SparkSession, value: object) -> Broadcast:
+    """Broadcast an object of this subpackage's classes, as bytes that need no import to open."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def opened(shipped: Broadcast) -> Any:
+    return pickle.loads(shipped.value)

@@ -5,7 +5,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from basketry.llm import html_blocks, packing
+from basketry.llm import html_blocks, packing, perplexity
 
 Query = Callable[[SparkSession, str], DataFrame]
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -19,6 +19,10 @@ def op1_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), VOCABULARY)
 
 
+def op4_ngram_perplexity(spark: SparkSession, folder: str) -> DataFrame:
+    return perplexity.quality(table(spark, folder, "documents"))
+
+
 def op10_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return html_blocks.extract(table(spark, folder, "pages"))
 
@@ -27,6 +31,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_best_fit_packing,
+        op4_ngram_perplexity,
         op10_html_extraction,
     )
 }
