@@ -5,7 +5,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from basketry.llm import html_blocks, packing, perplexity
+from basketry.llm import html_blocks, jaccard_join, packing, perplexity
 
 Query = Callable[[SparkSession, str], DataFrame]
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -23,6 +23,10 @@ def op4_ngram_perplexity(spark: SparkSession, folder: str) -> DataFrame:
     return perplexity.quality(table(spark, folder, "documents"))
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.linked_components(table(spark, folder, "documents"))
+
+
 def op10_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return html_blocks.extract(table(spark, folder, "pages"))
 
@@ -32,8 +36,40 @@ QUERIES: dict[str, Query] = {
     for f in (
         op1_best_fit_packing,
         op4_ngram_perplexity,
+        op7_ngram_jaccard_join,
         op10_html_extraction,
     )
 }
 
-ORACLES: dict[str, str] = {}
+# Sets of three-word shingles, their links, and what every document reaches over links.
+JACCARD_COMPONENTS = r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, regexp_extract_all(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x20\x09-\x0D]+') AS w
+    FROM documents
+), sets AS (
+    SELECT doc_id, CASE
+        WHEN len(w) >= 3 THEN list_distinct(list_transform(
+            range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))
+        WHEN len(w) > 0 THEN [array_to_string(w, ' ')]
+        ELSE [] END AS s
+    FROM words
+), flat AS (
+    SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets
+), links AS (
+    SELECT a.doc_id AS x, b.doc_id AS y
+    FROM flat a JOIN flat b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+    WHERE 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+    GROUP BY a.doc_id, b.doc_id, a.n, b.n
+    HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))
+), reach AS (
+    SELECT doc_id AS x, doc_id AS y FROM documents
+    UNION
+    SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x
+)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, (SELECT min(y) FROM reach WHERE reach.x = sets.doc_id) AS component_id
+FROM sets
+"""
+
+ORACLES: dict[str, str] = {"op7_ngram_jaccard_join": JACCARD_COMPONENTS}
