@@ -5,7 +5,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from basketry.llm import html_blocks, jaccard_join, packing, perplexity
+from basketry.llm import html_blocks, jaccard_join, mixture, packing, perplexity, range_shards
 
 Query = Callable[[SparkSession, str], DataFrame]
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -27,6 +27,14 @@ def op7_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.linked_components(table(spark, folder, "documents"))
 
 
+def op8_splitting_tree_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mixture.mix(table(spark, folder, "documents"))
+
+
+def op9_sampled_splitter_shards(spark: SparkSession, folder: str) -> DataFrame:
+    return range_shards.shard(table(spark, folder, "documents"))
+
+
 def op10_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return html_blocks.extract(table(spark, folder, "pages"))
 
@@ -37,6 +45,8 @@ QUERIES: dict[str, Query] = {
         op1_best_fit_packing,
         op4_ngram_perplexity,
         op7_ngram_jaccard_join,
+        op8_splitting_tree_mix,
+        op9_sampled_splitter_shards,
         op10_html_extraction,
     )
 }
