@@ -3,8 +3,8 @@
 Two sets that link share a token among their first few under *any* order of all
 tokens.  The steps:
 
-1.  Every order puts rare tokens first (by a count sketch over all texts) and
-    breaks ties by a hash of its own.  Documents with equal sets become one
+1.  Every order puts rare tokens first, by a count sketch of its own over all
+    texts, and breaks ties by a hash of its own.  Documents with equal sets become one
     node, so exact copies cost nothing further.
 2.  Nodes meet in buckets, one for each prefix token.  A node stays if, under
     every order in turn, some bucket holds another node of fitting size: the
@@ -34,7 +34,7 @@ from basketry.llm.common import WordHashes, opened, ship, utf8
 from basketry.session import staged
 
 MIX_A, MIX_B, MIX_C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
-CLASS_BITS = np.uint64(58)
+CLASS_BITS = np.uint64(56)
 BITMAP_BITS = 2**23
 
 
@@ -43,7 +43,7 @@ class Settings:
     words: int = 3
     percent: int = 90  # link when 100 * intersection >= percent * union
     orders: int = 3
-    sketch_bits: int = 18
+    sketch_bits: int = 21
     block: int = 1024
 
 
@@ -74,32 +74,73 @@ def prefix_length(n: int, percent: int) -> int:
 
 def prefix(tokens: np.ndarray, classes: np.ndarray, order: int, percent: int) -> np.ndarray:
     """The first tokens of a set under an order: rarer class first, then the order's own hash."""
-    at = (mixed(tokens) & np.uint64(len(classes) - 1)).astype(np.int64)
-    keys = (classes[at].astype(np.uint64) << CLASS_BITS) | (mixed(tokens, order) >> np.uint64(6))
+    rank = classes[order][cell_of(tokens, order, classes.shape[1].bit_length() - 1)]
+    keys = (rank.astype(np.uint64) << CLASS_BITS) | (mixed(tokens, order) >> np.uint64(8))
     p = prefix_length(len(keys), percent)
     return (np.partition(keys, p - 1)[:p] if p < len(keys) else keys).view(np.int64)
 
 
+def cell_of(tokens: np.ndarray, order: int, bits: int) -> np.ndarray:
+    return (mixed(tokens, order + 100) >> np.uint64(64 - bits)).astype(np.int64)
+
+
 def token_classes(docs: DataFrame, settings: Settings) -> np.ndarray:
-    """For each cell of a sketch of fixed size, the logarithm of how many shingles of all texts fall into it."""
-    cells = 1 << settings.sketch_bits
+    """Per order, a class (0 to 255, rare to frequent) for each cell of a sketch of all texts' shingles.
+
+    A cell's class is its rank by load.  Loads of cells without frequent
+    shingles differ little, so a shingle is put behind the prefixes once its
+    count exceeds a few times the square root of the mean load.  Tasks send their
+    counts in blocks of cells, one byte each (a heuristic's counts may stop at
+    255 a task; every order is valid for the join); blocks are added up as they
+    arrive.
+    """
+    bits, width = settings.sketch_bits, 4096
+    cells = settings.orders << bits
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory, total = WordHashes(), np.zeros(cells, np.int64)
+        memory, total = WordHashes(), np.zeros(cells, np.int32)
+        held: list[np.ndarray] = []
+
+        def add() -> None:
+            tokens = np.concatenate(held) if held else np.zeros(0, np.uint64)
+            for k in range(settings.orders):
+                total[k << bits : (k + 1) << bits] += np.bincount(cell_of(tokens, k, bits), minlength=1 << bits)
+            held.clear()
+
         for batch in batches:
             for text in utf8(batch, "text"):
-                at = mixed(shingles(text, settings.words, memory)) & np.uint64(cells - 1)
-                total += np.bincount(at.astype(np.int64), minlength=cells) if len(at) > cells // 8 else 0
-                if len(at) <= cells // 8:
-                    np.add.at(total, at.astype(np.int64), 1)
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["cell", "n"])
+                held.append(shingles(text, settings.words, memory))
+                if sum(map(len, held[-512:])) > 500_000 or len(held) >= 512:
+                    add()
+        add()
+        blocks = np.minimum(total, 255).astype(np.uint8).reshape(-1, width)
+        used = np.flatnonzero(blocks.any(1))
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(used), pa.array([blocks[i].tobytes() for i in used], pa.binary())], ["block", "counts"]
+        )
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, counts in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                sums.setdefault(block, np.zeros(width, np.int64))
+                sums[block] += np.frombuffer(counts, np.uint8)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(sums), pa.int64()), pa.array([x.tobytes() for x in sums.values()], pa.binary())],
+            ["block", "counts"],
+        )
 
-    found = docs.select("text").mapInArrow(count, "cell bigint, n bigint")
-    found = found.groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # at most one row a cell
-    total = np.zeros(cells)
-    total[found["cell"].to_numpy()] = found["n"].to_numpy()
-    return np.floor(np.log2(np.maximum(total, 1))).astype(np.uint8)
+    schema = "block bigint, counts binary"
+    found = docs.select("text").mapInArrow(count, schema).repartition("block").mapInArrow(merge, schema)
+    total = np.zeros((cells // width, width), np.int64)
+    for row in found.toLocalIterator():  # at most cells / width rows
+        total[row["block"]] += np.frombuffer(row["counts"], np.int64)
+    classes = np.zeros((settings.orders, 1 << bits), np.uint8)
+    for k, loads in enumerate(total.reshape(settings.orders, -1)):
+        order = np.bincount(np.minimum(loads, 2**22))
+        below = np.cumsum(order) - order
+        classes[k] = (below * 256 // len(loads))[np.minimum(loads, 2**22)]
+    return classes
 
 
 def nodes_of(docs: DataFrame, classes, settings: Settings) -> DataFrame:
@@ -114,7 +155,7 @@ def nodes_of(docs: DataFrame, classes, settings: Settings) -> DataFrame:
                 sizes.append(len(tokens))
                 if len(tokens):
                     nodes.append(xxhash.xxh3_64_intdigest(tokens.tobytes()) - 2**63)
-                    prefixes.append(prefix(tokens, table, 1, settings.percent))
+                    prefixes.append(prefix(tokens, table, 0, settings.percent))
                 else:
                     nodes.append(None)
                     prefixes.append(None)
@@ -331,13 +372,13 @@ def linked_components(docs: DataFrame, settings: Settings = Settings()) -> DataF
     posted = [staged(meeting(prefixes, settings), "posted")]
     wanted = stand_in.join(posted[0].select("node").distinct(), "node", "left_semi")
     sets = staged(sets_of(docs, staged(wanted, "wanted"), settings), "sets")
-    for order in range(2, settings.orders + 1):
+    for order in range(1, settings.orders):
         left = sets.join(posted[-1].select("node").distinct(), "node", "left_semi")
         posted.append(staged(meeting(with_prefix(left, classes, order, settings), settings), "posted"))
     survivors = posted[-1].select("node").distinct()
     posted = [p.join(survivors, "node", "left_semi") for p in posted]
 
-    once = [first_buckets(p, k + 1, settings.block) for k, p in enumerate(posted)]
+    once = [first_buckets(p, k, settings.block) for k, p in enumerate(posted)]
     links = once[0]
     for more in once[1:]:
         links = links.union(more)
