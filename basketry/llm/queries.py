@@ -5,9 +5,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from basketry.llm import html_blocks, jaccard_join, mixture, packing, perplexity, range_shards
+from basketry.llm import html_blocks, jaccard_join, mixture, packing, perplexity, range_shards, url_templates
+from basketry.llm.url_templates import Rule
 
 Query = Callable[[SparkSession, str], DataFrame]
+URL_RULES = [
+    Rule("allow", "org", "/"),
+    Rule("block", "example.org", "/es/"),
+    Rule("block", "example.org", "/en/1"),
+    Rule("allow", "com", "/fr/"),
+    Rule("block", "com", "/de/"),
+]
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
@@ -19,6 +27,10 @@ def op1_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), VOCABULARY)
 
 
+def op2_path_templates(spark: SparkSession, folder: str) -> DataFrame:
+    return url_templates.judge(table(spark, folder, "pages"), URL_RULES)
+
+
 def op4_ngram_perplexity(spark: SparkSession, folder: str) -> DataFrame:
     return perplexity.quality(table(spark, folder, "documents"))
 
@@ -43,6 +55,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_best_fit_packing,
+        op2_path_templates,
         op4_ngram_perplexity,
         op7_ngram_jaccard_join,
         op8_splitting_tree_mix,
