@@ -6,15 +6,20 @@ tokens.  The steps:
 1.  Every order puts rare tokens first, by a count sketch of its own over all
     texts, and breaks ties by a hash of its own.  Documents with equal sets become one
     node, so exact copies cost nothing further.
-2.  Nodes meet in buckets, one for each prefix token.  A node stays if, under
-    every order in turn, some bucket holds another node of fitting size: the
-    filters of all orders are intersected before any set is compared.
-3.  Sets of the nodes that are left are read once.  Each node is compared inside
-    one bucket per order; links found there join nodes into components.
-4.  A bucket whose nodes of fitting size already are one component is settled.
-    The others are compared in full, in blocks of bounded size, so no link is
-    lost.  Only links that join two components are written, never all pairs of a
-    group.
+2.  Nodes meet in buckets, one for each token of a prefix that is longer by
+    ``share`` - 1 tokens than sharing one would need, so linked nodes share at
+    least ``share`` of them.  Buckets of up to ``small`` nodes give pairs of
+    fitting size, and pairs that share enough tokens are candidates; a larger
+    bucket's nodes all stay candidates.
+3.  The candidates' sets are read once.  A candidate must also share prefix
+    tokens under every other order, which is asked of nodes before their sets
+    are shuffled and of pairs before they are compared.
+4.  Candidate pairs of small buckets are compared node by node.  In large ones
+    each node is first compared inside one bucket per order, which joins nearly
+    all of a group of near copies; buckets whose nodes of fitting size are not
+    all one component by then are compared in full, in pairs of blocks of bounded
+    size, so no link is lost.  Only links that join two components are written,
+    never all pairs of a group.
 
 Components are found by joins over written tables; nothing is collected.
 """
@@ -42,10 +47,15 @@ BITMAP_BITS = 2**23
 class Settings:
     words: int = 3
     percent: int = 90  # link when 100 * intersection >= percent * union
-    orders: int = 3
-    sketch_bits: int = 21
+    sketch_bits: tuple[int, ...] = (22, 19, 19)  # for each order
+    share: int = 3
+    small: int = 16
     block: int = 1024
 
+    @property
+    def orders(self) -> int:
+        return len(self.sketch_bits)
+
 
 def mixed(hashes: np.ndarray, seed: int = 0) -> np.ndarray:
     x = (hashes ^ np.uint64(seed * 0x632BE59BD9B4E019 & (2**64 - 1))) * MIX_A
@@ -68,15 +78,15 @@ def shingles(text: bytes, words: int, memory: WordHashes) -> np.ndarray:
     return out
 
 
-def prefix_length(n: int, percent: int) -> int:
-    return n - (percent * n + 99) // 100 + 1
-
+def prefix(tokens: np.ndarray, classes: list[np.ndarray], order: int, percent: int, share: int = 1) -> np.ndarray:
+    """The first tokens of a set under an order: rarer class first, then the order's own hash.
 
-def prefix(tokens: np.ndarray, classes: np.ndarray, order: int, percent: int) -> np.ndarray:
-    """The first tokens of a set under an order: rarer class first, then the order's own hash."""
-    rank = classes[order][cell_of(tokens, order, classes.shape[1].bit_length() - 1)]
+    Long enough to hold ``share`` tokens in common with any linked set, or all
+    that such a set must have in common if that is less.
+    """
+    rank = classes[order][cell_of(tokens, order, len(classes[order]).bit_length() - 1)]
     keys = (rank.astype(np.uint64) << CLASS_BITS) | (mixed(tokens, order) >> np.uint64(8))
-    p = prefix_length(len(keys), percent)
+    p = len(keys) - (percent * len(keys) + 99) // 100 + share
     return (np.partition(keys, p - 1)[:p] if p < len(keys) else keys).view(np.int64)
 
 
@@ -84,7 +94,7 @@ def cell_of(tokens: np.ndarray, order: int, bits: int) -> np.ndarray:
     return (mixed(tokens, order + 100) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def token_classes(docs: DataFrame, settings: Settings) -> np.ndarray:
+def token_classes(docs: DataFrame, settings: Settings) -> list[np.ndarray]:
     """Per order, a class (0 to 255, rare to frequent) for each cell of a sketch of all texts' shingles.
 
     A cell's class is its rank by load.  Loads of cells without frequent
@@ -94,24 +104,28 @@ def token_classes(docs: DataFrame, settings: Settings) -> np.ndarray:
     255 a task; every order is valid for the join); blocks are added up as they
     arrive.
     """
-    bits, width = settings.sketch_bits, 4096
-    cells = settings.orders << bits
+    width, bits = 4096, settings.sketch_bits
+    ends = np.cumsum([0] + [1 << b for b in bits])
+    cells = int(ends[-1])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory, total = WordHashes(), np.zeros(cells, np.int32)
         held: list[np.ndarray] = []
+        size = 0
 
         def add() -> None:
             tokens = np.concatenate(held) if held else np.zeros(0, np.uint64)
             for k in range(settings.orders):
-                total[k << bits : (k + 1) << bits] += np.bincount(cell_of(tokens, k, bits), minlength=1 << bits)
+                total[ends[k] : ends[k + 1]] += np.bincount(cell_of(tokens, k, bits[k]), minlength=1 << bits[k])
             held.clear()
 
         for batch in batches:
             for text in utf8(batch, "text"):
                 held.append(shingles(text, settings.words, memory))
-                if sum(map(len, held[-512:])) > 500_000 or len(held) >= 512:
+                size += len(held[-1])
+                if size > 2_000_000:
                     add()
+                    size = 0
         add()
         blocks = np.minimum(total, 255).astype(np.uint8).reshape(-1, width)
         used = np.flatnonzero(blocks.any(1))
@@ -135,11 +149,12 @@ def token_classes(docs: DataFrame, settings: Settings) -> np.ndarray:
     total = np.zeros((cells // width, width), np.int64)
     for row in found.toLocalIterator():  # at most cells / width rows
         total[row["block"]] += np.frombuffer(row["counts"], np.int64)
-    classes = np.zeros((settings.orders, 1 << bits), np.uint8)
-    for k, loads in enumerate(total.reshape(settings.orders, -1)):
-        order = np.bincount(np.minimum(loads, 2**22))
-        below = np.cumsum(order) - order
-        classes[k] = (below * 256 // len(loads))[np.minimum(loads, 2**22)]
+    classes = []
+    for k in range(settings.orders):
+        loads = np.minimum(total.reshape(-1)[ends[k] : ends[k + 1]], 2**22)
+        of_load = np.bincount(loads)
+        below = np.cumsum(of_load) - of_load
+        classes.append((below * 256 // len(loads)).astype(np.uint8)[loads])
     return classes
 
 
@@ -155,7 +170,7 @@ def nodes_of(docs: DataFrame, classes, settings: Settings) -> DataFrame:
                 sizes.append(len(tokens))
                 if len(tokens):
                     nodes.append(xxhash.xxh3_64_intdigest(tokens.tobytes()) - 2**63)
-                    prefixes.append(prefix(tokens, table, 0, settings.percent))
+                    prefixes.append(prefix(tokens, table, 0, settings.percent, settings.share))
                 else:
                     nodes.append(None)
                     prefixes.append(None)
@@ -180,10 +195,27 @@ def near_sizes(settings: Settings):
 
 
 def meeting(nodes: DataFrame, settings: Settings) -> DataFrame:
-    """(token, node, n) of nodes with a prefix that meet another node of fitting size in the token's bucket."""
+    """(token, node, n, size of the bucket) of nodes with a prefix that meet another node of fitting size in the token's bucket."""
     posted = nodes.select(F.explode("prefix").alias("token"), "node", "n")
-    fitting = F.count("*").over(near_sizes(settings))
-    return posted.withColumn("fitting", fitting).filter("fitting > 1").drop("fitting")
+    posted = posted.withColumns({
+        "fitting": F.count("*").over(near_sizes(settings)),
+        "size": F.count("*").over(Window.partitionBy("token")),
+    })
+    return posted.filter("fitting > 1").drop("fitting")
+
+
+def small_bucket_pairs(posted: DataFrame, settings: Settings) -> DataFrame:
+    """(a, b): nodes of fitting size that share as many tokens as linked nodes must, all counted in small buckets.
+
+    Nodes that also meet in a large bucket are compared there.
+    """
+    percent = settings.percent
+    rows = posted.filter(F.col("size") <= settings.small)
+    one, other = rows.alias("x"), rows.alias("y")
+    fitting = F.expr(f"x.token = y.token and x.node < y.node and 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)")
+    met = one.join(other, fitting).groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    met = met.agg(F.count("*").alias("shared"), F.first(F.least("x.n", "y.n")).alias("n"))
+    return met.filter(F.expr(f"shared >= least({settings.share}, ({percent} * n + 99) div 100)")).select("a", "b")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, settings: Settings) -> DataFrame:
@@ -245,8 +277,12 @@ def with_prefix(sets: DataFrame, classes, order: int, settings: Settings) -> Dat
     return sets.select("node", "n", "tokens").mapInArrow(read, "node bigint, n bigint, prefix array<bigint>")
 
 
-def joining_links(group: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Links of a group's sets that join two components, found with an index of the group's tokens."""
+def joining_links(group: pd.DataFrame, percent: int, prefixes) -> pd.DataFrame:
+    """Links of a group's sets that join two components, found with an index of the group's tokens.
+
+    ``prefixes`` gives a set's prefix under each further order; a pair without a
+    common token under one of them is not compared.
+    """
     group = group.drop_duplicates("node").sort_values("node")
     sizes, names = group["n"].to_numpy(), group["node"].to_numpy()
     root = list(np.unique(group["component"].to_numpy(), return_inverse=True)[1])
@@ -261,20 +297,19 @@ def joining_links(group: pd.DataFrame, percent: int) -> pd.DataFrame:
     first = {}
     for i, r in enumerate(root):
         parent[i] = first.setdefault(r, i)
-    lists = [np.asarray(x) for x in group["tokens"]]
-    owner = np.repeat(np.arange(len(lists)), sizes)
-    ordered = np.unique(np.concatenate(lists), return_inverse=True)[1]
-    by_token = np.argsort(ordered, kind="stable")
-    begin = np.concatenate([[0], np.cumsum(np.bincount(ordered))])
-    holders, at = owner[by_token], np.concatenate([[0], np.cumsum(sizes)])
+    lists = [np.asarray(x, np.int64) for x in group["tokens"]]
+    sets = TokenIndex(lists)
+    filters = [TokenIndex(list(x)) for x in zip(*[prefixes(tokens.view(np.uint64)) for tokens in lists], strict=True)]
     links = []
     for i in range(len(names) - 1):
-        mine = ordered[at[i] : at[i + 1]]
-        mine = mine[begin[mine + 1] - begin[mine] > 1]
-        if not len(mine):
+        fits = 100 * np.minimum(sizes[i], sizes) >= percent * np.maximum(sizes[i], sizes)
+        fits[: i + 1] = False
+        for index in filters:
+            fits &= index.shared_with(i) > 0
+        if not fits.any():
             continue
-        shared = np.bincount(np.concatenate([holders[begin[t] : begin[t + 1]] for t in mine]), minlength=len(names))
-        for j in np.flatnonzero(100 * shared >= percent * (sizes[i] + sizes - shared)):
+        shared = sets.shared_with(i)
+        for j in np.flatnonzero(fits & (100 * shared >= percent * (sizes[i] + sizes - shared))):
             a, b = top(i), top(int(j))
             if a != b:
                 parent[a] = b
@@ -282,14 +317,43 @@ def joining_links(group: pd.DataFrame, percent: int) -> pd.DataFrame:
     return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
 
-def compare(buckets: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
-    """Links (a, b) among the nodes of each group; ``buckets`` has group, node and component."""
-    percent = settings.percent
+class TokenIndex:
+    """Which of a group's sets hold a token."""
+
+    def __init__(self, lists: list[np.ndarray]):
+        sizes = np.array([len(x) for x in lists])
+        self.tokens = np.unique(np.concatenate(lists), return_inverse=True)[1]
+        self.at = np.concatenate([[0], np.cumsum(sizes)])
+        self.begin = np.concatenate([[0], np.cumsum(np.bincount(self.tokens))])
+        self.holders = np.repeat(np.arange(len(lists)), sizes)[np.argsort(self.tokens, kind="stable")]
+        self.sets = len(lists)
+
+    def shared_with(self, i: int) -> np.ndarray:
+        """Number of tokens that each set has in common with set ``i``."""
+        mine = self.tokens[self.at[i] : self.at[i + 1]]
+        begin, end = self.begin[mine], self.begin[mine + 1]
+        common = end - begin > 1
+        if not common.any():
+            return np.zeros(self.sets, np.int64)
+        found = [self.holders[b:e] for b, e in zip(begin[common], end[common], strict=True)]
+        return np.bincount(np.concatenate(found), minlength=self.sets)
+
+
+def compare(groups: DataFrame, sets: DataFrame, classes, settings: Settings) -> DataFrame:
+    """Links (a, b) among the nodes of each group; ``groups`` has group, node and component."""
+
+    table: list = []  # opened once in a task, for all its groups
 
     def find(group: pd.DataFrame) -> pd.DataFrame:
-        return joining_links(group, percent)
+        if not table:
+            table.append(opened(classes))
+
+        def prefixes(tokens: np.ndarray) -> list[np.ndarray]:
+            return [prefix(tokens, table[0], k, settings.percent) for k in range(1, settings.orders)]
+
+        return joining_links(group, settings.percent, prefixes)
 
-    rows = buckets.join(sets, "node").select("group", "node", "n", "component", "tokens")
+    rows = groups.join(sets, "node").select("group", "node", "n", "component", "tokens")
     return rows.groupBy("group").applyInPandas(find, "a bigint, b bigint")
 
 
@@ -331,6 +395,16 @@ def first_buckets(posted: DataFrame, order: int, block: int) -> DataFrame:
     return chosen.join(sizes.filter("size > 1"), "token").select(group.alias("group"), "node", F.col("node").alias("component"))
 
 
+def pair_groups(pairs: DataFrame, survivors: DataFrame) -> DataFrame:
+    """One group per node that comes first in a pair, with all its partners; few, as its buckets are small."""
+    both = pairs
+    for side in ("a", "b"):
+        both = both.join(survivors.select(F.col("node").alias(side)), side, "left_semi")
+    first = both.select(F.col("a").alias("group"), F.col("a").alias("node")).distinct()
+    rows = first.union(both.select(F.col("a").alias("group"), F.col("b").alias("node")))
+    return rows.withColumn("component", F.col("node"))
+
+
 def open_buckets(posted: DataFrame, settings: Settings) -> DataFrame:
     """Groups for buckets where nodes of fitting size belong to different components.
 
@@ -369,22 +443,27 @@ def linked_components(docs: DataFrame, settings: Settings = Settings()) -> DataF
     # One document stands for all with the same set.
     stand_in = known.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     prefixes = known.filter("node is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    posted = [staged(meeting(prefixes, settings), "posted")]
-    wanted = stand_in.join(posted[0].select("node").distinct(), "node", "left_semi")
-    sets = staged(sets_of(docs, staged(wanted, "wanted"), settings), "sets")
+    posted = staged(meeting(prefixes, settings), "posted")
+    pairs = staged(small_bucket_pairs(posted, settings), "pairs")
+    large = posted.filter(F.col("size") > settings.small)
+    candidates = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(large.select("node")).distinct()
+    wanted = staged(stand_in.join(candidates, "node", "left_semi"), "wanted")
+    sets = staged(sets_of(docs, wanted, settings), "sets")
+    others, left = [], sets
     for order in range(1, settings.orders):
-        left = sets.join(posted[-1].select("node").distinct(), "node", "left_semi")
-        posted.append(staged(meeting(with_prefix(left, classes, order, settings), settings), "posted"))
-    survivors = posted[-1].select("node").distinct()
-    posted = [p.join(survivors, "node", "left_semi") for p in posted]
-
-    once = [first_buckets(p, k, settings.block) for k, p in enumerate(posted)]
-    links = once[0]
-    for more in once[1:]:
-        links = links.union(more)
-    links = staged(compare(links, sets, settings), "links")
-    still_open = open_buckets(labelled(posted[0], components(links)), settings)
-    links = links.union(staged(compare(still_open, sets, settings), "links"))
+        others.append(staged(meeting(with_prefix(left, classes, order, settings), settings), "posted"))
+        left = left.join(others[-1].select("node").distinct(), "node", "left_semi")
+    survivors = others[-1].select("node").distinct() if others else sets.select("node")
+    large = staged(large.join(survivors, "node", "left_semi"), "large")
+    meets_many = large.select("node").distinct()
+
+    once = first_buckets(large, 0, settings.block)
+    for k, more in enumerate(others):
+        once = once.union(first_buckets(more.join(meets_many, "node", "left_semi"), k + 1, settings.block))
+    links = staged(compare(once, sets, classes, settings), "links")
+    still_open = open_buckets(labelled(large, components(links)), settings)
+    links = links.union(staged(compare(still_open, sets, classes, settings), "links"))
+    links = links.union(staged(compare(pair_groups(pairs, survivors), sets, classes, settings), "links"))
 
     members = labelled(known.select("doc_id", "n", "node"), components(links))
     names = members.filter("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
