@@ -5,7 +5,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from basketry.llm import html_blocks, jaccard_join, mixture, packing, perplexity, range_shards, url_templates
+from basketry.llm import html_blocks, jaccard_join, mixture, packing, perplexity, range_shards, toxicity, url_templates
 from basketry.llm.url_templates import Rule
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,10 @@ def op2_path_templates(spark: SparkSession, folder: str) -> DataFrame:
     return url_templates.judge(table(spark, folder, "pages"), URL_RULES)
 
 
+def op3_lexicon_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op4_ngram_perplexity(spark: SparkSession, folder: str) -> DataFrame:
     return perplexity.quality(table(spark, folder, "documents"))
 
@@ -56,6 +60,7 @@ QUERIES: dict[str, Query] = {
     for f in (
         op1_best_fit_packing,
         op2_path_templates,
+        op3_lexicon_toxicity,
         op4_ngram_perplexity,
         op7_ngram_jaccard_join,
         op8_splitting_tree_mix,
