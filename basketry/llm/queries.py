@@ -4,8 +4,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from basketry.llm import html_blocks, jaccard_join, mixture, packing, perplexity, range_shards, toxicity, url_templates
+from basketry.llm import hashing_ann, html_blocks, jaccard_join, mixture, packing, perplexity, range_shards, toxicity, url_templates, weak_quality
 from basketry.llm.url_templates import Rule
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,6 +40,14 @@ def op4_ngram_perplexity(spark: SparkSession, folder: str) -> DataFrame:
     return perplexity.quality(table(spark, folder, "documents"))
 
 
+def op5_weak_label_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return weak_quality.quality(table(spark, folder, "documents"))
+
+
+def op6_multi_index_hashing(spark: SparkSession, folder: str) -> DataFrame:
+    return hashing_ann.search(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.linked_components(table(spark, folder, "documents"))
 
@@ -62,6 +71,8 @@ QUERIES: dict[str, Query] = {
         op2_path_templates,
         op3_lexicon_toxicity,
         op4_ngram_perplexity,
+        op5_weak_label_quality,
+        op6_multi_index_hashing,
         op7_ngram_jaccard_join,
         op8_splitting_tree_mix,
         op9_sampled_splitter_shards,
