@@ -1,9 +1,89 @@
-"""A training corpus from raw documents."""
+"""A training corpus from raw documents, in five stages.
 
-STAGES = []
+Each stage gets what its predecessor kept, decides with one of the operators in
+``basketry.llm``, and returns the documents' own columns; the last returns the
+packed sequences.  Between stages the documents are written and read again, so
+a lost executor costs the stage at hand only.
+
+What a stage decides is joined to the documents by ``doc_id``.  Rows that share
+an id share their fate, except that repeated rows are one document to the
+near-duplicate stage, and copies that the mix takes are packed one by one.
+"""
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from basketry.llm import jaccard_join, mixture, packing, perplexity, weak_quality
+from basketry.llm.queries import VOCABULARY
+from basketry.session import staged
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
+    """The documents whose id is not among the rejected; a null id is one like any other."""
+    out = staged(rejected.select(F.col("doc_id").alias("out")).distinct(), "rejected")
+    return docs.select(*COLUMNS).join(out, F.col("doc_id").eqNullSafe(F.col("out")), "left_anti")
+
+
+def once_each(docs: DataFrame) -> DataFrame:
+    """One row an id; only texts whose id repeats are shuffled."""
+    repeated = docs.groupBy(F.col("doc_id").alias("again")).count().filter("count > 1").select("again")
+    repeated = staged(repeated, "repeated")
+    if repeated.isEmpty():
+        return docs
+    same = F.col("doc_id").eqNullSafe(F.col("again"))
+    return docs.join(repeated, same, "left_anti").union(
+        docs.join(repeated, same, "left_semi").dropDuplicates(["doc_id"])
+    )
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and lie inside their language's perplexity band."""
+    return without(docs, perplexity.quality(docs).filter("not kept"))
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier holds for good."""
+    return without(docs, weak_quality.quality(docs).filter("not kept"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group over links of five-word shingles with a similarity of 0.8 or more: the least id."""
+    settings = jaccard_join.Settings(words=5, percent=80)
+    found = jaccard_join.linked_components(docs, settings)
+    return once_each(without(docs, found.filter("doc_id != component_id")))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix at its target weights: a row for each copy that it takes."""
+    return mixture.mixed_documents(docs.select(*COLUMNS))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The sequences: every piece of every copy with its place."""
+    return packing.pack(docs, VOCABULARY)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", quality_rules),
+    ("quality_classifier", quality_classifier),
+    ("ngram_jaccard_join", near_duplicates),
+    ("mixing_to_weights", mixing),
+    ("best_fit_packing", packed),
+]
+
+# Perplexities, learned labels, random draws and token ids have no SQL; tests hold
+# the stages against plain versions instead.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
