@@ -104,7 +104,8 @@ def token_classes(docs: DataFrame, settings: Settings) -> list[np.ndarray]:
     255 a task; every order is valid for the join); blocks are added up as they
     arrive.
     """
-    width, bits = 4096, settings.sketch_bits
+    bits = settings.sketch_bits
+    width = 1 << min(12, *bits)
     ends = np.cumsum([0] + [1 << b for b in bits])
     cells = int(ends[-1])
 
@@ -140,21 +141,26 @@ def token_classes(docs: DataFrame, settings: Settings) -> list[np.ndarray]:
                 sums.setdefault(block, np.zeros(width, np.int64))
                 sums[block] += np.frombuffer(counts, np.uint8)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(list(sums), pa.int64()), pa.array([x.tobytes() for x in sums.values()], pa.binary())],
+            [
+                pa.array(list(sums), pa.int64()),
+                pa.array([np.minimum(x, 2**31 - 1).astype(np.int32).tobytes() for x in sums.values()], pa.binary()),
+            ],
             ["block", "counts"],
         )
 
     schema = "block bigint, counts binary"
     found = docs.select("text").mapInArrow(count, schema).repartition("block").mapInArrow(merge, schema)
-    total = np.zeros((cells // width, width), np.int64)
-    for row in found.toLocalIterator():  # at most cells / width rows
-        total[row["block"]] += np.frombuffer(row["counts"], np.int64)
+    loads = np.zeros((cells // width, width), np.int32)
+    for row in found.toLocalIterator():  # one row a block
+        loads[row["block"]] = np.frombuffer(row["counts"], np.int32)
     classes = []
     for k in range(settings.orders):
-        loads = np.minimum(total.reshape(-1)[ends[k] : ends[k + 1]], 2**22)
-        of_load = np.bincount(loads)
-        below = np.cumsum(of_load) - of_load
-        classes.append((below * 256 // len(loads)).astype(np.uint8)[loads])
+        of_order = loads.reshape(-1)[ends[k] : ends[k + 1]]
+        steps = np.sort(of_order)[len(of_order) // 256 :: len(of_order) // 256][:255]
+        rank = np.zeros(len(of_order), np.uint8)
+        for begin in range(0, len(rank), 2**18):
+            rank[begin : begin + 2**18] = np.searchsorted(steps, of_order[begin : begin + 2**18], "right")
+        classes.append(rank)
     return classes
 
 
