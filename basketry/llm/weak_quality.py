@@ -176,6 +176,8 @@ def label_model(patterns: np.ndarray, counts: np.ndarray, iterations: int) -> tu
     Documents on which all abstain say nothing of the rates; their posterior is
     the share of good documents.
     """
+    if not len(patterns):
+        return np.zeros(0), np.zeros(len(LABELLERS))
     cast = unpacked(patterns)
     silent = (cast == ABSTAIN).all(1)
     counts = np.where(silent, 0.0, counts)
