@@ -127,20 +127,32 @@ def rules_for_customers(
 ) -> DataFrame:
     """The best ``limit`` rules of every customer whose antecedent they bought whole.
 
-    A rule can only apply to customers who bought its rarest antecedent item, so
-    customers meet rules on that one item and the few candidates are then
-    checked against the whole basket history.  The join key of the rules is a
-    single item and nothing but matching rules is ever emitted per customer.
+    The order of rules is the same for everybody, so rules are numbered once and
+    only (history, number) pairs travel; a rule's sides are fetched for the few
+    that remain.  Customers with the same history share one.  A history meets
+    the items of every rule, and a rule applies where all its items are met;
+    rules of one item apply at once.
     """
-    ranking = Window.partitionBy("customer_id").orderBy(*by_lift())
-    return (
-        bought.withColumn("category_id", F.explode("bought"))
-        .join(keyed_by_rarest_item(best_per_antecedent(rules, limit)), "category_id")
-        .filter(is_subset(F.col("antecedent"), F.col("bought")))
-        .withColumn("rank", F.row_number().over(ranking).cast("bigint"))
+    keyed = bought.withColumn("history", F.sha2(F.array_join("bought", ","), 256))
+    histories = keyed.groupBy("history").agg(F.first("bought").alias("bought"))
+    numbered = best_per_antecedent(rules, limit).withColumn(
+        "position", F.row_number().over(Window.orderBy(*by_lift()))
+    )
+    items = numbered.select(
+        "position", F.size("antecedent").alias("items"), F.explode("antecedent").alias("category_id")
+    )
+    met = histories.select("history", F.explode("bought").alias("category_id")).join(items, "category_id")
+    whole = met.filter(F.col("items") > 1).groupBy("history", "position", "items")
+    whole = whole.count().filter(F.col("count") == F.col("items")).select("history", "position")
+    applying = met.filter(F.col("items") == 1).select("history", "position").union(whole)
+    ranking = Window.partitionBy("history").orderBy("position")
+    best = (
+        applying.withColumn("rank", F.row_number().over(ranking).cast("bigint"))
         .filter(F.col("rank") <= limit)
-        .drop("category_id")
+        .join(numbered, "position")
+        .drop("position")
     )
+    return keyed.join(best, "history").drop("history")
 
 
 def best_per_antecedent(rules: DataFrame, limit: int) -> DataFrame:
@@ -155,23 +167,6 @@ def best_per_antecedent(rules: DataFrame, limit: int) -> DataFrame:
     )
 
 
-def keyed_by_rarest_item(rules: DataFrame) -> DataFrame:
-    """Rules with the antecedent item that the fewest antecedents mention.
-
-    Windows only, no join: Catalyst's size estimate then stays near the size of
-    the rules table, and the few megabytes that are usual get broadcast.
-    """
-    mentions = F.count(F.lit(1)).over(Window.partitionBy("category_id"))
-    rarest = Window.partitionBy("antecedent", "consequent").orderBy("mentions", "category_id")
-    return (
-        rules.withColumn("category_id", F.explode("antecedent"))
-        .withColumn("mentions", mentions)
-        .withColumn("place", F.row_number().over(rarest))
-        .filter(F.col("place") == 1)
-        .drop("mentions", "place")
-    )
-
-
 def recommend(
     baskets: DataFrame,
     rules: DataFrame,

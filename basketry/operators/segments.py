@@ -46,12 +46,15 @@ def train_segments(features: DataFrame, ks: Iterable[int] = K_RANGE, seed: int =
     """Try every k, keep the highest silhouette and assign all customers.
 
     The features are written to the shared folder first, ordered by customer:
-    training reads them a hundred times, from partitions sized by their volume,
-    and the seeded start is the same whenever the features are.
+    training reads them a hundred times, from partitions sized by their volume.
+    The seeded start follows the partitions' order, so it repeats where the same
+    features are partitioned alike.  A k above the number of different customers
+    cannot be tried; it has a row without scores that says so.
     """
     table = staged(features.sortWithinPartitions("customer_id"), "features")
     ks = list(ks)
-    different = _different_customers(table, max(ks))
+    # Spark's K-Means needs as many different rows as clusters.
+    different = table.select(*FEATURE_COLUMNS).distinct().limit(max(ks)).count()
     if different < min(ks):
         raise ValueError(f"only {different} different customers for {min(ks)} segments")
     scaled = scaled_features(table).persist()
@@ -70,23 +73,13 @@ def train_segments(features: DataFrame, ks: Iterable[int] = K_RANGE, seed: int =
         scaled.unpersist()
     _, best_k, model = best
     selection = features.sparkSession.createDataFrame(
-        [(k, score, cost, k == best_k) for k, score, cost in tried],
-        "k bigint, silhouette double, wssse double, selected boolean",
+        [(k, score, cost, k == best_k, None) for k, score, cost in tried]
+        + [(k, None, None, False, f"only {different} different customers") for k in ks if k > different],
+        "k bigint, silhouette double, wssse double, selected boolean, skipped string",
     )
     return Segmentation(model, assign_segments(model, scaled), selection)
 
 
-def _different_customers(features: DataFrame, enough: int) -> int:
-    """Number of different feature rows, counted no further than ``enough``.
-
-    Spark's K-Means needs as many different rows as clusters.  The first rows
-    nearly always settle it; only if not are all rows compared.
-    """
-    behaviour = features.select(*FEATURE_COLUMNS)
-    found = behaviour.limit(1000).distinct().limit(enough).count()
-    return found if found == enough else behaviour.distinct().limit(enough).count()
-
-
 def _silhouette(model: KMeansModel, scaled: DataFrame) -> float:
     evaluator = ClusteringEvaluator(
         featuresCol="scaled_features", predictionCol="cluster", metricName="silhouette"
@@ -178,6 +171,9 @@ def pca_projection(features: DataFrame) -> DataFrame:
     population deviation: one constant factor away from the sample deviation
     Spark divides by.
     """
+    customers = features.count()
+    if customers < 2:
+        raise ValueError(f"a projection needs two customers or more, not {customers}")
     vectors = VectorAssembler(inputCols=PCA_COLUMNS, outputCol="raw").transform(
         features.fillna(0, PCA_COLUMNS)
     )
@@ -185,7 +181,6 @@ def pca_projection(features: DataFrame) -> DataFrame:
     scaled = scaler.fit(vectors).transform(vectors)
     model = PCA(k=2, inputCol="scaled", outputCol="components").fit(scaled)
     signs = [1.0 if axis[abs(axis).argmax()] >= 0 else -1.0 for axis in model.pc.toArray().T]
-    customers = features.count()
     population = (customers / (customers - 1)) ** 0.5
     components = vector_to_array("components")
     kept = [c for c in ("customer_id", "cluster") if c in features.columns]

@@ -3,9 +3,9 @@
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from basketry.operators import prepare
+from basketry.session import staged
 from basketry.sources import readers, writers
 
 
@@ -31,6 +31,10 @@ class Store:
     def clusters(self) -> str:
         return f"{self.base}/processed/customer_clusters.parquet"
 
+    @property
+    def rejected(self) -> str:
+        return f"{self.base}/rejected/incoming"
+
     @property
     def rules(self) -> str:
         return f"{self.base}/models/association_rules.parquet"
@@ -45,30 +49,18 @@ def bulk_load(
 ) -> DataFrame:
     """Write catalog, baskets and lines; returns the one-row load report.
 
-    The receipts are read and shuffled once, for the baskets.  Lines are then
-    the written baskets exploded, a job without a shuffle by key and with no
-    lineage back to the raw text.
+    The receipts are read and shuffled once, for the baskets, which are staged in
+    the shared folder.  Both tables are written from there: lines first, because
+    the incremental load takes them for the truth and rebuilds baskets from
+    them, so a load that broke off in between is completed by loading again or
+    by the next batch.  Only the partitions of these receipts are replaced, and
+    the report is about these receipts only.
     """
     writers.write_table(catalog, store.catalog)
     products = readers.read_catalog(spark, store.catalog)
-    baskets = prepare.build_baskets(prepare.categorise(prepare.receipt_items(raw), products))
-
-    seen = writers.write_partitioned(
-        baskets,
-        store.baskets,
-        measures={
-            "first_month": F.min("year_month"),
-            "last_month": F.max("year_month"),
-            "first_store": F.min("store_id"),
-            "last_store": F.max("store_id"),
-        },
-    )
-    if seen["first_month"] is None:
-        return prepare.ingest_report(baskets.limit(0))
-    # Only partitions in the range just loaded are read back.
-    written = readers.read_baskets(spark, store.baskets).filter(
-        F.col("year_month").between(seen["first_month"], seen["last_month"])
-        & F.col("store_id").between(seen["first_store"], seen["last_store"])
+    baskets = staged(
+        prepare.build_baskets(prepare.categorise(prepare.receipt_items(raw), products)), "baskets"
     )
-    writers.write_partitioned(prepare.lines_of(written, categories), store.lines)
-    return prepare.ingest_report(written)
+    writers.write_partitioned(prepare.lines_of(baskets, categories), store.lines)
+    writers.write_partitioned(baskets, store.baskets)
+    return prepare.ingest_report(baskets)

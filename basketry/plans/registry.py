@@ -21,7 +21,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 # Filter of the *_filtered queries, and the thresholds for the two item columns.
 SAMPLE_FILTER = {"start_date": "1997-01-01", "end_date": "1997-12-31", "store_id": 3}
-SIZE_SUPPORT, SIZE_CONFIDENCE = 0.004, 0.1
+SIZE_SUPPORT, SIZE_CONFIDENCE = 0.004, 0.05
 
 # Reports that accept the date and store filter, each from a RetailTables.
 FILTERED_REPORTS: dict[str, Callable[..., DataFrame]] = {
@@ -171,7 +171,8 @@ def streamed_lines(t: RetailTables) -> DataFrame:
         incoming(t).write.mode("append").json(folder)
     store = Store(fresh_path(t.spark, "store"))
     stream = readers.stream_incoming_json(t.spark, folder)
-    query = incremental.start_incremental_load(stream, t.categories, store)
+    checkpoint = fresh_path(t.spark, "load")
+    query = incremental.start_incremental_load(stream, t.categories, store, checkpoint)
     query.awaitTermination()
     return readers.read_lines(t.spark, store.lines)
 

@@ -105,22 +105,27 @@ def read_stored(spark: SparkSession, path: str, schema: StructType) -> DataFrame
 
 
 def read_partitions(
-    spark: SparkSession, path: str, schema: StructType, stores: list[int], months: list[str]
+    spark: SparkSession, path: str, schema: StructType, partitions: list[tuple[int, str]]
 ) -> DataFrame:
-    """Partitions of the given stores and months; empty when none of them exists.
+    """The given (store, month) partitions; empty when none of them exists.
 
-    Only their folders are listed, so the cost of a small batch does not grow
-    with the number of partitions the table has gathered.
+    Only their folders are listed, a month at a time, so the cost of a small
+    batch does not grow with the number of partitions the table has gathered.
     """
-    folders = "{}/store_id={{{}}}/year_month={{{}}}".format(
-        path, ",".join(str(s) for s in stores), ",".join(months)
-    )
-    try:
-        return spark.read.schema(schema).option("basePath", path).parquet(folders)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
+    stores_of: dict[str, list[str]] = {}
+    for store, month in partitions:
+        stores_of.setdefault(month, []).append(str(store))
+    found = spark.createDataFrame([], schema)
+    for month, stores in sorted(stores_of.items()):
+        folders = f"{path}/store_id={{{','.join(stores)}}}/year_month={month}"
+        try:
+            of_month = spark.read.schema(schema).option("basePath", path).parquet(folders)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+        else:
+            found = found.unionByName(of_month)
+    return found
 
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
@@ -136,9 +141,12 @@ def read_clusters(spark: SparkSession, path: str) -> DataFrame:
 
 
 def table_exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a folder at the path; any other trouble is raised."""
     try:
-        spark.read.parquet(path)
-    except AnalysisException:
+        spark.read.schema("nothing int").parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return False
     return True
 

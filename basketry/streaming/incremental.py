@@ -17,7 +17,6 @@ from basketry.functions.labels import name_or_id
 from basketry.operators import prepare
 from basketry.plans.ingest import Store
 from basketry.schemas import BASKETS, LINES, PARTITION_COLUMNS, RECEIPT_KEY
-from basketry.session import fresh_path
 from basketry.sources import readers, writers
 
 
@@ -57,17 +56,13 @@ def merge_batch(
     """
     new = incoming_lines(incoming, categories).persist()
     try:
-        # At most as many values as the tables have partitions.
-        named = new.agg(
-            F.collect_set("store_id").alias("stores"), F.collect_set("year_month").alias("months")
-        ).first()
-        if not named.stores:
+        # At most as many rows as the tables have partitions.
+        named = [tuple(row) for row in new.select(*PARTITION_COLUMNS).distinct().collect()]
+        if not named:
             return 0
 
         def stored_lines() -> DataFrame:
-            return readers.read_partitions(
-                spark, store.lines, LINES, sorted(named.stores), sorted(named.months)
-            )
+            return readers.read_partitions(spark, store.lines, LINES, sorted(named))
 
         key = [*RECEIPT_KEY, "category_id"]
         added = writers.write_partitioned(
@@ -88,24 +83,27 @@ def start_incremental_load(
     incoming: DataFrame,
     categories: DataFrame,
     store: Store,
-    checkpoint: str | None = None,
+    checkpoint: str,
     trigger: dict | None = None,
 ) -> StreamingQuery:
     """Run ``merge_batch`` on every micro-batch of an incoming stream.
 
     By default everything that has arrived is loaded and the query ends.  Keep
-    ``checkpoint`` the same from run to run; without one a fresh folder is used
-    and old files are looked at again, which adds nothing.
+    ``checkpoint`` the same from run to run, so that files are looked at once.
+    Records that are not valid are appended to ``store.rejected``.
     """
     spark = incoming.sparkSession
     ensure_tables(spark, store)
 
-    def merge(batch: DataFrame, _batch_id: int) -> None:
+    def merge(batch: DataFrame, batch_id: int) -> None:
         merge_batch(batch.sparkSession, batch, categories, store)
+        # A folder for each micro-batch: one that is repeated replaces its own.
+        rejected = readers.rejected_incoming(batch)
+        rejected.write.mode("overwrite").json(f"{store.rejected}/batch={batch_id}")
 
     return (
         incoming.writeStream.foreachBatch(merge)
-        .option("checkpointLocation", checkpoint or fresh_path(spark, "incremental"))
+        .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )

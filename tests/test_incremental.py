@@ -1,5 +1,6 @@
 import datetime
 import json
+import uuid
 
 import pytest
 
@@ -10,11 +11,11 @@ from basketry.streaming import incremental
 from conftest import as_dicts
 
 RECORDS = [
-    {"date": "2013-07-08", "store_id": 110, "customer_id": 1, "categories": [2, 5, 5]},
-    {"date": "2013-07-08", "store_id": 110, "customer_id": 1, "categories": [1]},
-    {"date": "2013-07-09", "store_id": 102, "customer_id": 2, "categories": [3, 60]},
-    {"date": "2013-08-01", "store_id": 110, "customer_id": 3, "categories": [4]},
-    {"date": "2013-08-02", "store_id": 110, "customer_id": 4, "categories": []},
+    {"date": "2021-03-14", "store_id": 31, "customer_id": 1, "categories": [2, 5, 5]},
+    {"date": "2021-03-14", "store_id": 31, "customer_id": 1, "categories": [1]},
+    {"date": "2021-03-15", "store_id": 32, "customer_id": 2, "categories": [3, 60]},
+    {"date": "2021-04-01", "store_id": 31, "customer_id": 3, "categories": [4]},
+    {"date": "2021-04-02", "store_id": 31, "customer_id": 4, "categories": []},
 ]
 
 
@@ -38,6 +39,7 @@ def drop(tmp_path):
 
 def load(spark, folder, categories, store, checkpoint=None, **reader):
     stream = readers.stream_incoming_json(spark, folder, **reader)
+    checkpoint = checkpoint or f"{store.base}/checkpoint-{uuid.uuid4().hex}"
     query = incremental.start_incremental_load(stream, categories, store, checkpoint)
     query.awaitTermination()
 
@@ -125,11 +127,11 @@ def test_merge_counts_new_lines_and_leaves_other_partitions(spark, categories, s
 
     def august_files():
         files = readers.read_baskets(spark, store.baskets).inputFiles()
-        return sorted(f for f in files if "year_month=2013-08" in f)
+        return sorted(f for f in files if "year_month=2021-04" in f)
 
     before = august_files()
     extra = spark.createDataFrame(
-        [(datetime.date(2013, 7, 8), 110, 9, [1, 2])],
+        [(datetime.date(2021, 3, 14), 31, 9, [1, 2])],
         "date date, store_id bigint, customer_id bigint, categories array<bigint>",
     )
     assert incremental.merge_batch(spark, extra, categories, store) == 2
@@ -150,3 +152,18 @@ def test_deduplicated_stream(spark, categories, drop, tmp_path, wanted):
     # Resent while still inside the watermark delay of the newest record.
     drop("b.json", [RECORDS[3]])
     assert run() == wanted[0]
+
+
+def test_invalid_records_are_kept_apart(spark, categories, store, drop):
+    load(spark, drop("a.json", RECORDS), categories, store)
+    rejected = as_dicts(spark.read.json(f"{store.rejected}/*"))
+    assert [r["customer_id"] for r in rejected] == [4]
+
+
+def test_box_plot_names_categories_as_stored(spark, categories, store, drop):
+    from basketry.operators import analytics, summary
+
+    load(spark, drop("a.json", RECORDS[:3]), categories, store)
+    names = summary.category_names(readers.read_lines(spark, store.lines))
+    boxes = analytics.boxplot(readers.read_baskets(spark, store.baskets), names, dimension="category")
+    assert "Cat 60" in {r["label"] for r in as_dicts(boxes)}

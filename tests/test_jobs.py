@@ -1,10 +1,12 @@
 import datetime
 
+import pytest
 from pyspark.ml.clustering import KMeansModel
 
 from basketry.operators import summary
 from basketry.plans import ingest, refresh
 from basketry.sources import readers
+from basketry.streaming import incremental
 from conftest import as_dicts
 
 
@@ -79,6 +81,56 @@ def test_bulk_load_of_nothing(spark, categories, tmp_path):
     assert report[0]["transactions"] == 0
 
 
+def receipts(spark, *rows):
+    return spark.createDataFrame(list(rows), "date string, store_id bigint, customer_id bigint, products_raw string")
+
+
+def test_reload_leaves_partitions_in_between_alone(spark, categories, tmp_path):
+    store = ingest.Store(str(tmp_path / "store"))
+    catalog = spark.createDataFrame([(1, 1), (2, 2)], "product_code bigint, category_id bigint")
+    first = receipts(spark, *[("2021-03-01", s, 1, "1 2") for s in (5, 6, 7)])
+    ingest.bulk_load(spark, first, catalog, categories, store)
+    late = spark.createDataFrame(
+        [(datetime.date(2021, 3, 2), 6, 9, [77])], "date date, store_id bigint, customer_id bigint, categories array<bigint>"
+    )
+    incremental.merge_batch(spark, late, categories, store)
+
+    def files():
+        return {str(f): f.read_bytes() for f in tmp_path.glob("store/processed/*/store_id=6/**/*.parquet")}
+
+    before = files()
+    again = receipts(spark, ("2021-03-05", 5, 2, "1"), ("2021-03-06", 7, 3, "2"))
+    report = as_dicts(ingest.bulk_load(spark, again, catalog, categories, store))[0]
+    assert (report["transactions"], report["category_lines"], report["stores"]) == (2, 2, "5,7")
+    assert files() == before
+    named = readers.read_lines(spark, store.lines).filter("store_id = 6 and category_id = 77")
+    assert [r.category_name for r in named.collect()] == ["Cat 77"]
+
+
+def test_bulk_load_that_broke_off_between_its_tables(spark, categories, tmp_path, monkeypatch):
+    store = ingest.Store(str(tmp_path / "store"))
+    catalog = spark.createDataFrame([(1, 1), (2, 2)], "product_code bigint, category_id bigint")
+    raw = receipts(spark, ("2021-03-01", 5, 1, "1 2"), ("2021-03-02", 5, 2, "1"))
+    write = ingest.writers.write_partitioned
+
+    def breaks(df, path, **options):
+        if path == store.baskets:
+            raise RuntimeError("lost")
+        return write(df, path, **options)
+
+    monkeypatch.setattr(ingest.writers, "write_partitioned", breaks)
+    with pytest.raises(RuntimeError):
+        ingest.bulk_load(spark, raw, catalog, categories, store)
+    monkeypatch.undo()
+    late = spark.createDataFrame(
+        [(datetime.date(2021, 3, 3), 5, 3, [2])], "date date, store_id bigint, customer_id bigint, categories array<bigint>"
+    )
+    incremental.ensure_tables(spark, store)
+    incremental.merge_batch(spark, late, categories, store)
+    held = readers.read_baskets(spark, store.baskets).collect()
+    assert sorted((r.customer_id, r.categories) for r in held) == [(1, [1, 2]), (2, [1]), (3, [2])]
+
+
 def test_dates_are_dates(spark, tmp_path):
     write_inputs(tmp_path)
     raw = readers.read_receipts_csv(spark, str(tmp_path / "*_Tran.csv"))

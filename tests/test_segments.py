@@ -161,4 +161,6 @@ def test_two_kinds_of_customers(make_baskets):
     rows = [("2013-01-01", 1, c, [1, 2]) for c in range(3)] + [("2013-03-01", 1, 9, [1, 2, 3])]
     result = segments.train_segments(features.customer_features(make_baskets(rows)))
     assert sorted(r["customer_count"] for r in as_dicts(segments.labelled_profiles(result.clusters))) == [1, 3]
-    assert [(r["k"], r["selected"]) for r in as_dicts(result.selection)] == [(2, True)]
+    tried = {r["k"]: r for r in as_dicts(result.selection)}
+    assert sorted(tried) == [2, 3, 4, 5, 6] and tried[2]["selected"] and tried[2]["skipped"] is None
+    assert all(tried[k]["silhouette"] is None and tried[k]["skipped"] for k in range(3, 7))
