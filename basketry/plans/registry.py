@@ -4,13 +4,13 @@ from collections.abc import Callable
 
 from pyspark.ml.fpm import FPGrowthModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from basketry.functions.labels import id_list
 from basketry.functions.stats import rounded
 from basketry.operators import analytics, features, filters, prepare, rules, segments, summary
-from basketry.plans.ingest import Store
+from basketry.plans.ingest import Store, bulk_load
 from basketry.plans.tables import RetailTables
 from basketry.schemas import FEATURE_COLUMNS
 from basketry.session import fresh_path, staged
@@ -22,6 +22,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 # Filter of the *_filtered queries, and the thresholds for the two item columns.
 SAMPLE_FILTER = {"start_date": "1997-01-01", "end_date": "1997-12-31", "store_id": 3}
 SIZE_SUPPORT, SIZE_CONFIDENCE = 0.004, 0.05
+# Key of the queries for one category or customer; what turns a category's id into an unknown one.
+SAMPLE_KEY, UNKNOWN_FROM = 7, 1000
 
 # Reports that accept the date and store filter, each from a RetailTables.
 FILTERED_REPORTS: dict[str, Callable[..., DataFrame]] = {
@@ -148,6 +150,82 @@ def recommendations_with_cluster(t: RetailTables) -> DataFrame:
     )
 
 
+def ruled_clusters(t: RetailTables) -> DataFrame:
+    """Customers in clusters that a rule deals out, so that what follows training has exact results."""
+    cluster = F.pmod(F.col("customer_id"), F.lit(5)).cast("int")
+    return features.customer_features(t.baskets).withColumn("cluster", cluster)
+
+
+def ruled_labels(t: RetailTables) -> DataFrame:
+    labels_ = segments.cluster_labels(segments.cluster_profiles(ruled_clusters(t)))
+    return labels_.withColumn("score", F.round("score", 6))
+
+
+def ruled_recommendations(t: RetailTables) -> DataFrame:
+    baskets = staged(t.baskets, "baskets")
+    found = rules.recommend(baskets, stored_rules(size_rules(baskets)), ruled_clusters(t))
+    return found.select(
+        "customer_id",
+        "cluster",
+        id_list(F.col("recommended_categories")).alias("recommended_categories"),
+        F.size("rules_used").cast("bigint").alias("rules_used"),
+    )
+
+
+def training_invariants(t: RetailTables) -> DataFrame:
+    """What must hold of any training: every customer has a cluster, the nearest one, and k is the first best."""
+    result = segmentation(t)
+    scaled = features.scaled_features(staged(features.customer_features(t.baskets), "features"))
+    vectors = scaled.select("customer_id", vector_to_array("scaled_features").alias("at"))
+
+    def distance(centre) -> Column:
+        parts = [(F.col("at")[i] - float(c)) * (F.col("at")[i] - float(c)) for i, c in enumerate(centre)]
+        return sum(parts[1:], parts[0])
+
+    distances = F.array(*[distance(c) for c in result.model.clusterCenters()])
+    farther = F.element_at(distances, F.col("cluster") + 1) > F.array_min(distances) + 1e-9
+    placed = vectors.join(result.clusters.select("customer_id", "cluster"), "customer_id", "left").agg(
+        F.count(F.lit(1)).alias("customers"),
+        F.count_if(F.col("cluster").isNull()).alias("without_cluster"),
+        F.count_if(farther).alias("not_nearest"),
+    )
+    tried = result.selection.orderBy("k").collect()  # a row for each k
+    best = max((r for r in tried if r["silhouette"] is not None), key=lambda r: r["silhouette"])
+    return placed.withColumns({
+        "tried": F.lit(len(tried)).cast("bigint"),
+        "first_best_selected": F.lit([r["k"] for r in tried if r["selected"]] == [best["k"]]),
+    })
+
+
+def one_category_rules(t: RetailTables) -> DataFrame:
+    found = stored_rules(size_rules(staged(t.baskets, "baskets")))
+    return rule_texts(rules.rules_for_category(found, SAMPLE_KEY))
+
+
+def one_customer_recommendations(t: RetailTables) -> DataFrame:
+    baskets = staged(t.baskets, "baskets")
+    found = rules.recommend(baskets, stored_rules(size_rules(baskets)), customer_id=SAMPLE_KEY)
+    return found.select(
+        "customer_id", id_list(F.col("recommended_categories")).alias("recommended_categories")
+    )
+
+
+def bulk_loaded(t: RetailTables) -> Store:
+    store = Store(fresh_path(t.spark, "store"))
+    bulk_load(t.spark, t.raw_receipts, t.catalog, t.categories, store)
+    return store
+
+
+def bulk_loaded_report(t: RetailTables) -> DataFrame:
+    """A report read from stored tables: lines of the sample store and year."""
+    return summary.top_categories(readers.read_lines(t.spark, bulk_loaded(t).lines), **SAMPLE_FILTER)
+
+
+def bulk_loaded_baskets(t: RetailTables) -> DataFrame:
+    baskets = readers.read_baskets(t.spark, bulk_loaded(t).baskets)
+    return baskets.withColumn("categories", id_list(F.col("categories")))
+
+
 def incoming(t: RetailTables) -> DataFrame:
     """Every receipt as an incoming record, its categories listed with repetitions."""
     return t.baskets.select(
@@ -155,13 +233,11 @@ def incoming(t: RetailTables) -> DataFrame:
     )
 
 
-def known_categories(t: RetailTables) -> DataFrame:
-    """The dimension without its last ten categories, to show the fallback name."""
-    return t.categories.filter(F.col("category_id") <= 40)
-
-
 def ingest_lines(t: RetailTables) -> DataFrame:
-    return incremental.incoming_lines(incoming(t), known_categories(t))
+    """Every record also names a category that the dimension does not know, to show the fallback name."""
+    unknown = F.array(F.element_at("categories", 1) + UNKNOWN_FROM)
+    records = incoming(t).withColumn("categories", F.concat("categories", unknown))
+    return incremental.incoming_lines(records, t.categories)
 
 
 def streamed_lines(t: RetailTables) -> DataFrame:
@@ -210,6 +286,17 @@ REPORTS: dict[str, Callable[[RetailTables], DataFrame]] = {
     "customer_cluster": lambda t: segments.customer_segments(segmentation(t).clusters),
     "pca_projection": projection,
     "pca_scatter": lambda t: segments.pca_scatter(segmentation(t).clusters),
+    "cluster_profiles_by_rule": lambda t: segments.labelled_profiles(ruled_clusters(t)),
+    "cluster_labels_by_rule": ruled_labels,
+    "customer_cluster_by_rule": lambda t: segments.customer_segments(ruled_clusters(t)),
+    "one_customer_cluster": lambda t: segments.customer_segments(ruled_clusters(t), SAMPLE_KEY),
+    "recommend_with_cluster_by_rule": ruled_recommendations,
+    "training_invariants": training_invariants,
+    "one_category_rules": one_category_rules,
+    "one_category_products": lambda t: rules.products_in_category(t.catalog, SAMPLE_KEY, 20),
+    "one_customer_recommendations": one_customer_recommendations,
+    "bulk_loaded_report": bulk_loaded_report,
+    "bulk_loaded_baskets": bulk_loaded_baskets,
     "frequent_itemsets": lambda t: itemset_texts(type_rules(t)),
     "frequent_itemsets_by_size": lambda t: itemset_texts(size_rules(staged(t.baskets, "baskets"))),
     "association_rules": lambda t: rule_texts(rules.association_rules(type_rules(t))),

@@ -11,7 +11,7 @@ import __spark_entry__ as driver
 
 FOLDER = "/root/testdata/sf0.001"
 # Thousands of partition folders each: run by check.py instead.
-SLOW = {"streamed_lines", "deduplicated_stream"}
+SLOW = {"streamed_lines", "deduplicated_stream", "bulk_loaded_report", "bulk_loaded_baskets"}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test data")
 
