@@ -35,11 +35,12 @@ HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
 VOID_TAGS = frozenset("area base br col embed hr img input link meta source track wbr".split())
 # Parts of class, id and role names that mark what is not the article.
 ASIDE_NAMES = frozenset(
-    "ad ads adv advert advertisement advertising alert banner breadcrumb breadcrumbs comment comments"
-    " complementary contentinfo cookie cookies disqus footer form gdpr header login masthead menu modal"
-    " nav navbar navigation newsletter notice notices popup promo promotion related replies respond"
+    "ad ads adv advert advertisement advertising alert banner breadcrumb breadcrumbs"
+    " complementary contentinfo cookie cookies footer form gdpr login masthead menu modal"
+    " nav navbar navigation newsletter notice notices popup promo promotion related"
     " search share sharing sidebar social sponsor sponsored subscribe toolbar widget".split()
 )
+COMMENT_NAMES = frozenset("comment comments commentlist disqus replies respond".split())
 # Frequent function words of the languages that stop-word density knows.
 STOP_WORDS = {
     "en": frozenset(
@@ -95,15 +96,17 @@ class Block:
 
 
 def place_of(tag: str, rest: str) -> str:
-    """What an element's own tag and names say about its content."""
+    """What an element's own tag and names say about its content: "main", "aside", "named" (aside by a name), "header"."""
+    if tag in ("html", "body"):
+        return ""
+    names = {part for value in NAMES.findall(rest) for part in NAME_PARTS.findall("".join(value).lower())} if rest else ()
+    if tag in ASIDE_TAGS or not COMMENT_NAMES.isdisjoint(names) or (rest and HIDDEN.search(rest)):
+        return "aside"
     if tag in MAIN_TAGS:
         return "main"
-    if tag in ASIDE_TAGS or (rest and HIDDEN.search(rest)):
-        return "aside"
-    for value in NAMES.findall(rest) if rest else ():
-        if not ASIDE_NAMES.isdisjoint(NAME_PARTS.findall("".join(value).lower())):
-            return "aside"
-    return "header" if tag == "header" else ""
+    if not ASIDE_NAMES.isdisjoint(names):
+        return "named"
+    return "header" if tag == "header" or "header" in names else ""
 
 
 def blocks(page: str) -> Iterator[Block]:
@@ -127,8 +130,9 @@ def blocks(page: str) -> Iterator[Block]:
         if "aside" in places:
             return "aside"
         if "main" in places:
-            return "main"  # a header inside the article is part of it
-        return "aside" if "header" in places else ""
+            # A header inside the article is part of it; a page may be wrapped in "with-sidebar".
+            return "aside" if "named" in places[places.index("main") :] else "main"
+        return "aside" if "named" in places or "header" in places else ""
 
     at = 0
     for m in MARKUP.finditer(page):

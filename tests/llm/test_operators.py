@@ -390,3 +390,6 @@ def test_markup_inside_the_article():
     )
     assert html_blocks.main_text(page)[0] == "Head & line\nOne two three\nFour\nItem"
     assert html_blocks.main_text("")[0] == ""
+    page = "<body class='no-sidebar'><div class='with-sidebar'><article><div class='post-header'><h1>T</h1></div><p>a</div></article>"
+    assert html_blocks.main_text(page)[0] == "T\na"
+    assert html_blocks.main_text("<main><p>a<div id='comments'><article><p>b</article></div></main>")[0] == "a"
