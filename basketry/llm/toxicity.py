@@ -26,7 +26,7 @@ from basketry.session import staged
 
 WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*|[\"“”«»„]")
 QUOTES = frozenset("\"“”«»„")
-FEATURES = ("sure", "close", "context", "quoted", "clustered", "density", "any")
+FEATURES = ("weight", "close_share", "context", "quoted", "clustered", "density", "any")
 # Digits and signs that stand for letters in disguised words.
 LOOKALIKES = str.maketrans("013457@$", "oieastas")
 
@@ -144,7 +144,7 @@ class Matcher:
         found = self.trie.within(word, self.distance)
         if found is None:
             return None
-        return found[0], found[1], self.spellings.get(word, 0.5 * self.odds[found[0]])
+        return found[0], found[1], self.spellings.get(word, 0.7 * self.odds[found[0]])
 
 
 class Memory(dict):
@@ -187,20 +187,19 @@ def features(raw: list[bytes], memory: Memory, context: dict[str, float], window
     hits = [(i, hit) for i, found in enumerate(map(memory.__getitem__, raw)) if found for hit in found]
     if not hits:
         return [0.0] * len(FEATURES)
-    sure = sum(w for _, (_, d, w) in hits if d == 0)
-    close = sum(w for _, (_, d, w) in hits if d > 0)
+    close = sum(max(w, 0.0) for _, (_, d, w) in hits if d > 0)
+    weight = max(sum(w for _, (_, _, w) in hits), 0.0)
     around = [sum(context.get(c, 0.0) for c in context_words(raw, i, window)) for i, _ in hits]
     quoted = sum(is_quoted(raw, i, window) for i, _ in hits) / len(hits)
     places = [i for i, _ in hits]
     clustered = sum(b - a <= window for a, b in zip(places, places[1:]))
-    weight = sure + close
     return [
-        np.log1p(max(sure, 0.0)),
-        float(np.sign(close) * np.log1p(abs(close))),
+        np.log1p(weight),
+        min(close / weight, 1.0) if weight else 0.0,
         float(np.mean(around)),
         quoted,
         np.log1p(clustered),
-        np.log1p(100.0 * max(weight, 0.0) / len(raw)),
+        np.log1p(100.0 * weight / len(raw)),
         1.0,
     ]
 

@@ -153,7 +153,7 @@ def test_toxicity_learns_terms_spellings_and_quotation(spark):
             words[10:10] = ["he", "said", '"vermin"', "and", "wrote"]
         texts.append(" ".join(words))
         labels.append((i, 1, int(toxic)))
-    texts += ["some words and vermni here with others", "some words and here with others"]
+    texts += ["some words then vermni here with others", "some words then here with others"]
     table = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
     rows = {r["doc_id"]: r for r in toxicity.score(make(spark, texts), table).collect()}
     tested = [i for i in range(900) if zlib.crc32(str(i).encode()) % 5 == 0]
