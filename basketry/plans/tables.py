@@ -46,26 +46,27 @@ class RetailTables:
         broadcast, whatever a size estimate says; a sort-merge join lets
         adaptive execution split an order that holds most of the items.
         """
-        bought = self.table("lineitem").select("l_orderkey", F.col("l_partkey").alias("product_code"))
+        return self.line_items.select(*RECEIPT_KEY, F.col("l_partkey").alias("product_code"))
+
+    @property
+    def line_items(self) -> DataFrame:
+        bought = self.table("lineitem").select("l_orderkey", "l_partkey", "l_suppkey")
         same_order = F.col("l_orderkey") == F.col("o_orderkey")
-        return bought.hint("merge").join(self.receipts, same_order).select(
-            *RECEIPT_KEY, "product_code"
-        )
+        return bought.hint("merge").join(self.receipts, same_order)
 
     @property
     def raw_receipts(self) -> DataFrame:
-        """Receipts as text: one per line item, with blanks and a bad token around the code.
+        """Receipts as text: one per line item, with blanks and a bad token around two codes.
 
-        Receipts of the same customer, store and day merge, so these build the
-        same transactions as the orders do.
+        The second code is the supplier's number, read as a product's.  Receipts
+        of the same customer, store and day merge into one transaction.
         """
-        return self.items.select(
+        codes = [F.col(c).cast("string") for c in ("l_partkey", "l_suppkey")]
+        return self.line_items.select(
             F.col("date").cast("string").alias("date"),
             "store_id",
             "customer_id",
-            F.concat(F.lit(" "), F.col("product_code").cast("string"), F.lit("  x ")).alias(
-                "products_raw"
-            ),
+            F.concat(F.lit(" "), codes[0], F.lit("  x "), codes[1], F.lit(" ")).alias("products_raw"),
         )
 
     @property
