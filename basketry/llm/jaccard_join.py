@@ -10,7 +10,7 @@ tokens.  The steps:
     ``share`` - 1 tokens than sharing one would need, so linked nodes share at
     least ``share`` of them.  Buckets of up to ``small`` nodes give pairs of
     fitting size, and pairs that share enough tokens are candidates; a larger
-    bucket's nodes all stay candidates.
+    bucket's nodes all stay candidates if they meet others in enough buckets.
 3.  The candidates' sets are read once.  A candidate must also share prefix
     tokens under every other order, which is asked of nodes before their sets
     are shuffled and of pairs before they are compared.
@@ -200,16 +200,27 @@ def near_sizes(settings: Settings):
     return Window.partitionBy("token").orderBy(F.floor(F.ln("n") * 1e6)).rangeBetween(-reach, reach)
 
 
-def meeting(nodes: DataFrame, settings: Settings) -> DataFrame:
-    """(token, node, n, size of the bucket) of nodes with a prefix that meet another node of fitting size in the token's bucket."""
-    posted = nodes.select(F.explode("prefix").alias("token"), "node", "n")
-    posted = posted.withColumns({
+def postings(nodes: DataFrame) -> DataFrame:
+    """(token, node, n) once for every token of a node's prefix, dealt out by token."""
+    return nodes.select(F.explode("prefix").alias("token"), "node", "n").repartition("token").distinct()
+
+
+def meeting(posted: DataFrame, settings: Settings) -> DataFrame:
+    """Adds the size of the token's bucket, for nodes that meet another one of fitting size there."""
+    posted = posted.select("token", "node", "n").withColumns({
         "fitting": F.count("*").over(near_sizes(settings)),
         "size": F.count("*").over(Window.partitionBy("token")),
     })
     return posted.filter("fitting > 1").drop("fitting")
 
 
+def meeting_often(posted: DataFrame, settings: Settings) -> DataFrame:
+    """Postings of the nodes that meet others in as many buckets as linked nodes must."""
+    least = F.least(F.lit(settings.share), F.expr(f"({settings.percent} * n + 99) div 100"))
+    often = posted.groupBy("node", "n").count().filter(F.col("count") >= least).select("node")
+    return meeting(posted.join(often, "node", "left_semi"), settings)
+
+
 def small_bucket_pairs(posted: DataFrame, settings: Settings) -> DataFrame:
     """(a, b): nodes of fitting size that share as many tokens as linked nodes must, all counted in small buckets.
 
@@ -448,8 +459,8 @@ def linked_components(docs: DataFrame, settings: Settings = Settings()) -> DataF
     known = staged(nodes_of(docs, classes, settings), "nodes")
     # One document stands for all with the same set.
     stand_in = known.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    prefixes = known.filter("node is not null").groupBy("node").agg(F.first("n").alias("n"), F.first("prefix").alias("prefix"))
-    posted = staged(meeting(prefixes, settings), "posted")
+    posted = staged(meeting(postings(known.filter("node is not null")), settings), "posted")
+    posted = staged(meeting_often(posted, settings), "posted")
     pairs = staged(small_bucket_pairs(posted, settings), "pairs")
     large = posted.filter(F.col("size") > settings.small)
     candidates = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(large.select("node")).distinct()
@@ -457,7 +468,7 @@ def linked_components(docs: DataFrame, settings: Settings = Settings()) -> DataF
     sets = staged(sets_of(docs, wanted, settings), "sets")
     others, left = [], sets
     for order in range(1, settings.orders):
-        others.append(staged(meeting(with_prefix(left, classes, order, settings), settings), "posted"))
+        others.append(staged(meeting(postings(with_prefix(left, classes, order, settings)), settings), "posted"))
         left = left.join(others[-1].select("node").distinct(), "node", "left_semi")
     survivors = others[-1].select("node").distinct() if others else sets.select("node")
     large = staged(large.join(survivors, "node", "left_semi"), "large")
