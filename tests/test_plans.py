@@ -80,6 +80,16 @@ def test_lines_of_baskets_do_not_shuffle_baskets(stored, categories, plan_of):
     assert not any("transaction_id" in e or "customer_id" in e for e in exchanges(plan))
 
 
+def test_names_reach_lines_without_a_shuffle_by_category(spark, stored, categories, plan_of):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(prepare.lines_of(stored[1], categories), "simple")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan and not any("category_id" in e for e in exchanges(plan))
+
+
 def test_group_limits_come_before_the_shuffle(spark, plan_of):
     catalog = spark.range(1000).selectExpr("id AS product_code", "id % 7 AS category_id")
     plan = plan_of(rules.products_by_category(catalog), "simple")
