@@ -16,7 +16,6 @@ added up before any shuffle; each level of the tree is one aggregation by
 """
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
