@@ -213,6 +213,31 @@ def test_copies_are_kept_and_junk_is_not(spark):
     assert not any(rows[i]["kept"] for i in range(500, 508))
 
 
+def test_model_grows_with_the_corpus(spark):
+    few, many = (make(spark, [" ".join(f"w{(i * 37 + k) % n}" for k in range(40)) for i in range(n)]) for n in (40, 4000))
+    sizes = []
+    for docs in (few, many):
+        known, models = perplexity.train(docs)
+        sizes.append((len(known.words[0][0]), len(models[0].bigrams.hashes)))
+    assert sizes[0][0] == 40 and sizes[1][0] == 4000  # every word occurs 40 times, whatever the size
+    blown = make(spark, [" ".join(t) for t in (["a b", "c a b"] * 5, ["d a b"], ["z" * 40_000_000])])
+    known, models = perplexity.train(blown)
+    assert len(known.words[0][0]) == 3 and len(models[0].bigrams.hashes)  # 40 MB of bytes leave words and bigrams in
+
+
+def test_joined_model_scores_as_the_broadcast_one(spark):
+    texts = prose(random.Random(16), [120] * 80 + [1, 2, 0], known=40)
+    texts += [texts[0], texts[0], None]
+    docs = make(spark, texts)
+    whole = {r["doc_id"]: r for r in perplexity.quality(docs).collect()}
+    joined = {r["doc_id"]: r for r in perplexity.quality(docs, perplexity.Settings(broadcast_ngrams=0)).collect()}
+    assert set(whole) == set(joined) == set(range(len(texts)))
+    for i, r in whole.items():
+        assert r["kept"] == joined[i]["kept"] and r["n_words"] == joined[i]["n_words"]
+        assert (r["log_perplexity"] is None) == (joined[i]["log_perplexity"] is None)
+        assert r["log_perplexity"] is None or abs(r["log_perplexity"] - joined[i]["log_perplexity"]) < 1e-6
+
+
 # Weak labels
 
 
