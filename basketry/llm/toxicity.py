@@ -37,7 +37,6 @@ class Settings:
     min_z: float = 2.5  # log-odds of toxic against clean, smoothed, in standard errors
     min_odds: float = 2.0
     max_terms: int = 1_000
-    certain_z: float = 5.0  # terms at least as sure are also found misspelled
     distance: int = 1
     min_length: int = 5  # shorter terms match exactly only
     window: int = 4
@@ -102,7 +101,7 @@ class Matcher:
 
     terms: list[str]
     odds: list[float]
-    certain: list[bool]  # terms sure enough to be looked for in other spellings
+    certain: list[bool]  # terms that are looked for in other spellings; every learned term is
     spellings: dict[str, float]
     distance: int
     min_length: int
@@ -258,13 +257,13 @@ def learn_matcher(sample: DataFrame, sizes: dict[int, int], settings: Settings)
         .filter((F.col("z") >= settings.min_z) & (F.col("odds") >= settings.min_odds) & (F.length("word") > 2))
         .orderBy(F.desc("z"), "word")
         .limit(settings.max_terms)
-        .select("word", "odds", "z")
+        .select("word", "odds")
         .collect()  # at most max_terms rows
     )
     matcher = Matcher(
         [r["word"] for r in terms],
         [r["odds"] for r in terms],
-        [r["z"] >= settings.certain_z for r in terms],
+        [True] * len(terms),
         {},
         settings.distance,
         settings.min_length,

@@ -162,6 +162,18 @@ def test_toxicity_learns_terms_spellings_and_quotation(spark):
     assert rows[900]["predicted"] == 1 and rows[901]["predicted"] == 0
 
 
+def test_misspellings_are_found_with_few_labels(spark):
+    rng = random.Random(14)
+    plain = prose(rng, [40] * 160)
+    texts = [f"{t} lowlife" if i % 4 == 0 else t for i, t in enumerate(plain)]
+    labels = [(i, 1, int(i % 4 == 0)) for i in range(160)]
+    texts += ["some words then lowlive here with others", "some words then here with others"]
+    table = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
+    rows = {r["doc_id"]: r for r in toxicity.score(make(spark, texts), table).collect()}
+    assert rows[160]["any"] == 1 and rows[161]["any"] == 0
+    assert rows[160]["score"] > 10 * rows[161]["score"]
+
+
 # Perplexity
 
 
