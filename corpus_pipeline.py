@@ -5,9 +5,10 @@ Each stage gets what its predecessor kept, decides with one of the operators in
 packed sequences.  Between stages the documents are written and read again, so
 a lost executor costs the stage at hand only.
 
-What a stage decides is joined to the documents by ``doc_id``.  Rows that share
-an id share their fate, except that repeated rows are one document to the
-near-duplicate stage, and copies that the mix takes are packed one by one.
+The first three stages name every row by a hash of its id and text, and what they
+decide is joined to the documents by that.  Ids may be null or repeated: only rows
+equal in id and text share their fate, and are one document to the near-duplicate
+stage.  Copies that the mix takes are packed one by one.
 """
 
 from collections.abc import Callable
@@ -23,39 +24,59 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """The documents with a key of their own; nulls count, as a hash would pass over them."""
+    parts = [part for c in ("doc_id", "text") for part in (F.col(c), F.col(c).isNull())]
+    return docs.select(*COLUMNS, F.xxhash64(*parts).alias("row_key"))
+
+
+def by_key(docs: DataFrame) -> DataFrame:
+    """What an operator reads: the key stands for the id."""
+    return keyed(docs).withColumn("doc_id", F.col("row_key")).drop("row_key")
+
+
 def without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
-    """The documents whose id is not among the rejected; a null id is one like any other."""
+    """The documents whose key is not among the rejected."""
     out = staged(rejected.select(F.col("doc_id").alias("out")).distinct(), "rejected")
-    return docs.select(*COLUMNS).join(out, F.col("doc_id").eqNullSafe(F.col("out")), "left_anti")
+    return keyed(docs).join(out, F.col("row_key") == F.col("out"), "left_anti").select(*COLUMNS)
 
 
 def once_each(docs: DataFrame) -> DataFrame:
-    """One row an id; only texts whose id repeats are shuffled."""
-    repeated = docs.groupBy(F.col("doc_id").alias("again")).count().filter("count > 1").select("again")
+    """One row a key; only texts whose key repeats are shuffled."""
+    docs = keyed(docs)
+    repeated = docs.groupBy(F.col("row_key").alias("again")).count().filter("count > 1").select("again")
     repeated = staged(repeated, "repeated")
     if repeated.isEmpty():
-        return docs
-    same = F.col("doc_id").eqNullSafe(F.col("again"))
-    return docs.join(repeated, same, "left_anti").union(
-        docs.join(repeated, same, "left_semi").dropDuplicates(["doc_id"])
-    )
+        return docs.select(*COLUMNS)
+    same = F.col("row_key") == F.col("again")
+    rest = docs.join(repeated, same, "left_semi").dropDuplicates(["row_key"])
+    return docs.join(repeated, same, "left_anti").union(rest).select(*COLUMNS)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and lie inside their language's perplexity band."""
-    return without(docs, perplexity.quality(docs).filter("not kept"))
+    return without(docs, perplexity.quality(by_key(docs)).filter("not kept"))
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier holds for good."""
-    return without(docs, weak_quality.quality(docs).filter("not kept"))
+    return without(docs, weak_quality.quality(by_key(docs)).filter("not kept"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group over links of five-word shingles with a similarity of 0.8 or more: the least id."""
+    """One document of each group over links of five-word shingles with a similarity of 0.8 or more: the least id.
+
+    A null id comes after all others; the key decides between equal ids.
+    """
     settings = jaccard_join.Settings(words=5, percent=80)
-    found = jaccard_join.linked_components(docs, settings)
-    return once_each(without(docs, found.filter("doc_id != component_id")))
+    found = jaccard_join.linked_components(by_key(docs), settings)
+    found = found.select(F.col("doc_id").alias("row_key"), "component_id").distinct()
+    ids = keyed(docs).select("row_key", "doc_id")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key")
+    least = ids.join(found, "row_key").groupBy("component_id").agg(F.min(place).alias("least"))
+    least = staged(least.select(F.col("least.row_key").alias("chosen")), "chosen")
+    chosen = keyed(docs).join(least, F.col("row_key") == F.col("chosen"), "left_semi")
+    return once_each(chosen)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -71,6 +71,21 @@ def test_empty_table(name, spark, docs, labels):
     assert OPERATORS[name](docs.limit(0), labels.limit(0)).collect() == []
 
 
+def test_rows_without_or_with_one_id_have_their_own_fate(spark, monkeypatch):
+    texts = ["".join(f" {c}{k}" for k in range(40)) for c in "abcd"]
+    rows = [(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (7, texts[3]), (None, texts[2]), (9, texts[2]), (8, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA)
+    kept = corpus_pipeline.near_duplicates(spark, docs, "").select("doc_id", "text").collect()
+    want = [(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (8, None)]
+    assert sorted(map(tuple, kept), key=str) == sorted(want, key=str)
+    for module, stage in ((perplexity, corpus_pipeline.quality_rules), (weak_quality, corpus_pipeline.quality_classifier)):
+        bad = F.coalesce(F.col("text").isin(texts[1], texts[2]), F.lit(True))
+        monkeypatch.setattr(module, "quality", lambda d: d.select("doc_id", (~bad).alias("kept")))
+        kept = stage(spark, docs, "").select("doc_id", "text").collect()
+        want = [r for r in rows if r[1] in (texts[0], texts[3])]
+        assert sorted(map(tuple, kept), key=str) == sorted(want, key=str)
+
+
 @pytest.mark.parametrize("stage", [name for name, _ in corpus_pipeline.STAGES])
 def test_stages_on_edge_rows_and_nothing(stage, spark, docs):
     function = dict(corpus_pipeline.STAGES)[stage]
