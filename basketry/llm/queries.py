@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.llm import hashing_ann, html_blocks, jaccard_join, mixture, packing, perplexity, range_shards, toxicity, url_templates, weak_quality
+from basketry.llm import hashing_ann, html_blocks, jaccard_join, line_dedup, mixture, packing, perplexity, range_shards, toxicity, url_templates, weak_quality
 from basketry.llm.url_templates import Rule
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,6 +64,11 @@ def op10_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return html_blocks.extract(table(spark, folder, "pages"))
 
 
+def op13_range_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    left = line_dedup.deduplicated(table(spark, folder, "documents"))
+    return left.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -77,6 +82,7 @@ QUERIES: dict[str, Query] = {
         op8_splitting_tree_mix,
         op9_sampled_splitter_shards,
         op10_html_extraction,
+        op13_range_line_dedup,
     )
 }
 
@@ -111,4 +117,30 @@ SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, (SELECT min(y) FROM reach W
 FROM sets
 """
 
-ORACLES: dict[str, str] = {"op7_ngram_jaccard_join": JACCARD_COMPONENTS}
+# Every line with its key, the keys that go, and the lines that are left.
+REPEATED_LINES = r"""
+WITH texts AS (
+    SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+), flat AS (
+    SELECT doc_id, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS place FROM texts
+), keyed AS (
+    SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS line_key
+    FROM flat
+), repeated AS (
+    SELECT line_key, max(doc_id) AS largest
+    FROM keyed
+    WHERE length(line_key) >= 40
+    GROUP BY line_key
+    HAVING count(DISTINCT doc_id) >= 5
+), judged AS (
+    SELECT keyed.*, repeated.largest IS NOT NULL AND doc_id <> repeated.largest AS gone
+    FROM keyed LEFT JOIN repeated USING (line_key)
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS kept_sha256
+FROM judged
+GROUP BY doc_id
+"""
+
+ORACLES: dict[str, str] = {"op7_ngram_jaccard_join": JACCARD_COMPONENTS, "op13_range_line_dedup": REPEATED_LINES}
