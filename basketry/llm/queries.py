@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from basketry.llm import hashing_ann, html_blocks, jaccard_join, line_dedup, mixture, packing, perplexity, range_shards, toxicity, url_templates, weak_quality
+from basketry.llm import hashing_ann, html_blocks, jaccard_join, line_dedup, mixture, packing, perplexity, range_shards, spelling_variants, token_alignment, toxicity, url_templates, weak_quality
 from basketry.llm.url_templates import Rule
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +18,7 @@ URL_RULES = [
     Rule("block", "com", "/de/"),
 ]
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+VOCABULARIES = token_alignment.Vocabularies(VOCABULARY, public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -64,6 +65,15 @@ def op10_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return html_blocks.extract(table(spark, folder, "pages"))
 
 
+def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling_variants.variants(table(spark, folder, "documents"))
+
+
+def op12_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    found = token_alignment.align(table(spark, folder, "documents"), VOCABULARIES)
+    return found.withColumnRenamed("groups", "groups_sha256")
+
+
 def op13_range_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     left = line_dedup.deduplicated(table(spark, folder, "documents"))
     return left.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -82,6 +92,8 @@ QUERIES: dict[str, Query] = {
         op8_splitting_tree_mix,
         op9_sampled_splitter_shards,
         op10_html_extraction,
+        op11_spelling_variants,
+        op12_token_alignment,
         op13_range_line_dedup,
     )
 }
