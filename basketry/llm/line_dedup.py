@@ -203,9 +203,9 @@ def dropped_lines(docs: DataFrame, settings: Settings = Settings()) -> DataFrame
     """(doc, row, line) of every line that goes."""
     places = staged(hashed_lines(docs, settings.least_chars), "lines")
     found = staged(decided(places, settings.least_docs), "found")
-    rest = found.filter(F.col("kind") == UNDECIDED).join(
-        verdicts(found.filter(F.col("kind") == SUMMARY), settings.least_docs), ["h1", "h2"]
-    )
+    # Two hashes a partition at most, and one for each time that a partition's memory was overrun.
+    sure_of = F.broadcast(verdicts(found.filter(F.col("kind") == SUMMARY), settings.least_docs))
+    rest = found.filter(F.col("kind") == UNDECIDED).join(sure_of, ["h1", "h2"])
     columns = ["doc", "row", "line"]
     sure = found.filter(F.col("kind") == DROPPED).select(columns)
     return sure.union(rest.filter(F.col("doc") != F.col("largest")).select(columns))
