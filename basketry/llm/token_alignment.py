@@ -5,9 +5,9 @@ in common.  Two tokens whose ranges overlap are linked; places where tokens of b
 end cut the text into groups.  A pair of ids counts as many links as hold it over the
 whole corpus.
 
-First pass: tasks align their documents and add up pairs; the distinct pairs get a
-minimal perfect hash (every key has one slot, no slot is empty), built block by block.
-Each task's counts become a dense vector indexed by that hash, cut into slices, and
+Texts are tokenised once; their ids are written as a table.  First pass: tasks align
+their documents and add up pairs; the distinct pairs get a minimal perfect hash (every
+key has one slot, no slot is empty), built block by block.  Each task's counts become a dense vector indexed by that hash, cut into slices, and
 the vectors are added up in a tree of fixed fan-in.  Every slot also stores its key,
 so that a pair the hash has never seen is recognised.  Second pass: documents are
 aligned again and look their links' counts up.
@@ -16,13 +16,12 @@ The table of counts is broadcast up to ``broadcast_pairs`` pairs, a bound that i
 checked; the vocabularies bound it too (50,257 x 32,000).  A larger table stays a
 table: documents' pairs are joined to it.  Both ways give the same rows.
 
-Texts are aligned unit by unit (a run of blanks with what follows it), where both
-vocabularies surely have a token's end, and units met before are looked up.
+Documents are aligned many at a time: the ends of both vocabularies' tokens, merged,
+cut the bytes into stretches that lie in one token of each, and each stretch is a link.
 """
 
 import hashlib
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,8 +32,8 @@ from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from basketry.llm import packing
 from basketry.llm.common import opened, ship, utf8
-from basketry.llm.packing import _byte_letters
 from basketry.session import staged
 
 # A pair of ids in one number: the second id takes the lower bits.
@@ -42,11 +41,6 @@ ID_BITS = 20
 LOW = (1 << ID_BITS) - 1
 SLICE = 8192
 FAN_IN = 8
-# White space of both pre-tokenisers; all of it, and all but the blank.
-OTHER_SPACE = "\\t\\n\\r\\f\\v\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-SPACE = " " + OTHER_SPACE
-# Starts at a run of white space that begins with a blank, or at the text's start; ends before the next such run.
-UNIT = rf"[{SPACE}]*[^{SPACE}]+(?:[{OTHER_SPACE}][{SPACE}]*[^{SPACE}]+)*(?:[{OTHER_SPACE}][{SPACE}]*\Z)?|[{SPACE}]+"
 COLUMNS = "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint"
 NAMES = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups"]
 
@@ -59,143 +53,208 @@ class Vocabularies:
     pieces_file: str
 
 
-@dataclass
-class Unit:
-    """The tokens of a piece of text, lined up; ``valid`` if both vocabularies spell it."""
-
-    valid: bool
-    n_a: int
-    n_b: int
-    n_groups: int
-    pairs: np.ndarray
-    groups: str
-
-
-def line_up(a: list[int], a_ends: list[int], b: list[int], b_ends: list[int]) -> tuple[list[int], list[str]]:
-    """(linked pairs, groups as text) of two token sequences over the same bytes."""
-    pairs, groups = [], []
-    i = j = first_a = first_b = 0
-    while i < len(a) and j < len(b):
-        pairs.append(a[i] << ID_BITS | b[j])
-        end_a, end_b = a_ends[i], b_ends[j]
-        i += end_a <= end_b
-        j += end_b <= end_a
-        if end_a == end_b:
-            groups.append(",".join(map(str, a[first_a:i])) + "|" + ",".join(map(str, b[first_b:j])))
-            first_a, first_b = i, j
-    return pairs, groups
-
-
-class Aligner:
-    """Units of a text, and their alignment."""
+class ByteTokens:
+    """Ids of a byte-level vocabulary, for a text with a blank before it."""
 
-    def __init__(self, files: Vocabularies):
-        import json
-        import os
+    def __init__(self, file: str):
+        self.encoder = packing.Encoder(file)
+        self.encoder.whole.encode_special_tokens = True
+        letters = packing._byte_letters()
+        byte_of = {c: b for b, c in letters.items()}
+        vocabulary = self.encoder.whole.get_vocab(with_added_tokens=False)
+        self.spelt = [b""] * (max(vocabulary.values()) + 1)
+        for token, i in vocabulary.items():
+            if all(c in byte_of for c in token):
+                self.spelt[i] = bytes(byte_of[c] for c in token)
+
+    def encode(self, text: str) -> bytes:
+        return self.encoder.encode(" " + text)
+
+
+class PieceTokens:
+    """Ids of a piece vocabulary, which puts a blank before the text by itself.
+
+    If no piece goes on from a character into a blank, what stands between blanks is encoded by itself and
+    remembered; else whole texts are.
+    """
+
+    ROOM = 500_000
 
+    def __init__(self, file: str):
         from sentencepiece import SentencePieceProcessor
-        from tokenizers import Tokenizer
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.a = Tokenizer.from_file(files.bytes_file)
-        self.a.encode_special_tokens = True
-        with open(files.bytes_file, encoding="utf-8") as f:
-            spec = json.load(f)
-        byte_of = {c: b for b, c in _byte_letters().items()}
-        special = {t["content"] for t in spec.get("added_tokens", ())}
-        self.a_bytes = {
-            i: bytes(byte_of[c] for c in token) for token, i in spec["model"]["vocab"].items() if token not in special
-        }
-        self.b = SentencePieceProcessor(model_file=files.pieces_file)
-        self.b_bytes = [self._piece(i) for i in range(self.b.get_piece_size())]
-        # Units may be taken one by one only if no piece goes on from a character into a blank.
-        plain = [i for i in range(len(self.b_bytes)) if not (self.b.is_byte(i) or self.b.is_control(i) or self.b.is_unknown(i))]
-        across = any(re.search(rb"[^ ] ", self.b_bytes[i]) for i in plain)
-        self.split = (lambda text: [text]) if across else re.compile(UNIT).findall
-
-    def _piece(self, i: int) -> bytes:
-        if self.b.is_byte(i):
-            return bytes([int(self.b.id_to_piece(i)[3:5], 16)])
-        return self.b.id_to_piece(i).replace("▁", " ").encode()
-
-    def unit(self, text: str) -> Unit:
-        """``text`` starts with a blank, which the piece vocabulary puts there by itself."""
-        a = self.a.encode(text, add_special_tokens=False).ids
-        # Alone, a blank would be taken for nothing: a character that ends before it stands in.
-        b = self.b.encode(text[1:], num_threads=1) if text != " " else self.b.encode("a ")[1:]
-        a_parts, b_parts = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        whole = text.encode()
-        if b"".join(a_parts) != whole or b"".join(b_parts) != whole:
-            return Unit(False, 0, 0, 0, np.zeros(0, np.int64), "")
-        ends = [np.cumsum([len(p) for p in parts]).tolist() for parts in (a_parts, b_parts)]
-        pairs, groups = line_up(a, ends[0], b, ends[1])
-        return Unit(True, len(a), len(b), len(groups), np.array(pairs, np.int64), ";".join(groups))
-
-    def units(self, text: bytes) -> list[str]:
-        return self.split(" " + text.decode("utf-8", "replace")) if text else []
-
-
-class Units:
-    """Units by number, remembered for one batch after another up to a bound; long ones are rarely met again."""
-
-    ROOM, CHARS = 200_000, 4_000_000
-
-    def __init__(self, aligner: Aligner):
-        self.aligner, self.number, self.known, self.size, self.turn = aligner, {}, [], 0, 0
-
-    def numbers(self, texts: list[bytes]) -> list[np.ndarray]:
-        """The units' numbers for each text; numbers hold until the next call."""
-        if len(self.known) > self.ROOM or self.size > self.CHARS:
-            self.number, self.known, self.size, self.turn = {}, [], 0, self.turn + 1
-        out, number = [], self.number
-        for text in texts:
-            units = self.aligner.units(text)
-            for new in {*units}.difference(number):
-                number[new] = len(self.known)
-                self.known.append(self.aligner.unit(new))
-                self.size += len(new)
-            out.append(np.fromiter(map(number.__getitem__, units), np.int64, len(units)))
+
+        self.pieces = SentencePieceProcessor(model_file=file)
+        self.spelt = [self._spell(i) for i in range(self.pieces.get_piece_size())]
+        kinds = (self.pieces.is_byte, self.pieces.is_control, self.pieces.is_unknown)
+        plain = [i for i in range(len(self.spelt)) if not any(kind(i) for kind in kinds)]
+        self.one_by_one = not any(re.search(rb"[^ ] ", self.spelt[i]) for i in plain)
+        self.known: dict[str, bytes] = {}
+
+    def _spell(self, i: int) -> bytes:
+        if self.pieces.is_byte(i):
+            return bytes([int(self.pieces.id_to_piece(i)[3:5], 16)])
+        return self.pieces.id_to_piece(i).replace("▁", " ").encode()
+
+    def _ids(self, text: str) -> bytes | None:
+        """None if the tokens do not spell the text."""
+        ids = self.pieces.encode(text, num_threads=1)
+        if b"".join([self.spelt[i] for i in ids]) != b" " + text.encode():
+            return None
+        return np.asarray(ids, "<u4").tobytes()
+
+    def _remembered(self, chunk: str) -> bytes | None:
+        if len(self.known) >= self.ROOM:
+            self.known.clear()
+        found = self.known[chunk] = self._ids(chunk)
+        return found
+
+    def encode(self, text: str) -> bytes | None:
+        chunks = text.split(" ")
+        if not self.one_by_one or "" in chunks:
+            return self._ids(text)
+        get = self.known.get
+        parts = [get(c) or self._remembered(c) for c in chunks]
+        return None if None in parts else b"".join(parts)
+
+
+def tokenised(docs: DataFrame, files: Vocabularies) -> DataFrame:
+    """doc_id, a hash of the text, and the ids of both vocabularies, empty where a text has no tokens."""
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b = ByteTokens(files.bytes_file), PieceTokens(files.pieces_file)
+        sizes = np.array([len(x) for x in a.spelt])
+        for batch in batches:
+            rows = []
+            for raw in utf8(batch, "text"):
+                text = raw.decode("utf-8", "replace")
+                second = b.encode(text) if text else None
+                first = a.encode(text) if second else b""
+                ids = np.frombuffer(first, "<u4")
+                spelt = second and sizes[ids].sum() == len(raw) + 1
+                rows.append((_small(ids, sizes), _small(np.frombuffer(second, "<u4"), b.spelt)) if spelt else (b"", b""))
+            columns = [pa.array([r[k] for r in rows], pa.binary()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), *columns], ["doc_id", "key", "a", "b"])
+
+    chosen = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.md5("text").alias("key"), "text")
+    return chosen.mapInArrow(encode, "doc_id bigint, key string, a binary, b binary")
+
+
+def _width(vocabulary) -> str:
+    return "<u2" if len(vocabulary) <= 1 << 16 else "<u4"
+
+
+def _small(ids: np.ndarray, vocabulary) -> bytes:
+    return ids.astype(_width(vocabulary)).tobytes()
+
+
+class Spelling:
+    """Both vocabularies' token lengths, and the ids as text."""
+
+    def __init__(self, files: Vocabularies):
+        a, b = ByteTokens(files.bytes_file), PieceTokens(files.pieces_file)
+        self.sizes = [np.array([len(x) for x in v.spelt]) for v in (a, b)]
+        self.widths = [_width(v.spelt) for v in (a, b)]
+        # An id with what follows it: within its side of a group, or at the side's end.
+        count = max(map(len, self.sizes))
+        self.text = [f"{i}{sign}" for sign in ",|;" for i in range(count)]
+        self.inner, self.bar, self.end = 0, count, 2 * count
+
+    def line_up(self, batch: pa.RecordBatch) -> "Links":
+        sides = []
+        for name, width, sizes in zip("ab", self.widths, self.sizes, strict=True):
+            rows = [np.frombuffer(x, width) for x in batch.column(name).to_pylist()]
+            ids = np.concatenate(rows or [np.zeros(0, width)]).astype(np.int64)
+            sides.append((ids, np.cumsum(sizes[ids]), np.array([len(r) for r in rows], np.int64)))
+        return Links(self, *sides)
+
+
+class Links:
+    """The links of some documents, one after the other as if they were one text."""
+
+    def __init__(self, spelling: Spelling, a: tuple, b: tuple):
+        self.spelling = spelling
+        (self.a, a_ends, self.n_a), (self.b, b_ends, self.n_b) = a, b
+        merged = np.concatenate([a_ends, b_ends])
+        order = np.argsort(merged, kind="stable")
+        merged, from_a = merged[order], order < len(a_ends)
+        first = np.ones(len(merged), bool)
+        first[1:] = merged[1:] != merged[:-1]
+        starts = np.flatnonzero(first)
+        # The tokens that ended before a stretch are so many, and the next one of each side holds it.
+        a_before = np.cumsum(from_a) - from_a
+        at_a, at_b = a_before[starts], (np.arange(len(merged)) - a_before)[starts]
+        self.pairs = self.a[at_a] << ID_BITS | self.b[at_b] if len(starts) else np.zeros(0, np.int64)
+        both = np.diff(starts, append=len(merged)) == 2
+        # At the end of a group both of its last tokens end.
+        self.a_last, self.b_last = at_a[both], at_b[both]
+        token_ends = np.cumsum(self.n_a)
+        self.row_of_link = np.searchsorted(token_ends, at_a, side="right")
+        self.row_of_group = np.searchsorted(token_ends, self.a_last, side="right")
+
+    def per_row(self, rows: np.ndarray, values: np.ndarray | None = None) -> np.ndarray:
+        out = np.zeros(len(self.n_a), np.int64)
+        np.add.at(out, rows, 1 if values is None else values)
+        return out
+
+    def groups(self) -> list[str]:
+        """Every row's groups as text, hashed; empty without tokens."""
+        spelling = self.spelling
+        group_of_a = np.searchsorted(self.a_last, np.arange(len(self.a)))
+        group_of_b = np.searchsorted(self.b_last, np.arange(len(self.b)))
+        codes = np.empty(len(self.a) + len(self.b), np.int64)
+        sign_a, sign_b = np.full(len(self.a), spelling.inner), np.full(len(self.b), spelling.inner)
+        sign_a[self.a_last], sign_b[self.b_last] = spelling.bar, spelling.end
+        ended_b = np.concatenate([[0], self.b_last + 1])
+        codes[np.arange(len(self.a)) + ended_b[group_of_a]] = self.a + sign_a
+        codes[np.arange(len(self.b)) + self.a_last[group_of_b] + 1] = self.b + sign_b
+        texts = list(map(spelling.text.__getitem__, codes.tolist()))
+        ends = np.cumsum(self.n_a + self.n_b).tolist()
+        out = []
+        for start, end in zip([0, *ends], ends):
+            # The last group is not followed by another.
+            out.append(hashlib.sha256("".join(texts[start:end])[:-1].encode()).hexdigest() if end > start else "")
         return out
 
 
-def parts(batch: pa.RecordBatch, size: int = 512) -> Iterator[pa.RecordBatch]:
-    """Runs of rows, so that what is remembered for a run stays small."""
-    for start in range(0, batch.num_rows, size):
-        yield batch.slice(start, size)
+def parts(batches: Iterator[pa.RecordBatch], room: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+    """Runs of rows whose ids take so many bytes together, or of one row."""
+    for batch in batches:
+        start = size = 0
+        lengths = [len(x) for x in batch.column("a").to_pylist()]
+        for i, n in enumerate(lengths):
+            if i > start and size + n > room:
+                yield batch.slice(start, i - start)
+                start, size = i, 0
+            size += n
+        if start < batch.num_rows:
+            yield batch.slice(start)
 
 
-def partial_counts(docs: DataFrame, files: Vocabularies) -> DataFrame:
+def added_up(pairs: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(pairs, kind="stable")
+    pairs, n = pairs[order], n[order]
+    starts = np.flatnonzero(np.diff(pairs, prepend=-1))
+    return pairs[starts], np.add.reduceat(n, starts) if len(starts) else n
+
+
+def partial_counts(tokens: DataFrame, files: Vocabularies) -> DataFrame:
     """(pair, n): the links of all documents, added up within parts of a task."""
-    room = 1_000_000
+    room = 2_000_000
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units = Units(Aligner(files))
-        held: Counter[int] = Counter()
-
-        def out() -> Iterator[pa.RecordBatch]:
-            if held:
-                pairs = np.fromiter(held.keys(), np.int64, len(held))
-                yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(held.values(), pa.int64())], ["pair", "n"])
-                held.clear()
-
-        for whole in batches:
-            for batch in parts(whole):
-                rows = [x for x in units.numbers(utf8(batch, "text")) if len(x) and all(units.known[i].valid for i in np.unique(x))]
-                times = np.bincount(np.concatenate(rows), minlength=1) if rows else np.zeros(0, np.int64)
-                used = np.flatnonzero(times)
-                linked = [units.known[i].pairs for i in used]
-                if not linked:
-                    continue
-                weights = np.repeat(times[used], [len(x) for x in linked])
-                pairs, at = np.unique(np.concatenate(linked), return_inverse=True)
-                n = np.zeros(len(pairs), np.int64)
-                np.add.at(n, at, weights)
-                held.update(dict(zip(pairs.tolist(), n.tolist(), strict=True)))
-                if len(held) > room:
-                    yield from out()
-        yield from out()
-
-    return docs.select("text").mapInArrow(collect, "pair bigint, n bigint")
+        spelling = Spelling(files)
+        pairs = n = np.zeros(0, np.int64)
+        for batch in parts(batches):
+            found = np.sort(spelling.line_up(batch).pairs)
+            starts = np.flatnonzero(np.diff(found, prepend=-1))
+            more = np.diff(starts, append=len(found))
+            pairs, n = added_up(np.concatenate([pairs, found[starts]]), np.concatenate([n, more]))
+            if len(pairs) > room:
+                yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(n)], ["pair", "n"])
+                pairs = n = np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs), pa.array(n)], ["pair", "n"])
+
+    return tokens.select("a", "b").mapInArrow(collect, "pair bigint, n bigint")
 
 
 def mixed(keys: np.ndarray, seed: int) -> np.ndarray:
@@ -371,54 +430,29 @@ def pair_counts(partial: DataFrame) -> DataFrame:
     return summed.select(F.shiftright("pair", ID_BITS).alias("a_id"), F.col("pair").bitwiseAND(LOW).alias("b_id"), "n")
 
 
-def aligned(docs: DataFrame, files: Vocabularies, counts: Counts | None) -> DataFrame:
+def aligned(tokens: DataFrame, files: Vocabularies, counts: Counts | None) -> DataFrame:
     """The documents' rows with a ``key`` that equal texts share; without ``counts`` the columns that need them are null."""
-    shipped = ship(docs.sparkSession, counts)
+    shipped = ship(tokens.sparkSession, counts)
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, units = opened(shipped), Units(Aligner(files))
-        table, filled, turn = np.zeros((0, 6), np.int64), 0, 0
-        for whole in batches:
-            for batch in parts(whole):
-                rows = units.numbers(utf8(batch, "text"))
-                if turn != units.turn:
-                    filled, turn = 0, units.turn
-                if len(units.known) > len(table):
-                    table = np.concatenate([table[:filled], np.zeros((2 * len(units.known), 6), np.int64)])
-                new = units.known[filled:]
-                sizes = [len(u.pairs) for u in new]
-                if known and new:
-                    pairs = np.concatenate([u.pairs for u in new])
-                    n, of_unit = known.look_up(pairs), np.repeat(np.arange(len(new)), sizes)
-                    best = n == known.best[pairs & LOW]
-                    n_best = np.bincount(of_unit, best, len(new)).astype(np.int64)
-                    sums = np.zeros(len(new), np.int64)
-                    np.add.at(sums, of_unit, n)
-                else:
-                    n_best = sums = np.zeros(len(new), np.int64)
-                for i, u in enumerate(new):
-                    table[filled + i] = u.n_a, u.n_b, u.n_groups, sizes[i], n_best[i], sums[i]
-                filled = len(units.known)
-                totals, groups = np.zeros((len(rows), 6), np.int64), []
-                for k, row in enumerate(rows):
-                    used = [units.known[i] for i in row]
-                    if not used or not all(u.valid for u in used):
-                        groups.append("")
-                        continue
-                    totals[k] = table[row].sum(axis=0)
-                    groups.append(hashlib.sha256(";".join([u.groups for u in used]).encode()).hexdigest())
-                columns = [pa.array(np.ascontiguousarray(c)) for c in totals.T]
-                if known is None:
-                    columns[4:] = [pa.nulls(len(rows), pa.int64())] * 2
-                columns = [batch.column("doc_id"), *columns, pa.array(groups, pa.string()), batch.column("key")]
-                yield pa.RecordBatch.from_arrays(columns, [*NAMES, "key"])
-
-    key = F.lit(None).cast("string") if counts else F.md5("text")
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", key.alias("key"))
-    return rows.mapInArrow(align, COLUMNS + ", groups string, key string")
-
-
-def aligned_by_join(docs: DataFrame, files: Vocabularies, partial: DataFrame) -> DataFrame:
+        known, spelling = opened(shipped), Spelling(files)
+        for batch in parts(batches):
+            found = spelling.line_up(batch)
+            columns = [found.n_a, found.n_b, found.per_row(found.row_of_group), found.per_row(found.row_of_link)]
+            if known:
+                n = known.look_up(found.pairs)
+                best = n == known.best[found.pairs & LOW]
+                columns += [found.per_row(found.row_of_link, best), found.per_row(found.row_of_link, n)]
+                columns = [pa.array(c) for c in columns]
+            else:
+                columns = [pa.array(c) for c in columns] + [pa.nulls(batch.num_rows, pa.int64())] * 2
+            columns = [batch.column("doc_id"), *columns, pa.array(found.groups(), pa.string()), batch.column("key")]
+            yield pa.RecordBatch.from_arrays(columns, [*NAMES, "key"])
+
+    return tokens.select("doc_id", "key", "a", "b").mapInArrow(align, COLUMNS + ", groups string, key string")
+
+
+def aligned_by_join(tokens: DataFrame, files: Vocabularies, partial: DataFrame) -> DataFrame:
     """As ``aligned``, with a table of counts of any size.
 
     Every row sends its distinct pairs, and one mark for itself: equal texts share a key, and their sums are divided
@@ -429,28 +463,30 @@ def aligned_by_join(docs: DataFrame, files: Vocabularies, partial: DataFrame) ->
     best = table.groupBy(b_id).agg(F.max("n").alias("best"))
     rated = table.withColumn("b_id", F.col("pair").bitwiseAND(LOW)).join(best, "b_id")
     rated = rated.select("pair", "n", (F.col("n") == F.col("best")).cast("bigint").alias("is_best"))
-    mark = -1  # no pair's number
 
     def collect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units = Units(Aligner(files))
-        for whole in batches:
-            for batch in parts(whole):
-                for key, row in zip(batch.column("key").to_pylist(), units.numbers(utf8(batch, "text")), strict=True):
-                    used = [units.known[i] for i in row]
-                    if not used or not all(u.valid for u in used):
-                        continue
-                    pairs, times = np.unique(np.concatenate([u.pairs for u in used] + [[mark]]), return_counts=True)
-                    columns = [pa.array([key] * len(pairs)), pa.array(pairs), pa.array(times)]
-                    yield pa.RecordBatch.from_arrays(columns, ["key", "pair", "times"])
-
-    found = docs.select(F.md5("text").alias("key"), "text").mapInArrow(collect, "key string, pair bigint, times bigint")
+        spelling = Spelling(files)
+        for batch in parts(batches):
+            found = spelling.line_up(batch)
+            keys, row_of = batch.column("key").to_pylist(), found.row_of_link
+            marks = np.flatnonzero(found.n_a)
+            order = np.lexsort((found.pairs, row_of))
+            rows, pairs = row_of[order], found.pairs[order]
+            new = np.ones(len(rows), bool)
+            new[1:] = (rows[1:] != rows[:-1]) | (pairs[1:] != pairs[:-1])
+            starts = np.flatnonzero(new)
+            times = np.concatenate([np.diff(starts, append=len(rows)), np.ones(len(marks), np.int64)])
+            rows = np.concatenate([rows[starts], marks])
+            columns = [pa.array([keys[r] for r in rows], pa.string()), pa.array(np.concatenate([pairs[starts], np.full(len(marks), -1)]))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(times)], ["key", "pair", "times"])
+
+    found = tokens.select("key", "a", "b").mapInArrow(collect, "key string, pair bigint, times bigint")
     once = found.groupBy("key", "pair").agg(F.sum("times").alias("times"))
     sums = once.join(rated, "pair", "left").groupBy("key").agg(
         F.expr("sum(times * is_best) div sum(if(pair = -1, times, 0))").alias("best_links"),
         F.expr("sum(times * n) div sum(if(pair = -1, times, 0))").alias("sum_of_counts"),
     )
-    rows = aligned(docs, files, None).join(sums, "key", "left")
-    return rows.select(
+    return aligned(tokens, files, None).join(sums, "key", "left").select(
         *NAMES[:5],
         F.coalesce("best_links", F.lit(0)).cast("bigint").alias("n_best"),
         F.coalesce("sum_of_counts", F.lit(0)).cast("bigint").alias("count_sum"),
@@ -467,8 +503,9 @@ def align(
     does not spell byte for byte, have zeros and an empty hash.  Repeated rows are documents of their own: each
     counts.  An empty table gives no rows.
     """
-    partial = staged(partial_counts(docs, files), "partial")
+    tokens = staged(tokenised(docs, files), "tokens")
+    partial = staged(partial_counts(tokens, files), "partial")
     n_pairs = partial.select("pair").distinct().count()
     if n_pairs > broadcast_pairs:
-        return aligned_by_join(docs, files, partial)
-    return aligned(docs, files, dense_counts(partial, n_pairs, block_size)).drop("key")
+        return aligned_by_join(tokens, files, partial)
+    return aligned(tokens, files, dense_counts(partial, n_pairs, block_size)).drop("key")
