@@ -1,7 +1,8 @@
 """Toxicity scores from a learned lexicon, matched with misspellings, weighed in context.
 
 The lexicon is learned from labelled documents: words that occur in many more
-toxic than clean ones.  Its terms form a trie, and a Levenshtein automaton of
+toxic than clean ones, by a hypergeometric test whose false-discovery rate over
+all words of the sample is limited.  Its terms form a trie, and a Levenshtein automaton of
 every text word, run along the trie, finds the terms within a small distance:
 the automaton's states are rows of the edit-distance table, and a branch is left
 once no state can still accept.  Each hit counts by how sure its spelling is and
@@ -11,6 +12,7 @@ marks are words of their own.  A logistic model turns a document's hits into a
 score.
 """
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -34,9 +36,8 @@ LOOKALIKES = str.maketrans("013457@$", "oieastas")
 @dataclass(frozen=True)
 class Settings:
     training_rows: int = 20_000  # labelled rows that are read, at most a quarter of them toxic
-    min_z: float = 2.5  # log-odds of toxic against clean, smoothed, in standard errors
-    min_odds: float = 2.0
-    max_terms: int = 1_000
+    false_terms: float = 0.01  # expected share of terms that are there by chance
+    min_odds: float = 2.0  # log-odds of toxic against clean, smoothed
     distance: int = 1
     min_length: int = 5  # shorter terms match exactly only
     window: int = 4
@@ -204,8 +205,9 @@ def features(raw: list[bytes], memory: Memory, context: dict[str, float], window
 
 
 def training_rows(labels: DataFrame, label: str, usable: Column, limit: int) -> DataFrame:
-    """At most ``limit`` labelled rows, at most a quarter labelled 1, chosen by a hash of the id."""
-    rows = labels.filter(usable & F.col(label).isin(0, 1)).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(label).cast("int").alias("label"))
+    """At most ``limit`` labelled ids, at most a quarter labelled 1, chosen by a hash of the id; an id with both labels counts as 1."""
+    rows = labels.filter(usable & F.col(label).isin(0, 1)).groupBy(F.col("doc_id").cast("bigint").alias("doc_id"))
+    rows = rows.agg(F.max(F.col(label).cast("int")).alias("label"))
     order = F.xxhash64("doc_id", F.lit("sample"))
     parts = [rows.filter(F.col("label") == k).orderBy(order, "doc_id").limit(n) for k, n in ((0, limit - limit // 4), (1, limit // 4))]
     return parts[0].union(parts[1])
@@ -232,7 +234,7 @@ def document_words(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for label, text in zip(batch.column("label").to_pylist(), utf8(batch, "text"), strict=True):
                 found = set(WORD.findall(text.decode("utf-8", "replace").lower()))
-                counts[label].update(w for w in found if len(w) <= 64)
+                counts[label].update(found)
                 if sum(map(len, counts.values())) > 500_000:
                     yield from out()
         yield from out()
@@ -247,19 +249,43 @@ def log_odds(toxic: Column, clean: Column, n_toxic: int, n_clean: int) -> Column
     return F.log((toxic + 0.5) / (n_toxic + 1.0)) - F.log((clean + 0.5) / (n_clean + 1.0))
 
 
+def chance(toxic: int, clean: int, n_toxic: int, n_clean: int) -> float:
+    """Probability that so many of a word's documents are toxic if they are drawn without regard to it."""
+    drawn, most = toxic + clean, min(toxic + clean, n_toxic)
+
+    def log_ways(n: int, k: int) -> float:
+        return math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
+
+    total = 0.0
+    for k in range(toxic, most + 1):
+        term = math.exp(log_ways(n_toxic, k) + log_ways(n_clean, drawn - k) - log_ways(n_toxic + n_clean, drawn))
+        total += term
+        if term < total * 1e-12:
+            break
+    return min(total, 1.0)
+
+
+def beyond_chance(counts: dict[tuple[int, int], int], tested: int, sizes: dict[int, int], limit: float) -> list[tuple[int, int]]:
+    """The (toxic, clean) counts of words that pass Benjamini and Hochberg's procedure among ``tested`` words."""
+    by_p = sorted((chance(*pair, sizes[1], sizes[0]), pair) for pair in counts)
+    rank, passed = 0, 0
+    for i, (p, pair) in enumerate(by_p):
+        rank += counts[pair]
+        if p <= limit * rank / tested:
+            passed = i + 1
+    return [pair for _, pair in by_p[:passed]]
+
+
 def learn_matcher(sample: DataFrame, sizes: dict[int, int], settings: Settings) -> Matcher:
     words = staged(document_words(sample), "words")
     odds = log_odds(F.col("toxic"), F.col("clean"), sizes[1], sizes[0])
-    error = F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("clean") + 0.5))
-    terms = (
-        words.withColumn("odds", odds)
-        .withColumn("z", F.col("odds") / error)
-        .filter((F.col("z") >= settings.min_z) & (F.col("odds") >= settings.min_odds) & (F.length("word") > 2))
-        .orderBy(F.desc("z"), "word")
-        .limit(settings.max_terms)
-        .select("word", "odds")
-        .collect()  # at most max_terms rows
-    )
+    likely = words.withColumn("odds", odds).filter((F.col("odds") >= settings.min_odds) & (F.length("word") > 2))
+    # Pairs of document counts of a bounded sample.
+    pairs = {(r["toxic"], r["clean"]): r["count"] for r in likely.groupBy("toxic", "clean").count().collect()}
+    passed = beyond_chance(pairs, words.count(), sizes, settings.false_terms)
+    chosen = sample.sparkSession.createDataFrame(passed, "toxic bigint, clean bigint")
+    terms = likely.join(F.broadcast(chosen), ["toxic", "clean"]).orderBy("word").select("word", "odds")
+    terms = terms.collect()  # words of a bounded sample
     matcher = Matcher(
         [r["word"] for r in terms],
         [r["odds"] for r in terms],
@@ -278,7 +304,7 @@ def learn_matcher(sample: DataFrame, sizes: dict[int, int], settings: Settings)
             chosen = [i for i, hit in enumerate(found) if hit and hit[1] > 0]
             yield batch.take(pa.array(chosen, pa.int64()))
 
-    close = words.filter(F.length("word") <= 64).mapInArrow(near, words.schema)
+    close = words.mapInArrow(near, words.schema)
     # Bounded by the words of the bounded sample.
     spellings = close.withColumn("odds", odds).filter("clean + toxic >= 2").select("word", "odds").collect()
     matcher.spellings = {r["word"]: r["odds"] for r in spellings}
@@ -296,7 +322,7 @@ def learn_context(sample: DataFrame, matcher: Matcher, settings: Settings) -> di
             for label, text in zip(batch.column("label").to_pylist(), utf8(batch, "text"), strict=True):
                 raw = text.split()
                 places = [i for i, hit in enumerate(map(memory.__getitem__, raw)) if hit]
-                counts[label].update({w for i in places for w in context_words(raw, i, settings.window) if len(w) <= 64})
+                counts[label].update({w for i in places for w in context_words(raw, i, settings.window)})
                 counts[label][""] += bool(places)
         for label, counter in counts.items():
             yield pa.RecordBatch.from_arrays(
@@ -365,7 +391,10 @@ def score(docs: DataFrame, labels: DataFrame, settings: Settings = Settings()) -
     chosen = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     rows = training_rows(labels, "toxic", ~held_out(F.col("doc_id")), settings.training_rows)
     # The labels are bounded by training_rows; the join needs no shuffle of the texts.
-    sample = staged(chosen.join(F.broadcast(staged(rows, "labels")), "doc_id"), "sample")
+    found = chosen.join(F.broadcast(staged(rows, "labels")), "doc_id")
+    # One text an id, so that repeated ids leave the sample's bound alone.
+    one = F.min_by(F.coalesce("text", F.lit("")), F.xxhash64("text")).alias("text")
+    sample = staged(found.groupBy("doc_id").agg(F.first("label").alias("label"), one), "sample")
     sizes = {0: 0, 1: 0} | {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     matcher = learn_matcher(sample, sizes, settings)
     context = learn_context(sample, matcher, settings)
