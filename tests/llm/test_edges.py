@@ -5,10 +5,10 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from basketry.llm import (
-    hashing_ann, html_blocks, jaccard_join, mixture, packing, perplexity, range_shards, toxicity, url_templates,
-    weak_quality,
+    hashing_ann, html_blocks, jaccard_join, line_dedup, mixture, packing, perplexity, range_shards, spelling_variants,
+    token_alignment, toxicity, url_templates, weak_quality,
 )
-from basketry.llm.queries import URL_RULES, VOCABULARY
+from basketry.llm.queries import URL_RULES, VOCABULARIES, VOCABULARY
 
 PROSE = "the old man went to the house by the sea and he saw that it was good for all of them on that day. "
 DOCS = [
@@ -37,6 +37,8 @@ OPERATORS = {
     "mixture": lambda d, labels: mixture.mix(d),
     "mixed_documents": lambda d, labels: mixture.mixed_documents(d.select(*corpus_pipeline.COLUMNS)),
     "range_shards": lambda d, labels: range_shards.shard(d),
+    "token_alignment": lambda d, labels: token_alignment.align(d, VOCABULARIES),
+    "line_dedup": lambda d, labels: line_dedup.deduplicated(d),
 }
 
 
@@ -71,6 +73,16 @@ def test_empty_table(name, spark, docs, labels):
     assert OPERATORS[name](docs.limit(0), labels.limit(0)).collect() == []
 
 
+def test_words_on_edge_rows(spark, docs):
+    rows = {r["word"]: r for r in spelling_variants.variants(docs).collect()}
+    # The runs of letters that repeat and are long enough; those of one sign a hundred thousand times occur once.
+    assert set(rows) == set() and spelling_variants.variants(docs.limit(0)).collect() == []
+    texts = [(None, "overlook " * 30), (1, "overlook overlooks overlooks"), (1, "overlook overlooks overlooks"), (2, None), (3, "")]
+    table = spark.createDataFrame(texts, "doc_id bigint, text string").withColumns({c: F.lit("clash") for c in CLASHING})
+    found = {r["word"]: tuple(r)[1:] for r in spelling_variants.variants(table, spelling_variants.Settings(every=1 << 40)).collect()}
+    assert found == {"overlook": (None, "overlook", 32, 1, None), "overlooks": (None, "overlooks", 4, 1, None)}
+
+
 def test_rows_without_or_with_one_id_have_their_own_fate(spark, monkeypatch):
     texts = ["".join(f" {c}{k}" for k in range(40)) for c in "abcd"]
     rows = [(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[3]), (7, texts[3]), (None, texts[2]), (9, texts[2]), (8, None)]

@@ -20,6 +20,9 @@ COLUMNS = {
     "op8": ["doc_id", "size", "source_size", "target", "taken"],
     "op9": ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"],
     "op10": ["page_id", "url", "text", "n_chars"],
+    "op11": ["word", "form", "root", "n", "n_near", "form_n"],
+    "op12": ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"],
+    "op13": ["doc_id", "n_lines", "n_dropped", "kept_sha256"],
 }
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test data")
