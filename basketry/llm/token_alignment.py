@@ -41,6 +41,7 @@ ID_BITS = 20
 LOW = (1 << ID_BITS) - 1
 SLICE = 8192
 FAN_IN = 8
+ROOM = 150_000  # pieces of text whose ids a task remembers, for each vocabulary
 COLUMNS = "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint"
 NAMES = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups"]
 
@@ -58,6 +59,7 @@ class ByteTokens:
 
     def __init__(self, file: str):
         self.encoder = packing.Encoder(file)
+        self.encoder.ROOM = ROOM
         self.encoder.whole.encode_special_tokens = True
         letters = packing._byte_letters()
         byte_of = {c: b for b, c in letters.items()}
@@ -78,8 +80,6 @@ class PieceTokens:
     remembered; else whole texts are.
     """
 
-    ROOM = 500_000
-
     def __init__(self, file: str):
         from sentencepiece import SentencePieceProcessor
 
@@ -103,7 +103,7 @@ class PieceTokens:
         return np.asarray(ids, "<u4").tobytes()
 
     def _remembered(self, chunk: str) -> bytes | None:
-        if len(self.known) >= self.ROOM:
+        if len(self.known) >= ROOM:
             self.known.clear()
         found = self.known[chunk] = self._ids(chunk)
         return found
@@ -216,7 +216,7 @@ class Links:
         return out
 
 
-def parts(batches: Iterator[pa.RecordBatch], room: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def parts(batches: Iterator[pa.RecordBatch], room: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """Runs of rows whose ids take so many bytes together, or of one row."""
     for batch in batches:
         start = size = 0
