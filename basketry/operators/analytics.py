@@ -2,7 +2,7 @@
 
 import datetime
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from basketry.functions.stats import correlation, weighted_quartiles
@@ -72,26 +72,33 @@ def boxplot_category(
 
     Categories may share a name, and a basket that holds several of them counts
     once under it: at the first of them it holds.  That is decided inside the
-    basket's own row, so the baskets are never shuffled, only counted.
+    basket's own row, before its categories become rows of their own, so the
+    baskets are never shuffled and a row holds numbers only.
     """
-    label = Window.partitionBy("category_name")
-    names = categories.filter(F.col("category_name").isNotNull()).select(
-        "category_id",
-        F.col("category_name").alias("label"),
-        F.collect_set("category_id").over(label).alias("same_name"),
+    names = categories.filter(F.col("category_name").isNotNull())
+    names = names.select("category_id", F.col("category_name").alias("label"))
+    same_name = names.groupBy("label").agg(F.sort_array(F.collect_set("category_id")).alias("ids"))
+    # Few names are shared by categories; their lists are one value.
+    shared = same_name.filter(F.size("ids") > 1).agg(F.collect_list("ids")).scalar()
+
+    def after_the_first(ids):
+        held = F.array_intersect(ids, F.col("categories"))
+        return F.slice(held, F.lit(2), F.size(held))
+
+    sizes = between(baskets, start_date, end_date, store_id).select(
+        "basket_size", "categories", F.flatten(F.transform(shared, after_the_first)).alias("again")
     )
-    category, held = F.col("category_id"), F.col("categories")
-    counted_here = (F.size("same_name") == 1) | (
-        F.array_min(F.array_intersect("same_name", held)) == category
+    line = F.transform(
+        "categories",
+        lambda c: F.struct(c.alias("category_id"), (~F.array_contains("again", c)).cast("bigint").alias("first")),
     )
     counts = (
-        between(baskets, start_date, end_date, store_id)
-        .select("basket_size", "categories", F.explode("categories").alias("category_id"))
+        sizes.select("basket_size", F.inline(line))
+        .groupBy("category_id", "basket_size")
+        .agg(F.sum("first").alias("transactions"), F.count(F.lit(1)).alias("weight"))
         .join(names, "category_id")
         .groupBy("label", "basket_size")
-        .agg(
-            F.count_if(counted_here).alias("transactions"), F.count(F.lit(1)).alias("weight")
-        )
+        .agg(F.sum("transactions").alias("transactions"), F.sum("weight").alias("weight"))
     )
     # There are no more labels than categories, so all of them are summarised.
     busiest = _five_numbers(counts).orderBy(F.desc("weight"), "label").limit(LABELS_CONSIDERED)

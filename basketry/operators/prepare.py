@@ -21,9 +21,6 @@ from basketry.functions.receipts import (
 from basketry.functions.stats import rounded
 from basketry.schemas import RECEIPT_KEY, TRANSACTION_COLUMNS
 
-# A category dimension up to this many short rows is small beside any table of lines.
-BROADCAST_ROWS = 20_000
-
 
 def with_transaction(df: DataFrame) -> DataFrame:
     """Add the transaction id and the month that follow from the receipt key."""
@@ -105,14 +102,12 @@ def lines_of(baskets: DataFrame, categories: DataFrame) -> DataFrame:
 def name_lines(lines: DataFrame, categories: DataFrame) -> DataFrame:
     """Lines with their category's name.
 
-    A dimension of at most ``BROADCAST_ROWS`` rows, which is counted no further,
-    goes to the lines; a larger one is joined as Catalyst sees fit.  Without
-    that, a dimension whose size is only estimated could make all lines be
-    shuffled over a few dozen categories.
+    Catalyst broadcasts a dimension that is read from a file of small size.  A
+    caller whose dimension is derived, so that its size is only estimated, and
+    who knows it to be small, says so with ``F.broadcast``: else all lines may
+    be shuffled over a few dozen categories.
     """
-    small = categories.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    named = F.broadcast(categories) if small else categories
-    return lines.join(named, "category_id", "left").select(
+    return lines.join(categories, "category_id", "left").select(
         *TRANSACTION_COLUMNS, "category_id", "category_name"
     )
 

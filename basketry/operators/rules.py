@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from basketry.functions.arrays import is_subset
 from basketry.functions.labels import lift_tier
 from basketry.functions.stats import rounded
+from basketry.operators import containment
 
 # Mining thresholds and list lengths.
 MIN_SUPPORT = 0.01
@@ -127,28 +128,31 @@ def rules_for_customers(
 ) -> DataFrame:
     """The best ``limit`` rules of every customer whose antecedent they bought whole.
 
-    The order of rules is the same for everybody, so rules are numbered once and
-    only (history, number) pairs travel; a rule's sides are fetched for the few
-    that remain.  Customers with the same history share one.  A history meets
-    the items of every rule, and a rule applies where all its items are met;
-    rules of one item apply at once.
+    The order of rules is the same for everybody, so rules are numbered once, and
+    an antecedent stands for all its rules' numbers.  Customers with the same
+    history share one; a history meets an antecedent at its rarest item only.
+    The numbers of what a history holds whole are put in order and cut inside
+    its row, and a rule's sides are fetched for the few that remain.
     """
     keyed = bought.withColumn("history", F.sha2(F.array_join("bought", ","), 256))
     histories = keyed.groupBy("history").agg(F.first("bought").alias("bought"))
     numbered = best_per_antecedent(rules, limit).withColumn(
         "position", F.row_number().over(Window.orderBy(*by_lift()))
     )
-    items = numbered.select(
-        "position", F.size("antecedent").alias("items"), F.explode("antecedent").alias("category_id")
+    antecedents = numbered.groupBy("antecedent").agg(
+        F.min("position").alias("number"), F.collect_list("position").alias("positions")
     )
-    met = histories.select("history", F.explode("bought").alias("category_id")).join(items, "category_id")
-    whole = met.filter(F.col("items") > 1).groupBy("history", "position", "items")
-    whole = whole.count().filter(F.col("count") == F.col("items")).select("history", "position")
-    applying = met.filter(F.col("items") == 1).select("history", "position").union(whole)
-    ranking = Window.partitionBy("history").orderBy("position")
+    applying = containment.held_sets(
+        histories.select(F.col("history").alias("holder"), F.col("bought").alias("held")),
+        antecedents.select("number", F.col("antecedent").alias("items")),
+    )
+    in_order = F.array_sort(F.flatten(F.collect_list("positions")))
     best = (
-        applying.withColumn("rank", F.row_number().over(ranking).cast("bigint"))
-        .filter(F.col("rank") <= limit)
+        applying.join(antecedents.select("number", "positions"), "number")
+        .groupBy(F.col("holder").alias("history"))
+        .agg(F.slice(in_order, 1, limit).alias("positions"))
+        .select("history", F.posexplode("positions").alias("rank", "position"))
+        .withColumn("rank", (F.col("rank") + 1).cast("bigint"))
         .join(numbered, "position")
         .drop("position")
     )

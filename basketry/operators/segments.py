@@ -4,13 +4,13 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketry.functions.stats import min_max_scaled, rounded
+from basketry.operators import silhouette
 from basketry.operators.features import scaled_features
 from basketry.schemas import FEATURE_COLUMNS
 from basketry.session import staged
@@ -59,12 +59,15 @@ def train_segments(features: DataFrame, ks: Iterable[int] = K_RANGE, seed: int =
         raise ValueError(f"only {different} different customers for {min(ks)} segments")
     scaled = scaled_features(table).persist()
     try:
+        models = {
+            k: KMeans(k=k, seed=seed, featuresCol="scaled_features", predictionCol="cluster").fit(scaled)
+            for k in ks
+            if k <= different
+        }
+        found = silhouettes(models, scaled)
         best, tried = None, []
-        for k in (k for k in ks if k <= different):
-            model = KMeans(
-                k=k, seed=seed, featuresCol="scaled_features", predictionCol="cluster"
-            ).fit(scaled)
-            score = _silhouette(model, scaled)
+        for k, model in models.items():
+            score = found[k]
             tried.append((k, score, model.summary.trainingCost))
             # A strict comparison keeps the first k among equals.
             if best is None or score > best[0]:
@@ -80,11 +83,15 @@ def train_segments(features: DataFrame, ks: Iterable[int] = K_RANGE, seed: int =
     return Segmentation(model, assign_segments(model, scaled), selection)
 
 
-def _silhouette(model: KMeansModel, scaled: DataFrame) -> float:
-    evaluator = ClusteringEvaluator(
-        featuresCol="scaled_features", predictionCol="cluster", metricName="silhouette"
-    )
-    return evaluator.evaluate(model.transform(scaled))
+def silhouettes(models: dict[int, KMeansModel], scaled: DataFrame) -> dict[int, float]:
+    """Silhouette of every model's clusters, all of them in one pass over the customers."""
+    points = scaled
+    for k, model in models.items():
+        points = model.copy({model.predictionCol: f"k{k}"}).transform(points)
+    names = [f"k{k}" for k in models]
+    points = points.select(vector_to_array("scaled_features").alias("at"), *names)
+    rows = silhouette.scores(points, names, len(FEATURE_COLUMNS)).collect()  # a row for each k
+    return {int(row["clustering"][1:]): row["silhouette"] for row in rows}
 
 
 def assign_segments(model: KMeansModel, scaled: DataFrame) -> DataFrame:
@@ -194,12 +201,13 @@ def pca_projection(features: DataFrame) -> DataFrame:
 def pca_scatter(clusters: DataFrame, max_points: int = MAX_POINTS, seed: int = SEED) -> DataFrame:
     """Projected customers with their cluster, at most ``max_points`` of them.
 
-    Axes are fitted on all customers; the sample, drawn by a seeded hash so that
-    it is repeatable, only limits the points returned.
+    Axes are fitted on all customers; the sample, drawn in the order of a seeded
+    sha-256 so that any engine can repeat it, only limits the points returned.
     """
+    drawn = F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col("customer_id").cast("string")), 256)
     return (
         pca_projection(clusters)
-        .orderBy(F.xxhash64(F.lit(seed), "customer_id"), "customer_id")
+        .orderBy(drawn, "customer_id")
         .limit(max_points)
         .select("customer_id", "pca_x", "pca_y", "cluster")
     )

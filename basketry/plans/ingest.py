@@ -35,6 +35,18 @@ class Store:
     def rejected(self) -> str:
         return f"{self.base}/rejected/incoming"
 
+    @property
+    def customer_months(self) -> str:
+        return f"{self.base}/processed/customer_months"
+
+    @property
+    def customer_cube(self) -> str:
+        return f"{self.base}/processed/customer_cube"
+
+    @property
+    def itemsets(self) -> str:
+        return f"{self.base}/models/itemsets"
+
     @property
     def rules(self) -> str:
         return f"{self.base}/models/association_rules.parquet"

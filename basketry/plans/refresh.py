@@ -27,7 +27,13 @@ def refresh_rules(
     writers.write_table(rules.association_rules(model), store.rules)
 
 
-def refresh_models(spark: SparkSession, store: Store, force: bool = False) -> dict[str, bool]:
+def refresh_models(
+    spark: SparkSession,
+    store: Store,
+    force: bool = False,
+    min_support: float = rules.MIN_SUPPORT,
+    min_confidence: float = rules.MIN_CONFIDENCE,
+) -> dict[str, bool]:
     """Segments first, then rules; what is already stored is kept unless ``force``.
 
     Returns which of the two were rebuilt.
@@ -39,5 +45,5 @@ def refresh_models(spark: SparkSession, store: Store, force: bool = False) -> di
     if rebuilt["segments"]:
         refresh_segments(spark, store)
     if rebuilt["rules"]:
-        refresh_rules(spark, store)
+        refresh_rules(spark, store, min_support, min_confidence)
     return rebuilt

@@ -1,7 +1,9 @@
 """Every operator as a query over the order tables."""
 
 from collections.abc import Callable
+from dataclasses import replace
 
+from pyspark.ml.clustering import KMeansModel
 from pyspark.ml.fpm import FPGrowthModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,12 +11,17 @@ from pyspark.sql import functions as F
 
 from basketry.functions.labels import id_list
 from basketry.functions.stats import rounded
-from basketry.operators import analytics, features, filters, prepare, rules, segments, summary
+from basketry.operators import (
+    analytics, customer_state, distinct_cube, features, filters, heavy_hitters, itemsets, prepare, rules, segments,
+    silhouette, summary,
+)
+from basketry.plans import bucketed, compaction, increments
 from basketry.plans.ingest import Store, bulk_load
+from basketry.plans.refresh import refresh_models
 from basketry.plans.tables import RetailTables
-from basketry.schemas import FEATURE_COLUMNS
+from basketry.schemas import BASKETS, FEATURE_COLUMNS, LINES
 from basketry.session import fresh_path, staged
-from basketry.sources import readers
+from basketry.sources import readers, writers
 from basketry.streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -26,6 +33,13 @@ SIZE_SUPPORT, SIZE_CONFIDENCE = 0.004, 0.05
 SAMPLE_KEY, UNKNOWN_FROM = 7, 1000
 # Files of one micro-batch in the query over a stream.
 FILES_A_BATCH = 8
+# Loads of the queries over increments: what is there at first, and the years that follow.
+FIRST_YEARS_UNTIL, LATER_YEARS = 1998, (1999, 2000, 2001)
+# Order in which years arrive where some are late, and the points of a scatter plot.
+ARRIVING_YEARS = (1995, 1996, 1998, 1997, 2000, 1999, 2001)
+SCATTER_POINTS = 500
+# Appends of the query over small files, and buckets of tables laid out by customer.
+SMALL_APPENDS, BUCKETS, FEW_STORES = 10, 8, 2
 
 # Reports that accept the date and store filter, each from a RetailTables.
 FILTERED_REPORTS: dict[str, Callable[..., DataFrame]] = {
@@ -272,7 +286,232 @@ def deduplicated_stream(t: RetailTables) -> DataFrame:
     stream = readers.stream_incoming_json(t.spark, folder, FILES_A_BATCH)
     query = incremental.start_deduplicated_lines(stream, t.categories, path, checkpoint)
     query.awaitTermination()
-    return readers.read_lines(t.spark, path)
+    return readers.read_batches(t.spark, path)
+
+
+def few_stores(t: RetailTables) -> RetailTables:
+    """All receipts, in few stores: what queries over stored tables cost is their partitions, not their rows."""
+    return replace(t, stores=FEW_STORES)
+
+
+def late_lines_apart(t: RetailTables) -> DataFrame:
+    """All receipts as a stream in which two years come late, each year sent twice; both tables, told apart."""
+    t = few_stores(t)
+    folder = fresh_path(t.spark, "incoming")
+    records = staged(incoming(t), "records")
+    for year in ARRIVING_YEARS:
+        for _ in range(2):
+            of_year = records.filter(F.year("date") == year)
+            of_year.repartition(FILES_A_BATCH).write.mode("append").json(folder)
+    stream = readers.stream_incoming_json(t.spark, folder, FILES_A_BATCH)
+    paths = [fresh_path(t.spark, name) for name in ("timely", "late")]
+    query = incremental.start_parted_lines(stream, t.categories, *paths, fresh_path(t.spark, "parted"))
+    query.awaitTermination()
+    both = [readers.read_batches(t.spark, p).withColumn("late", F.lit(k == 1)) for k, p in enumerate(paths)]
+    return both[0].unionByName(both[1])
+
+
+def incremental_itemsets(t: RetailTables) -> list[tuple[int, itemsets.Itemsets]]:
+    """The counts after each yearly load, brought up to date by that year's baskets."""
+    baskets = staged(t.baskets, "baskets")
+    year = F.year("date")
+    state = itemsets.mined(baskets.filter(year <= FIRST_YEARS_UNTIL), SIZE_SUPPORT)
+    found = []
+    for later in LATER_YEARS:
+        state = itemsets.updated(state, baskets.filter(year == later), baskets.filter(year <= later))
+        found.append((later, state))
+    return found
+
+
+def _by_load(tables: list[tuple[int, DataFrame]]) -> DataFrame:
+    both = [df.withColumn("until", F.lit(year).cast("bigint")) for year, df in tables]
+    total = both[0]
+    for more in both[1:]:
+        total = total.unionByName(more)
+    return total
+
+
+def itemsets_after_loads(t: RetailTables) -> DataFrame:
+    states = incremental_itemsets(t)
+    return _by_load([(y, s.frequent().withColumn("items", id_list(F.col("items")))) for y, s in states])
+
+
+def rules_after_loads(t: RetailTables) -> DataFrame:
+    states = incremental_itemsets(t)
+    return _by_load([(y, rule_texts(itemsets.rules_of(s, SIZE_CONFIDENCE))) for y, s in states])
+
+
+def customer_months(t: RetailTables) -> DataFrame:
+    """The stored state after two loads, the second of which computes only the months that it brings."""
+    t, store = few_stores(t), Store(fresh_path(t.spark, "store"))
+    baskets = staged(t.baskets, "baskets")
+    late = F.year("date") == LATER_YEARS[-1]
+    for of_load in (baskets.filter(~late), baskets.filter(late)):
+        writers.write_partitioned(of_load, store.baskets)
+        months = [r[0] for r in of_load.select("year_month").distinct().collect()]  # a row for each month
+        increments.refresh_customer_months(t.spark, store, months)
+    return t.spark.read.parquet(store.customer_months)
+
+
+def stored_cube(t: RetailTables) -> DataFrame:
+    path = fresh_path(t.spark, "cube")
+    distinct_cube.customer_cube(t.baskets).write.partitionBy("year_month").parquet(path)
+    return t.spark.read.parquet(path)
+
+
+def distinct_counts(t: RetailTables) -> DataFrame:
+    """Customers, transactions and lines of every store and year, of every year, of the sample filter and in all."""
+    cube = stored_cube(t)
+    first, last = F.lit("1995-01-01").cast("date"), F.lit("2001-12-31").cast("date")
+    begins = cube.select(F.trunc("date", "year").alias("start_date"), "store_id").distinct()
+    ends = F.add_months("start_date", 12)
+    yearly = begins.select("start_date", F.date_sub(ends, 1).alias("end_date"), "store_id")
+    everyone = F.lit(None).cast("bigint").alias("store_id")
+    sample = [F.lit(SAMPLE_FILTER[c]).cast("date").alias(c) for c in ("start_date", "end_date")]
+    one = t.spark.range(1)
+    ranges = (
+        yearly.union(yearly.select("start_date", "end_date", everyone).distinct())
+        .union(one.select(first, last, everyone))
+        .union(one.select(F.date_add(sample[0], 14), F.date_sub(sample[1], 14), everyone))
+    )
+    number = F.concat_ws("|", "start_date", "end_date", "store_id").alias("range_id")
+    return distinct_cube.counted_ranges(cube, staged(ranges.select(number, "*"), "ranges"))
+
+
+def sample_counts(t: RetailTables) -> DataFrame:
+    return distinct_cube.counted(filters.between(stored_cube(t), **SAMPLE_FILTER))
+
+
+def heavy_customers(t: RetailTables) -> DataFrame:
+    found = heavy_hitters.most_frequent(t.baskets.select("customer_id"), "customer_id", analytics.LABELS_CONSIDERED)
+    return found.withColumnRenamed("count", "transaction_count")
+
+
+def ruled_silhouettes(t: RetailTables) -> DataFrame:
+    """Scores of clusterings that rules deal out, one for each k that training tries."""
+    stored = staged(features.customer_features(t.baskets), "features")
+    scaled_ = features.scaled_features(stored).select("customer_id", vector_to_array("scaled_features").alias("at"))
+    names = [f"k{k}" for k in segments.K_RANGE]
+    ruled = [F.pmod("customer_id", F.lit(k)).alias(f"k{k}") for k in segments.K_RANGE]
+    found = silhouette.scores(scaled_.select("at", *ruled), names, len(FEATURE_COLUMNS))
+    return found.withColumns({"silhouette": F.round("silhouette", 6), "cost": F.round("cost", 3)})
+
+
+def small_appends(t: RetailTables) -> str:
+    """Lines as ten loads of a few days each leave them, compacted."""
+    t = few_stores(t)
+    path = fresh_path(t.spark, "lines")
+    lines = staged(t.lines, "lines")
+    for k in range(SMALL_APPENDS):
+        writers.write_partitioned(lines.filter(F.dayofmonth("date") % SMALL_APPENDS == k), path, mode="append")
+    compaction.compact(t.spark, path, LINES)
+    return path
+
+
+def compacted_partitions(t: RetailTables) -> DataFrame:
+    found = compaction.partition_files(t.spark, small_appends(t), LINES)
+    return found.select("store_id", "year_month", "files", "rows")
+
+
+def by_customer(t: RetailTables) -> DataFrame:
+    name = fresh_path(t.spark, "baskets").rsplit("/", 1)[1].replace("-", "_")
+    return bucketed.write_by_customer(t.baskets, name, BUCKETS)
+
+
+def bucketed_segments(t: RetailTables) -> DataFrame:
+    """Features of customers joined with a table of clusters that is laid out alike."""
+    baskets = by_customer(t)
+    name = fresh_path(t.spark, "clusters").rsplit("/", 1)[1].replace("-", "_")
+    ruled = baskets.select("customer_id").distinct().withColumn("cluster", F.pmod("customer_id", F.lit(5)).cast("int"))
+    clusters = bucketed.write_by_customer(ruled, name, BUCKETS)
+    return features.customer_features(baskets).join(clusters, "customer_id")
+
+
+def csv_files(t: RetailTables) -> str:
+    """The order tables as the raw files: categories, catalog, and a folder of receipts for each store."""
+    folder = fresh_path(t.spark, "raw")
+    text = {"sep": readers.SEPARATOR, "encoding": readers.ENCODING}
+    t.categories.write.csv(f"{folder}/Categories.csv", **text)
+    code, category = readers.CATALOG_HEADER
+    catalog = t.catalog.select(F.col("product_code").alias(code), F.col("category_id").alias(category))
+    bad = t.spark.createDataFrame([("no code", "1"), ("7", None)], catalog.schema.fieldNames())
+    catalog = catalog.select([F.col(f"`{c}`").cast("string") for c in catalog.columns]).union(bad)
+    catalog.write.csv(f"{folder}/ProductCategory.csv", header=True, **text)
+    receipts = t.raw_receipts.withColumn("store", F.col("store_id"))
+    columns = ["date", "store_id", "customer_id", "products_raw", "store"]
+    whole = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    receipts.select(columns).write.partitionBy("store").csv(f"{folder}/Transactions", sep=readers.SEPARATOR, **whole)
+    return folder
+
+
+def lines_from_csv(t: RetailTables) -> DataFrame:
+    """Lines of the raw files, all stores in one scan of their folders."""
+    folder = csv_files(t)
+    stores = [r[0] for r in t.receipts.select("store_id").distinct().collect()]  # a row for each store
+    written = [f"{folder}/Transactions/store={s}" for s in sorted(stores)]
+    present = [p for p in written if readers.path_exists(t.spark, p)]
+    raw = readers.read_receipts_csv(t.spark, present)
+    catalog = readers.read_catalog_csv(t.spark, f"{folder}/ProductCategory.csv")
+    categories = readers.read_categories(t.spark, f"{folder}/Categories.csv")
+    return prepare.build_lines(prepare.categorise(prepare.receipt_items(raw), catalog), categories)
+
+
+def mixed_width_baskets(t: RetailTables) -> DataFrame:
+    """Baskets read back from files of which some have 32-bit numbers."""
+    path = fresh_path(t.spark, "baskets")
+    narrow = F.year("date") % 2 == 0
+    baskets = staged(t.baskets, "baskets")
+    as_int = {"customer_id": "int", "store_id": "int", "basket_size": "int", "categories": "array<int>"}
+    chosen = baskets.filter(narrow).withColumns({c: F.col(c).cast(kind) for c, kind in as_int.items()})
+    for rows in (chosen, baskets.filter(~narrow)):
+        rows.write.mode("append").parquet(path)
+    return readers.read_baskets(t.spark, path).withColumn("categories", id_list(F.col("categories")))
+
+
+def refreshed(t: RetailTables) -> Store:
+    """A store after a load in batches and the refresh of both models."""
+    t, store = few_stores(t), Store(fresh_path(t.spark, "store"))
+    incremental.ensure_tables(t.spark, store)
+    records = staged(incoming(t), "records")
+    late = F.year("date") >= LATER_YEARS[0]
+    for batch in (records.filter(~late), records.filter(late)):
+        incremental.merge_batch(t.spark, batch, t.categories, store)
+    refresh_models(t.spark, store, min_support=SIZE_SUPPORT, min_confidence=SIZE_CONFIDENCE)
+    return store
+
+
+def refreshed_rules(t: RetailTables) -> DataFrame:
+    return rule_texts(readers.read_rules(t.spark, refreshed(t).rules))
+
+
+def refreshed_clusters(t: RetailTables) -> DataFrame:
+    """Stored clusters read back, and whether the stored model, read back too, gives every customer the same one."""
+    store = refreshed(t)
+    clusters = readers.read_clusters(t.spark, store.clusters)
+    model = KMeansModel.load(store.kmeans)
+    scaled_ = features.scaled_features(clusters.drop("cluster"))
+    again = segments.assign_segments(model, scaled_).select("customer_id", F.col("cluster").alias("again"))
+    return clusters.join(again, "customer_id").select(
+        "customer_id",
+        *FEATURE_COLUMNS,
+        (F.col("cluster") == F.col("again")).alias("reloaded_agrees"),
+        F.col("cluster").between(0, len(model.clusterCenters()) - 1).alias("known_cluster"),
+    )
+
+
+def followed_loads(t: RetailTables) -> Store:
+    """A store that three loads went through, with everything that follows a load brought up to date by each."""
+    t, store = few_stores(t), Store(fresh_path(t.spark, "store"))
+    records = staged(incoming(t), "records")
+    first = F.year("date") <= FIRST_YEARS_UNTIL
+    increments.load_and_follow(t.spark, records.filter(first), t.categories, store, "first")
+    increments.mine_from_stored(t.spark, store, SIZE_SUPPORT, "first")
+    # The second load brings half of the lines of its receipts, the third all of them again.
+    half = F.filter("categories", lambda c: c % 2 == 0)
+    rest = records.filter(~first)
+    for load, batch in (("second", rest.withColumn("categories", half)), ("third", rest)):
+        increments.load_and_follow(t.spark, batch, t.categories, store, load, SIZE_CONFIDENCE)
+    return store
 
 
 REPORTS: dict[str, Callable[[RetailTables], DataFrame]] = {
@@ -324,6 +563,27 @@ REPORTS: dict[str, Callable[[RetailTables], DataFrame]] = {
     "ingest_lines": ingest_lines,
     "streamed_lines": streamed_lines,
     "deduplicated_stream": deduplicated_stream,
+    "late_lines_apart": late_lines_apart,
+    "itemsets_after_loads": itemsets_after_loads,
+    "rules_after_loads": rules_after_loads,
+    "followed_rules": lambda t: rule_texts(readers.read_rules(t.spark, followed_loads(t).rules)),
+    "customer_state_features": lambda t: customer_state.features_of(customer_months(t)),
+    "customer_state_metrics": lambda t: customer_state.metrics_of(customer_months(t)),
+    "customer_state_top": lambda t: customer_state.top_customers_of(customer_months(t)),
+    "distinct_counts": distinct_counts,
+    "distinct_counts_filtered": sample_counts,
+    "heavy_customers": heavy_customers,
+    "silhouettes_by_rule": ruled_silhouettes,
+    "pca_scatter_by_rule": lambda t: segments.pca_scatter(staged(ruled_clusters(t), "clusters"), SCATTER_POINTS),
+    "compacted_lines": lambda t: readers.read_lines(t.spark, small_appends(t)),
+    "compacted_partitions": compacted_partitions,
+    "bucketed_features": lambda t: features.customer_features(by_customer(t)),
+    "bucketed_metrics": lambda t: analytics.customer_metrics(by_customer(t)),
+    "bucketed_segments": bucketed_segments,
+    "lines_from_csv": lines_from_csv,
+    "mixed_width_baskets": mixed_width_baskets,
+    "refreshed_rules": refreshed_rules,
+    "refreshed_clusters": refreshed_clusters,
 }
 
 

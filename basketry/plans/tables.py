@@ -19,6 +19,7 @@ class RetailTables:
 
     spark: SparkSession
     folder: str
+    stores: int | None = None  # nations are dealt to so many stores, where stored tables should have few partitions
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
@@ -26,7 +27,8 @@ class RetailTables:
     @property
     def receipts(self) -> DataFrame:
         """One row per order."""
-        customers = self.table("customer").select("c_custkey", "c_nationkey")
+        nation = F.col("c_nationkey") if self.stores is None else F.col("c_nationkey") % self.stores
+        customers = self.table("customer").select("c_custkey", nation.alias("c_nationkey"))
         return (
             self.table("orders")
             .join(customers, F.col("o_custkey") == F.col("c_custkey"))
@@ -84,11 +86,11 @@ class RetailTables:
 
     @property
     def categories(self) -> DataFrame:
+        """Sizes are numbers from 1 to 50, so the dimension goes to whatever it is joined with."""
         category = F.col("p_size").cast("bigint")
         name = F.concat(F.lit("CATEGORY "), F.lpad(category.cast("string"), 2, "0"))
-        return self.table("part").select(
-            category.alias("category_id"), name.alias("category_name")
-        ).distinct()
+        named = self.table("part").select(category.alias("category_id"), name.alias("category_name"))
+        return F.broadcast(named.distinct())
 
     @property
     def categorised(self) -> DataFrame:

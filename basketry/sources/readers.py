@@ -5,7 +5,7 @@ from collections.abc import Sequence
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from basketry import schemas
 from basketry.functions.receipts import whole_number
@@ -104,6 +104,13 @@ def read_stored(spark: SparkSession, path: str, schema: StructType) -> DataFrame
     return spark.read.schema(schema).parquet(path)
 
 
+def read_batches(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
+    """Lines written in a folder for each micro-batch, of all of them or of those before one."""
+    schema = StructType([*schemas.LINES.fields, StructField("batch", LongType())])
+    stored = read_stored(spark, path, schema)
+    return (stored if before is None else stored.filter(F.col("batch") < before)).drop("batch")
+
+
 def read_partitions(
     spark: SparkSession, path: str, schema: StructType, partitions: list[tuple[int, str]]
 ) -> DataFrame:
@@ -151,6 +158,17 @@ def table_exists(spark: SparkSession, path: str) -> bool:
     return True
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether files or folders match the path, of whatever format."""
+    try:
+        spark.read.text(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
+    return True
+
+
 # Names under which the stored tables can be queried with SQL.
 VIEWS = {
     "transactions_long": ("lines", schemas.LINES),

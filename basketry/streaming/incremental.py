@@ -116,14 +116,14 @@ def start_deduplicated_lines(
     checkpoint: str,
     delay: datetime.timedelta = datetime.timedelta(days=7),
     trigger: dict | None = None,
-    files_per_partition: int = 4,
 ) -> StreamingQuery:
     """Append-only variant: resent lines are dropped by bounded streaming state.
 
     State is kept for ``delay`` after a line's date.  Lines that come later than
-    that are not loaded; use ``start_incremental_load`` where they must be.  A
-    micro-batch writes each partition it meets in up to ``files_per_partition``
-    tasks: more of them split a busy store's month further, fewer make fewer files.
+    that are not loaded; use ``start_incremental_load`` where they must be, or
+    ``start_parted_lines`` to keep them apart.  Every micro-batch has a folder of
+    its own, which a repeated one replaces; within it, files are split and put
+    together by their volume.
     """
     watermark = f"{int(delay.total_seconds())} seconds"
     exploded = readers.valid_incoming(incoming).select(
@@ -137,15 +137,68 @@ def start_deduplicated_lines(
         .dropDuplicatesWithinWatermark([*RECEIPT_KEY, "category_id"])
         .drop("event_ts")
     )
-    part = F.pmod(F.xxhash64("customer_id"), F.lit(files_per_partition))
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        writers.write_partitioned(batch, f"{lines_path}/batch={batch_id}")
+
     return (
         named_lines(distinct, categories)
-        .repartition(*PARTITION_COLUMNS, part)
-        .writeStream.format("parquet")
-        .partitionBy(*PARTITION_COLUMNS)
-        .option("path", lines_path)
+        .writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .outputMode("append")
         .trigger(**(trigger or {"availableNow": True}))
         .start()
     )
+
+
+def start_parted_lines(
+    incoming: DataFrame,
+    categories: DataFrame,
+    lines_path: str,
+    late_path: str,
+    checkpoint: str,
+    delay: datetime.timedelta = datetime.timedelta(days=7),
+    trigger: dict | None = None,
+) -> StreamingQuery:
+    """Append-only variant that keeps late lines apart instead of dropping them.
+
+    A line is late if its date is more than ``delay`` before the newest date of
+    all earlier micro-batches.  That high-water mark is stored with the
+    checkpoint, one for each micro-batch.  Lines that an earlier micro-batch has
+    written to either table are not written again, whenever they come.  A
+    micro-batch writes folders of its own and its mark last, so one that is
+    repeated finds the same mark and replaces what it had written.
+    """
+    marks = f"{checkpoint}/high_water"
+    key = [*RECEIPT_KEY, "category_id"]
+
+    def part(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        lines = incoming_lines(batch, categories).persist()
+        try:
+            newest = None
+            if readers.table_exists(spark, marks):
+                before = spark.read.schema("mark date, batch bigint").parquet(marks)
+                newest = before.filter(F.col("batch") < batch_id).agg(F.max("mark")).first()[0]
+            # At most as many rows as the tables have months.
+            months = [row[0] for row in lines.select("year_month").distinct().collect()]
+            new = lines
+            for path in (lines_path, late_path):
+                if readers.table_exists(spark, path):
+                    stored = readers.read_batches(spark, path, batch_id)
+                    stored = stored.filter(F.col("year_month").isin(months))
+                    new = new.join(stored.select(*key), key, "left_anti")
+            late = F.lit(False) if newest is None else F.col("date") < F.lit(newest - delay)
+            for path, chosen in ((lines_path, ~late), (late_path, late)):
+                writers.write_partitioned(new.filter(chosen), f"{path}/batch={batch_id}")
+            mark = F.greatest(F.max("date"), F.lit(newest).cast("date")).alias("mark")
+            lines.agg(mark).write.mode("overwrite").parquet(f"{marks}/batch={batch_id}")
+        finally:
+            lines.unpersist()
+
+    return (
+        incoming.writeStream.foreachBatch(part)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True}))
+        .start()
+    )
