@@ -208,6 +208,77 @@ def test_model_is_a_distribution(spark):
         assert math.isclose(np.exp(log_p).sum(), 1.0, rel_tol=1e-3)
 
 
+def plain_discounts(counts):
+    n = collections.Counter(counts.values())
+    out = []
+    for k, default in ((1, 0.5), (2, 1.0), (3, 1.5)):
+        value = k - (k + 1) * n[1] / (n[1] + 2 * n[2]) * n[k + 1] / n[k] if n[1] and n[2] and n[k] else default
+        out.append(value if 0 < value < k else default)
+    return lambda c: min(out[min(c, 3) - 1], c)
+
+
+def plain_perplexities(texts, least_words=5, least=3):
+    """Kneser-Ney by its formulas: counts are numbers of different words before, a context's total its own count."""
+    rows = [t.split() for t in texts]
+    often = collections.Counter(w for row in rows for w in row)
+    ids = [["<s>"] * 3 + [w if often[w] >= least_words else "<unk>" for w in row] for row in rows]
+    size = 2 + sum(n >= least_words for n in often.values())
+    fours = {tuple(row[i - 3 : i + 1]) for row in ids for i in range(3, len(row))}
+    three = collections.Counter(g[1:] for g in fours)
+    two = collections.Counter(g[1:] for g in three)
+    one = collections.Counter(g[1:] for g in two)
+    kept = {1: one, 2: {g: n for g, n in two.items() if n >= least}, 3: {g: n for g, n in three.items() if n >= least}}
+    share, left = {}, {}
+    for order, counts, lower in ((1, one, None), (2, two, one), (3, three, kept[2])):
+        discount, sums = plain_discounts(counts), collections.Counter()
+        for g, n in kept[order].items():
+            sums[g[:-1]] += n
+        for g, n in kept[order].items():
+            total = max(sums[g[:-1]], lower.get(g[:-1], 0) if lower is not None else 0)
+            share[g] = (n - discount(n)) / total
+            left[g[:-1]] = left.get(g[:-1], 1.0) - share[g]
+
+    def probability(g):
+        lower = probability(g[1:]) if len(g) > 1 else 1 / size
+        return share.get(g, 0.0) + max(left.get(g[:-1], 1.0), 1e-6) * lower
+
+    return [
+        -sum(math.log(probability(tuple(row[i - 2 : i + 1]))) for i in range(3, len(row))) / (len(row) - 3) if len(row) > 3 else None
+        for row in ids
+    ]
+
+
+@pytest.mark.parametrize("part_words,broadcast", [(2_000_000, 8_000_000), (150, 8_000_000), (150, 0)])
+def test_perplexities_against_plain_kneser_ney(spark, part_words, broadcast):
+    rng = random.Random(26)
+    texts = prose(rng, [rng.randint(0, 90) for _ in range(150)], known=30)
+    texts = [t if i % 3 else t + " rare" + str(i) for i, t in enumerate(texts)] + [texts[0], texts[1], ""]
+    setting = perplexity.Settings(part_words=part_words, broadcast_ngrams=broadcast)
+    rows = {r["doc_id"]: r["log_perplexity"] for r in perplexity.quality(make(spark, texts), setting).collect()}
+    for i, want in enumerate(plain_perplexities(texts)):
+        assert (rows[i] is None) == (want is None) and (want is None or abs(rows[i] - want) < 1e-6)
+
+
+@given(st.lists(st.integers(1, 5000), min_size=1, max_size=40), st.integers(1, 3000))
+@settings(max_examples=100, deadline=None)
+def test_ranges_follow_the_order_of_trigrams(occurrences, part_words):
+    ranges = perplexity.Ranges(np.array([1, 1, *sorted(occurrences, reverse=True)]), part_words)
+    n = len(occurrences) + 2
+    middle, last, first = (x.ravel() for x in np.meshgrid(*[np.arange(min(n, 12))] * 3, indexing="ij"))
+    parts = ranges.of(first, middle, last)
+    assert (np.diff(parts) >= 0).all() and parts.min() >= 0 and parts.max() < ranges.parts
+    split = ranges.split(middle, last)
+    for m, w in {(m, w) for m, w in zip(middle[~split].tolist(), last[~split].tolist())}:
+        assert len(set(parts[(middle == m) & (last == w)])) == 1
+
+
+def test_blocks_come_back_as_they_were():
+    rng = np.random.default_rng(27)
+    columns = [np.sort(rng.integers(0, 1 << 21, 1000)), *rng.integers(0, 1 << 21, (3, 1000))]
+    for found, want in zip(perplexity.opened_block(perplexity.packed_block(columns), 4), columns):
+        assert (found == want).all()
+
+
 def test_sorted_hash_array():
     rng = np.random.default_rng(7)
     keys = np.unique(rng.integers(0, 2**60, 5000))
