@@ -22,6 +22,7 @@ cut the bytes into stretches that lie in one token of each, and each stretch is
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -41,7 +42,7 @@ ID_BITS = 20
 LOW = (1 << ID_BITS) - 1
 SLICE = 8192
 FAN_IN = 8
-ROOM = 150_000  # pieces of text whose ids a task remembers, for each vocabulary
+ROOM = 150_000  # pieces of text whose ids a task remembers, and as many that it has met before them
 COLUMNS = "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint"
 NAMES = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups"]
 
@@ -59,7 +60,7 @@ class ByteTokens:
 
     def __init__(self, file: str):
         self.encoder = packing.Encoder(file)
-        self.encoder.ROOM = ROOM
+        self.encoder.ROOM = ROOM // 10
         self.encoder.whole.encode_special_tokens = True
         letters = packing._byte_letters()
         byte_of = {c: b for b, c in letters.items()}
@@ -76,8 +77,7 @@ class ByteTokens:
 class PieceTokens:
     """Ids of a piece vocabulary, which puts a blank before the text by itself.
 
-    If no piece goes on from a character into a blank, what stands between blanks is encoded by itself and
-    remembered; else whole texts are.
+    If no piece goes on from a character into a blank, what stands between blanks may be encoded ``one_by_one``.
     """
 
     def __init__(self, file: str):
@@ -88,50 +88,72 @@ class PieceTokens:
         kinds = (self.pieces.is_byte, self.pieces.is_control, self.pieces.is_unknown)
         plain = [i for i in range(len(self.spelt)) if not any(kind(i) for kind in kinds)]
         self.one_by_one = not any(re.search(rb"[^ ] ", self.spelt[i]) for i in plain)
-        self.known: dict[str, bytes] = {}
 
     def _spell(self, i: int) -> bytes:
         if self.pieces.is_byte(i):
             return bytes([int(self.pieces.id_to_piece(i)[3:5], 16)])
         return self.pieces.id_to_piece(i).replace("▁", " ").encode()
 
-    def _ids(self, text: str) -> bytes | None:
+    def encode(self, text: str) -> bytes | None:
         """None if the tokens do not spell the text."""
         ids = self.pieces.encode(text, num_threads=1)
         if b"".join([self.spelt[i] for i in ids]) != b" " + text.encode():
             return None
-        return np.asarray(ids, "<u4").tobytes()
+        return array("I", ids).tobytes()
+
 
-    def _remembered(self, chunk: str) -> bytes | None:
-        if len(self.known) >= ROOM:
-            self.known.clear()
-        found = self.known[chunk] = self._ids(chunk)
+class BothTokens:
+    """Ids of both vocabularies, as unsigned 32-bit numbers; None where one does not spell the text.
+
+    What stands between single blanks is encoded by itself and remembered, unless white space or unusual characters
+    make that unsafe.  When there are too many, those not met since the last time are forgotten.
+    """
+
+    def __init__(self, files: Vocabularies):
+        self.a, self.b = ByteTokens(files.bytes_file), PieceTokens(files.pieces_file)
+        self.sizes = np.array([len(x) for x in self.a.spelt])
+        self.fast = self.a.encoder.fast.encode_ordinary
+        self.recent: dict[str, tuple[bytes, bytes]] = {}
+        self.older: dict[str, tuple[bytes, bytes]] = {}
+        marks = [re.escape(s) for s in self.a.encoder.special]
+        self.unsafe = re.compile("|".join(["  ", "(?: |^)[\\t\\n\\r]", "^ | $", *marks])).search
+
+    def _remembered(self, chunk: str) -> tuple[bytes, bytes | None]:
+        found = self.older.get(chunk)
+        if found is None:
+            found = array("I", self.fast(" " + chunk)).tobytes(), self.b.encode(chunk)
+        if len(self.recent) >= ROOM:
+            self.recent, self.older = {}, self.recent
+        self.recent[chunk] = found
         return found
 
-    def encode(self, text: str) -> bytes | None:
-        chunks = text.split(" ")
-        if not self.one_by_one or "" in chunks:
-            return self._ids(text)
-        get = self.known.get
-        parts = [get(c) or self._remembered(c) for c in chunks]
-        return None if None in parts else b"".join(parts)
+    def encode(self, text: str) -> tuple[bytes, bytes] | None:
+        if not text:
+            return None
+        if not self.b.one_by_one or self.unsafe(text) or self.a.encoder.unusual(text):
+            second = self.b.encode(text)
+            first = self.a.encode(text) if second else b""
+        else:
+            found = [self.recent.get(c) or self._remembered(c) for c in text.split(" ")]
+            seconds = [x[1] for x in found]
+            second = None if None in seconds else b"".join(seconds)
+            first = b"".join([x[0] for x in found])
+        if not second or self.sizes[np.frombuffer(first, "<u4")].sum() != len(text.encode()) + 1:
+            return None
+        return first, second
 
 
 def tokenised(docs: DataFrame, files: Vocabularies) -> DataFrame:
     """doc_id, a hash of the text, and the ids of both vocabularies, empty where a text has no tokens."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = ByteTokens(files.bytes_file), PieceTokens(files.pieces_file)
-        sizes = np.array([len(x) for x in a.spelt])
+        both = BothTokens(files)
+        widths = _width(both.a.spelt), _width(both.b.spelt)
         for batch in batches:
             rows = []
             for raw in utf8(batch, "text"):
-                text = raw.decode("utf-8", "replace")
-                second = b.encode(text) if text else None
-                first = a.encode(text) if second else b""
-                ids = np.frombuffer(first, "<u4")
-                spelt = second and sizes[ids].sum() == len(raw) + 1
-                rows.append((_small(ids, sizes), _small(np.frombuffer(second, "<u4"), b.spelt)) if spelt else (b"", b""))
+                found = both.encode(raw.decode("utf-8", "replace")) or (b"", b"")
+                rows.append([np.frombuffer(ids, "<u4").astype(width).tobytes() for ids, width in zip(found, widths, strict=True)])
             columns = [pa.array([r[k] for r in rows], pa.binary()) for k in (0, 1)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), *columns], ["doc_id", "key", "a", "b"])
 
@@ -143,10 +165,6 @@ def _width(vocabulary) -> str:
     return "<u2" if len(vocabulary) <= 1 << 16 else "<u4"
 
 
-def _small(ids: np.ndarray, vocabulary) -> bytes:
-    return ids.astype(_width(vocabulary)).tobytes()
-
-
 class Spelling:
     """Both vocabularies' token lengths, and the ids as text."""
 
@@ -156,7 +174,9 @@ class Spelling:
         self.widths = [_width(v.spelt) for v in (a, b)]
         # An id with what follows it: within its side of a group, or at the side's end.
         count = max(map(len, self.sizes))
-        self.text = [f"{i}{sign}" for sign in ",|;" for i in range(count)]
+        texts = [f"{i}{sign}".encode() for sign in ",|;" for i in range(count)]
+        self.text = np.array(texts).view(np.uint8).reshape(len(texts), -1)
+        self.text_size = np.array([len(t) for t in texts])
         self.inner, self.bar, self.end = 0, count, 2 * count
 
     def line_up(self, batch: pa.RecordBatch) -> "Links":
@@ -187,32 +207,35 @@ class Links:
         both = np.diff(starts, append=len(merged)) == 2
         # At the end of a group both of its last tokens end.
         self.a_last, self.b_last = at_a[both], at_b[both]
-        token_ends = np.cumsum(self.n_a)
-        self.row_of_link = np.searchsorted(token_ends, at_a, side="right")
-        self.row_of_group = np.searchsorted(token_ends, self.a_last, side="right")
+        row_of_token = np.repeat(np.arange(len(self.n_a)), self.n_a)
+        self.row_of_link, self.row_of_group = row_of_token[at_a], row_of_token[self.a_last]
 
     def per_row(self, rows: np.ndarray, values: np.ndarray | None = None) -> np.ndarray:
-        out = np.zeros(len(self.n_a), np.int64)
-        np.add.at(out, rows, 1 if values is None else values)
-        return out
+        """How many of these ascending row numbers there are for each row, or the sum of their values."""
+        ends = np.searchsorted(rows, np.arange(len(self.n_a)), side="right")
+        if values is None:
+            return np.diff(ends, prepend=0)
+        sums = np.concatenate([[0], np.cumsum(values, dtype=np.int64)])
+        return np.diff(sums[ends], prepend=0)
 
     def groups(self) -> list[str]:
         """Every row's groups as text, hashed; empty without tokens."""
         spelling = self.spelling
-        group_of_a = np.searchsorted(self.a_last, np.arange(len(self.a)))
-        group_of_b = np.searchsorted(self.b_last, np.arange(len(self.b)))
+        a_ends, b_ends = np.zeros(len(self.a), np.int64), np.zeros(len(self.b), np.int64)
+        a_ends[self.a_last] = b_ends[self.b_last] = 1
+        group_of_a, group_of_b = np.cumsum(a_ends) - a_ends, np.cumsum(b_ends) - b_ends
         codes = np.empty(len(self.a) + len(self.b), np.int64)
-        sign_a, sign_b = np.full(len(self.a), spelling.inner), np.full(len(self.b), spelling.inner)
-        sign_a[self.a_last], sign_b[self.b_last] = spelling.bar, spelling.end
-        ended_b = np.concatenate([[0], self.b_last + 1])
-        codes[np.arange(len(self.a)) + ended_b[group_of_a]] = self.a + sign_a
-        codes[np.arange(len(self.b)) + self.a_last[group_of_b] + 1] = self.b + sign_b
-        texts = list(map(spelling.text.__getitem__, codes.tolist()))
-        ends = np.cumsum(self.n_a + self.n_b).tolist()
+        b_before = np.concatenate([[0], self.b_last + 1])
+        codes[np.arange(len(self.a)) + b_before[group_of_a]] = self.a + np.where(a_ends, spelling.bar, spelling.inner)
+        codes[np.arange(len(self.b)) + self.a_last[group_of_b] + 1] = self.b + np.where(b_ends, spelling.end, spelling.inner)
+        sizes = spelling.text_size[codes]
+        shown = np.arange(spelling.text.shape[1]) < sizes[:, None]
+        text = spelling.text[codes][shown].tobytes()
+        ends = np.concatenate([[0], np.cumsum(sizes)])[np.cumsum(self.n_a + self.n_b)].tolist()
         out = []
         for start, end in zip([0, *ends], ends):
             # The last group is not followed by another.
-            out.append(hashlib.sha256("".join(texts[start:end])[:-1].encode()).hexdigest() if end > start else "")
+            out.append(hashlib.sha256(text[start : end - 1]).hexdigest() if end > start else "")
         return out
 
 
