@@ -20,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from basketry.llm.common import WordHashes, opened, ship, utf8
@@ -243,11 +243,12 @@ def thinned(sample: DataFrame, signs: int = 4) -> DataFrame:
 
     names = [f"sign{k}" for k in range(signs)]
     found = sample.select("doc_id", "text").mapInArrow(sign, "doc_id bigint, " + ", ".join(f"{n} bigint" for n in names))
-    # Rows of a bounded sample, without texts.
-    least = [F.min("doc_id").over(Window.partitionBy(n)) == F.col("doc_id") for n in names]
-    flags = found.select("doc_id", *[x.alias(n) for x, n in zip(least, names, strict=True)])
-    kept = flags.filter(" AND ".join(names)).select("doc_id")
-    return sample.join(F.broadcast(kept), "doc_id", "left_semi")
+    found = staged(found, "signs")
+    for name in names:
+        # Ids of a bounded sample, without texts; many copies come as one row from each task.
+        least = found.groupBy(name).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+        sample = sample.join(F.broadcast(least), "doc_id", "left_semi")
+    return sample
 
 
 def document_words(docs: DataFrame) -> DataFrame:
