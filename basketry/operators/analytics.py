@@ -85,8 +85,9 @@ def boxplot_category(
         held = F.array_intersect(ids, F.col("categories"))
         return F.slice(held, F.lit(2), F.size(held))
 
-    sizes = between(baskets, start_date, end_date, store_id).select(
-        "basket_size", "categories", F.flatten(F.transform(shared, after_the_first)).alias("again")
+    chosen = between(baskets, start_date, end_date, store_id)
+    sizes = chosen.select("basket_size", "categories", shared.alias("shared")).select(
+        "basket_size", "categories", F.flatten(F.transform("shared", after_the_first)).alias("again")
     )
     line = F.transform(
         "categories",

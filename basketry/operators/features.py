@@ -32,7 +32,7 @@ def customer_features(baskets: DataFrame) -> DataFrame:
             "recency_days": F.datediff(reference_date, F.col("last_date")).cast("bigint"),
         })
         .select("customer_id", *FEATURE_COLUMNS)
-        .fillna(0)
+        .fillna(0, FEATURE_COLUMNS)
     )
 
 

@@ -145,7 +145,7 @@ def test_deduplicated_stream(spark, categories, drop, tmp_path, wanted):
     def run():
         stream = readers.stream_incoming_json(spark, drop.folder)
         incremental.start_deduplicated_lines(stream, categories, path, checkpoint).awaitTermination()
-        return sorted(map(str, as_dicts(readers.read_lines(spark, path))))
+        return sorted(map(str, as_dicts(readers.read_batches(spark, path))))
 
     drop("a.json", RECORDS + RECORDS[:2])
     assert run() == wanted[0]
