@@ -223,7 +223,7 @@ def plain_perplexities(texts, least_words=5, least=3):
     often = collections.Counter(w for row in rows for w in row)
     ids = [["<s>"] * 3 + [w if often[w] >= least_words else "<unk>" for w in row] for row in rows]
     size = 2 + sum(n >= least_words for n in often.values())
-    fours = {tuple(row[i - 3 : i + 1]) for row in ids for i in range(3, len(row))}
+    fours = {tuple(row[i - 3 : i + 1]) for row in ids for i in range(3, len(row)) if "<unk>" not in row[i - 2 : i]}
     three = collections.Counter(g[1:] for g in fours)
     two = collections.Counter(g[1:] for g in three)
     one = collections.Counter(g[1:] for g in two)
