@@ -1,10 +1,12 @@
 """Main text of web pages by two passes of block rules.
 
-A page is cut into blocks at block-level tags.  The first pass judges each block
-alone: by the place its markup names (an article or main part, or a menu,
-footer, advert and the like), else by length, link density and the share of
-stop words.  Short blocks and blocks of middling density stay undecided; the
-second pass gives them the label of the nearest decided neighbours.
+A page is cut into blocks at block-level tags; those that markup sets apart (menus,
+footers, forms, adverts, comments) are never part of the text.  The first pass judges
+each other block alone, by length, link density and the share of stop words: full of
+links is bad, long with many stop words is good.  Short blocks and long ones of middling
+density stay undecided.  The second pass gives them the labels of the nearest decided
+neighbours, the long ones first.  Where none of the listed languages fits the page as a
+whole, length and links decide without stop words.
 """
 
 import html
@@ -84,7 +86,6 @@ class Rules:
     long: int = 120
     low_density: float = 0.15
     high_density: float = 0.25
-    heading_reach: int = 200
 
 
 @dataclass
@@ -184,56 +185,56 @@ def stop_word_density(text: str) -> float:
     return max(sum(w in listed for w in words) for listed in STOP_WORDS.values()) / len(words)
 
 
-def first_pass(block: Block, rules: Rules) -> str:
-    """"good", "bad", or undecided: "near" (middling) or "short"."""
-    if block.place == "main":
-        return "good"
+def first_pass(block: Block, rules: Rules, known_language: bool = True) -> str:
+    """"good", "bad", or undecided: "near" (long) or "short"."""
     links = block.link_chars / len(block.text)
-    if block.place == "aside" or links > rules.max_link_density or "©" in block.text:
+    if block.place == "aside" or links > rules.max_link_density:
         return "bad"
     if len(block.text) < rules.short:
-        return "bad" if links else "short"
-    density = stop_word_density(block.text)
-    if density >= rules.high_density:
-        return "good" if len(block.text) > rules.long else "near"
-    return "near" if density >= rules.low_density else "bad"
-
-
-def second_pass(found: list[Block], labels: list[str], rules: Rules) -> list[bool]:
-    """Undecided blocks inherit from the nearest decided ones; the page's ends count as bad."""
-    decided = [i for i, label in enumerate(labels) if label in ("good", "bad")]
-    before, after, last = [-1] * len(labels), [len(labels)] * len(labels), 0
-    for i in decided:
-        after[last : i + 1] = [i] * (i + 1 - last)
-        last = i + 1
-    for i, nearest in enumerate(decided):
-        end = decided[i + 1] if i + 1 < len(decided) else len(labels)
-        before[nearest:end] = [nearest] * (end - nearest)
-
-    def label_at(i: int) -> str:
-        return labels[i] if 0 <= i < len(labels) else "bad"
-
-    kept = []
-    for i, label in enumerate(labels):
-        left, right = label_at(before[i]), label_at(after[i])
-        if label in ("good", "bad"):
-            kept.append(label == "good")
-        elif left == right:
-            kept.append(left == "good")
-        elif label == "near":
-            kept.append(True)
-        elif found[i].heading:
-            between = sum(len(b.text) for b in found[i + 1 : after[i]])
-            kept.append(right == "good" and between <= rules.heading_reach)
-        else:
-            kept.append((left if i - before[i] <= after[i] - i else right) == "good")
-    return kept
+        return "bad" if links or "©" in block.text else "short"
+    prose = not known_language or stop_word_density(block.text) >= rules.high_density
+    return "good" if prose and len(block.text) > rules.long else "near"
+
+
+def second_pass(found: list[Block], labels: list[str]) -> list[bool]:
+    """Undecided blocks inherit from the nearest decided ones before and after them.
+
+    Blocks that markup sets apart are nobody's neighbours.  Where both neighbours agree, or there is one, it decides;
+    without any, what is there is the text.  Else long blocks are good, headings go with what follows, and other short
+    blocks with the nearer neighbour, the good one if both are as near.
+    """
+    labels = list(labels)
+    open_ = [i for i, block in enumerate(found) if block.place != "aside"]
+    for kind in ("near", "short"):
+        decided = [k for k, i in enumerate(open_) if labels[i] in ("good", "bad")]
+        inherited, after = {}, 0
+        for k, i in enumerate(open_):
+            while after < len(decided) and decided[after] < k:
+                after += 1
+            if labels[i] != kind:
+                continue
+            left = labels[open_[decided[after - 1]]] if after else None
+            right = labels[open_[decided[after]]] if after < len(decided) else None
+            if left is None or right is None or left == right:
+                inherited[i] = left or right or "good"
+            elif kind == "near":
+                inherited[i] = "good"
+            elif found[i].heading:
+                inherited[i] = right
+            else:
+                steps = k - decided[after - 1], decided[after] - k
+                inherited[i] = left if steps[0] < steps[1] else right if steps[1] < steps[0] else "good"
+        for i, label in inherited.items():
+            labels[i] = label
+    return [block.place != "aside" and label == "good" for block, label in zip(found, labels, strict=True)]
 
 
 def main_text(page: str, rules: Rules = Rules()) -> tuple[str, int, int]:
     """(text, number of blocks, number kept)."""
     found = list(blocks(page))
-    kept = second_pass(found, [first_pass(b, rules) for b in found], rules)
+    whole = " ".join(b.text for b in found if b.place != "aside")
+    known_language = stop_word_density(whole) >= rules.low_density
+    kept = second_pass(found, [first_pass(b, rules, known_language) for b in found])
     text = "\n".join(b.text for b, good in zip(found, kept, strict=True) if good)
     return text, len(found), sum(kept)
 

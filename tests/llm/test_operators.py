@@ -490,6 +490,75 @@ def test_two_passes_decide_short_blocks():
     assert kept == 3 and text.split("\n")[1] == "Short one."
 
 
+def plain_passes(found, known_language, rules):
+    """Both passes with neighbours looked for one by one."""
+    labels = []
+    for b in found:
+        density = html_blocks.stop_word_density(b.text) if known_language else 1.0
+        if b.place == "aside" or b.link_chars > rules.max_link_density * len(b.text):
+            labels.append("bad")
+        elif len(b.text) >= rules.short:
+            labels.append("good" if density >= rules.high_density and len(b.text) > rules.long else "near")
+        else:
+            labels.append("bad" if b.link_chars or "©" in b.text else "short")
+    for kind in ("near", "short"):
+        new = list(labels)
+        for i, b in enumerate(found):
+            if labels[i] != kind or b.place == "aside":
+                continue
+            sides, steps = [], []
+            for way in (-1, 1):
+                j, step = i + way, 1
+                while 0 <= j < len(found) and (found[j].place == "aside" or labels[j] not in ("good", "bad")):
+                    step += found[j].place != "aside"
+                    j += way
+                sides.append(labels[j] if 0 <= j < len(found) else None)
+                steps.append(step)
+            told = [x for x in sides if x]
+            if len(set(told)) < 2 or len(told) < 2:
+                new[i] = told[0] if told else "good"
+            elif kind == "near":
+                new[i] = "good"
+            elif b.heading:
+                new[i] = sides[1]
+            else:
+                new[i] = "good" if steps[0] == steps[1] else sides[steps.index(min(steps))]
+        labels = new
+    return [b.place != "aside" and x == "good" for b, x in zip(found, labels)]
+
+
+WORDS = st.sampled_from(["the of and to", "stone river cloud", "x", "© 2020"])
+BLOCKS = st.builds(
+    lambda text, times, links, place, heading: html_blocks.Block(" ".join([text] * times), links, place, heading),
+    WORDS, st.integers(1, 15), st.sampled_from([0, 0, 0, 3, 60]), st.sampled_from(["", "", "main", "aside"]), st.booleans(),
+)
+
+
+@given(st.lists(BLOCKS, max_size=14), st.booleans())
+@settings(max_examples=300, deadline=None)
+def test_both_passes_against_plain_ones(found, known_language):
+    rules = html_blocks.Rules()
+    labels = [html_blocks.first_pass(b, rules, known_language) for b in found]
+    assert html_blocks.second_pass(found, labels) == plain_passes(found, known_language, rules)
+
+
+def test_rules_need_no_article_element(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()
+    same = 0
+    for r in pages:
+        plain = re.sub(r"(</?)(article|main)\b", r"\1div", r["html"], flags=re.I)
+        same += html_blocks.main_text(r["html"])[0] == html_blocks.main_text(plain)[0] != ""
+    assert same >= 0.95 * len(pages)
+
+
+def test_other_languages_and_signs_keep_their_text():
+    italian = "<p>Nel mezzo del cammin di nostra vita mi ritrovai per una selva oscura, che la diritta via era smarrita e non sapeva dire quanto.</p>"
+    page = f"<div><a href=/>Home</a> <a href=/x>Altro</a></div><h1>Titolo</h1>{italian}<p>Breve.</p>{italian}<div>© 2020 x</div>"
+    assert html_blocks.main_text(page)[0].split("\n")[:3] == ["Titolo", re.sub("</?p>", "", italian), "Breve."]
+    sign = "<p>The sign © was in the middle of the long line that they had read to us, and it is the one of which he said that it was not his.</p>"
+    assert "©" in html_blocks.main_text(f"<div><a href=/>Home</a></div>{sign}<p>End</p>")[0]
+
+
 def test_markup_inside_the_article():
     page = (
         "<title>T</title><header>H</header><article><h1>Head&nbsp;&amp;\n line</h1><script>var a='</p>'</script><p>One <b>two</b><br>three"
