@@ -198,5 +198,7 @@ def pack(
         rows["offset"] = np.concatenate([np.zeros(full, np.int64), offsets])
         return rows.drop(columns="group")
 
-    dealt = found.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))
+    # A place in the staged table tells apart rows of one id, or of none, and rows that are equal in all.
+    key = F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id())
+    dealt = found.withColumn("group", F.pmod(key, F.lit(groups)))
     return dealt.groupBy("group").applyInPandas(place, PACKED)

@@ -66,6 +66,13 @@ def test_packing_round_trip(spark, encoder):
         assert sequence.offset.tolist() == [0, *np.cumsum(sequence.length)[:-1]] and sequence.length.sum() <= 1024
 
 
+def test_rows_without_an_id_are_dealt_to_many_groups(spark):
+    rows = [(None, "the same few words", "en", "s", 1)] * 600 + [(i, f"words {i}", "en", "s", 1) for i in range(1200)]
+    packed = packing.pack(spark.createDataFrame(rows, DOCS), VOCABULARY, group_pieces=100).toPandas()
+    sizes = (packed.sequence_id // 2**40).value_counts()
+    assert len(packed) == 1800 and len(sizes) == 18 and sizes.max() < 200
+
+
 @pytest.mark.parametrize("measure", ["norm", "dot"])
 def test_best_fit_holds_every_capacity(measure):
     rng = np.random.default_rng(2)
