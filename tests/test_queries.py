@@ -10,8 +10,11 @@ import pytest
 import __spark_entry__ as driver
 
 FOLDER = "/root/testdata/sf0.001"
-# Thousands of partition folders each: run by check.py instead.
-SLOW = {"streamed_lines", "deduplicated_stream", "bulk_loaded_report", "bulk_loaded_baskets"}
+# Hundreds of partition folders each: run by check.py instead.
+SLOW = {
+    "streamed_lines", "deduplicated_stream", "bulk_loaded_report", "bulk_loaded_baskets", "late_lines_apart", "followed_rules",
+    "customer_state_metrics", "customer_state_top", "compacted_lines", "compacted_partitions", "refreshed_rules", "refreshed_clusters",
+}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test data")
 
