@@ -17,6 +17,7 @@ from basketry.functions.labels import name_or_id
 from basketry.operators import prepare
 from basketry.plans.ingest import Store
 from basketry.schemas import BASKETS, LINES, PARTITION_COLUMNS, RECEIPT_KEY
+from basketry.session import fresh_path
 from basketry.sources import readers, writers
 
 
@@ -109,6 +110,17 @@ def start_incremental_load(
     )
 
 
+def landed(spark: SparkSession, batch: DataFrame) -> DataFrame:
+    """A micro-batch written once and read by the session that started its stream.
+
+    A stream with state has no adaptive execution and drops the hint to rebalance, so
+    every task would write a file for each partition of the table that it meets.
+    """
+    path = fresh_path(spark, "micro-batch")
+    batch.write.parquet(path)
+    return spark.read.schema(batch.schema).parquet(path)
+
+
 def start_deduplicated_lines(
     incoming: DataFrame,
     categories: DataFrame,
@@ -125,6 +137,7 @@ def start_deduplicated_lines(
     its own, which a repeated one replaces; within it, files are split and put
     together by their volume.
     """
+    spark = incoming.sparkSession
     watermark = f"{int(delay.total_seconds())} seconds"
     exploded = readers.valid_incoming(incoming).select(
         *RECEIPT_KEY,
@@ -139,7 +152,7 @@ def start_deduplicated_lines(
     )
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        writers.write_partitioned(batch, f"{lines_path}/batch={batch_id}")
+        writers.write_partitioned(landed(spark, batch), f"{lines_path}/batch={batch_id}")
 
     return (
         named_lines(distinct, categories)

@@ -1,4 +1,5 @@
 import datetime
+import glob
 import json
 import uuid
 
@@ -167,3 +168,14 @@ def test_box_plot_names_categories_as_stored(spark, categories, store, drop):
     names = summary.category_names(readers.read_lines(spark, store.lines))
     boxes = analytics.boxplot(readers.read_baskets(spark, store.baskets), names, dimension="category")
     assert "Cat 60" in {r["label"] for r in as_dicts(boxes)}
+
+
+def test_stream_with_state_writes_one_file_for_a_small_partition(spark, categories, drop, tmp_path):
+    # Forty customers, so that every shuffle partition holds some of the month's lines.
+    drop("a.json", [
+        {"date": f"2013-08-{1 + c % 28:02d}", "store_id": 1, "customer_id": c, "categories": [1, 2]} for c in range(40)
+    ])
+    stream = readers.stream_incoming_json(spark, drop.folder)
+    path = str(tmp_path / "lines")
+    incremental.start_deduplicated_lines(stream, categories, path, str(tmp_path / "checkpoint")).awaitTermination()
+    assert len(glob.glob(f"{path}/**/store_id=1/year_month=2013-08/*.parquet", recursive=True)) == 1
