@@ -15,8 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from basketry.operators import containment
-from basketry.operators.rules import MIN_CONFIDENCE, MIN_SUPPORT, mine_rules
+from basketry.operators import growth
+from basketry.operators.rules import MIN_CONFIDENCE, MIN_SUPPORT, rules_of_counts
 from basketry.session import staged
 
 
@@ -38,12 +38,9 @@ class Itemsets:
 
 
 def mined(baskets: DataFrame, min_support: float = MIN_SUPPORT) -> Itemsets:
-    """All counts from the beginning: FP-Growth's frequent sets, and one pass for their border."""
-    model = mine_rules(baskets, min_support)
-    transactions = baskets.count()
-    known = model.freqItemsets.select(F.sort_array("items").alias("items"), "freq")
-    counts = staged(_with_singles(known, baskets), "itemsets")
-    return _completed(Itemsets(counts, transactions, min_support), baskets)
+    """All counts from the beginning."""
+    counts, _, _ = growth.mined(baskets, min_support)
+    return _completed(Itemsets(counts, baskets.count(), min_support), baskets)
 
 
 def updated(
@@ -71,10 +68,6 @@ def _singles(baskets: DataFrame) -> DataFrame:
     return counted.select(F.array("item").alias("items"), "freq")
 
 
-def _with_singles(known: DataFrame, baskets: DataFrame) -> DataFrame:
-    return known.filter(F.size("items") > 1).unionByName(_singles(baskets))
-
-
 def _sum(*counts: DataFrame) -> DataFrame:
     total = counts[0]
     for more in counts[1:]:
@@ -83,41 +76,9 @@ def _sum(*counts: DataFrame) -> DataFrame:
 
 
 def _counted(baskets: DataFrame, sets: DataFrame) -> DataFrame:
-    """(items, freq) of the sets of two or more that baskets hold whole.
-
-    Equal baskets are one holder with a weight; a holder meets a set at its rarest item.
-    """
-    numbered = sets.filter(F.size("items") > 1).select(F.xxhash64("items").alias("number"), "items")
-    held = baskets.groupBy(F.array_distinct("categories").alias("held")).agg(F.count(F.lit(1)).alias("weight"))
-    popularity = held.select(F.explode("held").alias("item"), "weight")
-    popularity = popularity.groupBy("item").agg(F.sum("weight").alias("holders"))
-    entered = containment.by_rarest_item(numbered, popularity).drop("number")
-    met = held.filter(F.size("held") > 1).select("held", "weight", F.explode("held").alias("item"))
-    found = met.join(entered, "item").filter(containment.whole("items", "held"))
-    return found.groupBy("items").agg(F.sum("weight").alias("freq"))
-
-
-def generated(frequent: DataFrame) -> DataFrame:
-    """(items): the sets of two or more whose parts, one item shorter, are all frequent.
-
-    Two sets that differ in their last item only make up one that is longer by one; it comes into question if its
-    other parts are frequent too.
-    """
-    sides = frequent.select(F.slice("items", 1, F.size("items") - 1).alias("start"), F.element_at("items", -1).alias("end"))
-    first, second = sides.alias("first"), sides.alias("second")
-    joined = first.join(second, F.col("first.start") == F.col("second.start")).filter(F.col("first.end") < F.col("second.end"))
-    longer = joined.select(F.concat("first.start", F.array("first.end", "second.end")).alias("items"))
-    place = F.explode(F.sequence(F.lit(1), F.size("items"))).alias("place")
-    parts = longer.select("items", place).select(
-        "items",
-        F.concat(
-            F.slice("items", F.lit(1), F.col("place") - 1),
-            F.slice("items", F.col("place") + 1, F.size("items")),
-        ).alias("part"),
-    )
-    known = frequent.select(F.col("items").alias("part"))
-    whole = parts.join(known, "part", "left_semi").groupBy("items").agg(F.count(F.lit(1)).alias("parts"))
-    return whole.filter(F.col("parts") == F.size("items")).select("items")
+    """(items, freq) of the sets of two or more that baskets hold whole."""
+    held = staged(growth.weighted(baskets), "held")
+    return growth.counted(held, sets.filter(F.size("items") > 1).select("items"))
 
 
 def _completed(state: Itemsets, everything: DataFrame) -> Itemsets:
@@ -125,7 +86,7 @@ def _completed(state: Itemsets, everything: DataFrame) -> Itemsets:
     counts = state.counts
     while True:
         frequent = counts.filter(F.col("freq") >= state.least)
-        border = staged(generated(frequent), "border")
+        border = staged(growth.generated(frequent), "border")
         unknown = staged(border.join(counts, "items", "left_anti"), "unknown")
         if unknown.isEmpty():
             break
@@ -137,22 +98,4 @@ def _completed(state: Itemsets, everything: DataFrame) -> Itemsets:
 
 def rules_of(state: Itemsets, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
     """Association rules with one consequent each, as the miner gives them."""
-    frequent = state.frequent()
-    whole = frequent.filter(F.size("items") > 1).select("items", "freq", F.explode("items").alias("item"))
-    sides = whole.select("freq", F.array_except("items", F.array("item")).alias("antecedent"), F.array("item").alias("consequent"))
-    of_antecedent = frequent.select(F.col("items").alias("antecedent"), F.col("freq").alias("antecedent_freq"))
-    of_consequent = frequent.select(F.col("items").alias("consequent"), F.col("freq").alias("consequent_freq"))
-    confidence = F.col("freq") / F.col("antecedent_freq")
-    share = F.col("consequent_freq") / F.lit(float(state.transactions))
-    return (
-        sides.join(of_antecedent, "antecedent")
-        .join(of_consequent, "consequent")
-        .select(
-            "antecedent",
-            "consequent",
-            confidence.alias("confidence"),
-            (confidence / share).alias("lift"),
-            (F.col("freq") / F.lit(float(state.transactions))).alias("support"),
-        )
-        .filter(F.col("confidence") >= min_confidence)
-    )
+    return rules_of_counts(state.frequent(), state.transactions, min_confidence)

@@ -1,13 +1,14 @@
 """Frequent category sets, association rules and recommendations."""
 
-from pyspark.ml.fpm import FPGrowth, FPGrowthModel
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from basketry.functions.arrays import is_subset
 from basketry.functions.labels import lift_tier
 from basketry.functions.stats import rounded
-from basketry.operators import containment
+from basketry.operators import containment, growth
 
 # Mining thresholds and list lengths.
 MIN_SUPPORT = 0.01
@@ -17,33 +18,58 @@ TOP_RULES = 20
 PRODUCTS_SHOWN = 50
 
 
+@dataclass(frozen=True)
+class MinedRules:
+    """The frequent sets (items, freq) of so many baskets; the rules follow from them."""
+
+    freqItemsets: DataFrame
+    transactions: int
+    min_confidence: float
+
+    @property
+    def associationRules(self) -> DataFrame:
+        return rules_of_counts(self.freqItemsets, self.transactions, self.min_confidence)
+
+
 def mine_rules(
-    baskets: DataFrame,
-    min_support: float = MIN_SUPPORT,
-    min_confidence: float = MIN_CONFIDENCE,
-    partitions: int | None = None,
-) -> FPGrowthModel:
-    """FP-Growth over the baskets' category sets.
-
-    ``baskets`` should be a stored table: mining reads it several times.  Its
-    conditional trees are spread over ``partitions`` tasks, by default one per
-    core; Spark ML alone would take one per input split, most of them without a
-    single item.
+    baskets: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE
+) -> MinedRules:
+    """The frequent sets of the baskets' categories, by growth of prefixes.
+
+    ``baskets`` is read once.  Spark ML's FP-Growth gives the same sets and rules; it ships trees between tasks, and
+    where hardly two baskets are alike these hold as many nodes as the baskets have categories.
     """
-    cores = baskets.sparkSession.sparkContext.defaultParallelism
-    return FPGrowth(
-        itemsCol="categories",
-        minSupport=min_support,
-        minConfidence=min_confidence,
-        numPartitions=partitions or cores,
-    ).fit(baskets.select(F.array_distinct("categories").alias("categories")))
+    counts, transactions, least = growth.mined(baskets, min_support)
+    return MinedRules(counts.filter(F.col("freq") >= least), transactions, min_confidence)
+
+
+def rules_of_counts(frequent: DataFrame, transactions: int, min_confidence: float) -> DataFrame:
+    """Association rules with one consequent each, from the counts (items, freq) of all frequent sets."""
+    whole = frequent.filter(F.size("items") > 1).select("items", "freq", F.explode("items").alias("item"))
+    sides = whole.select("freq", F.array_except("items", F.array("item")).alias("antecedent"), F.array("item").alias("consequent"))
+    of_antecedent = frequent.select(F.col("items").alias("antecedent"), F.col("freq").alias("antecedent_freq"))
+    of_consequent = frequent.select(F.col("items").alias("consequent"), F.col("freq").alias("consequent_freq"))
+    confidence = F.col("freq") / F.col("antecedent_freq")
+    share = F.col("consequent_freq") / F.lit(float(transactions))
+    return (
+        sides.join(of_antecedent, "antecedent")
+        .join(of_consequent, "consequent")
+        .select(
+            "antecedent",
+            "consequent",
+            confidence.alias("confidence"),
+            (confidence / share).alias("lift"),
+            (F.col("freq") / F.lit(float(transactions))).alias("support"),
+        )
+        .filter(F.col("confidence") >= min_confidence)
+    )
 
 
-def frequent_itemsets(model: FPGrowthModel) -> DataFrame:
+def frequent_itemsets(model: MinedRules) -> DataFrame:
     return model.freqItemsets.select(F.sort_array("items").alias("items"), "freq")
 
 
-def association_rules(model: FPGrowthModel) -> DataFrame:
+def association_rules(model: MinedRules) -> DataFrame:
     return model.associationRules.select(
         F.sort_array("antecedent").alias("antecedent"),
         F.sort_array("consequent").alias("consequent"),

@@ -4,7 +4,6 @@ from collections.abc import Callable
 from dataclasses import replace
 
 from pyspark.ml.clustering import KMeansModel
-from pyspark.ml.fpm import FPGrowthModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -107,19 +106,19 @@ def projection(t: RetailTables) -> DataFrame:
     return segments.pca_projection(stored)
 
 
-def type_rules(t: RetailTables) -> FPGrowthModel:
+def type_rules(t: RetailTables) -> rules.MinedRules:
     return rules.mine_rules(staged(t.type_baskets, "baskets"))
 
 
-def size_rules(baskets: DataFrame) -> FPGrowthModel:
+def size_rules(baskets: DataFrame) -> rules.MinedRules:
     return rules.mine_rules(baskets, SIZE_SUPPORT, SIZE_CONFIDENCE)
 
 
-def itemset_texts(model: FPGrowthModel) -> DataFrame:
+def itemset_texts(model: rules.MinedRules) -> DataFrame:
     return rules.frequent_itemsets(model).withColumn("items", id_list(F.col("items")))
 
 
-def stored_rules(model: FPGrowthModel) -> DataFrame:
+def stored_rules(model: rules.MinedRules) -> DataFrame:
     return staged(rules.association_rules(model), "rules")
 
 
