@@ -1,8 +1,9 @@
 """Exact numbers of customers and transactions for any dates and stores, without reading baskets.
 
 The cube has a cell for every day and store with the bitmap of its customers, cut into
-Spark's buckets of 32,768 numbers.  Bitmaps of any cells can be or-ed, so a customer
-who comes on many days or to many stores counts once.
+words of 64 numbers, so that few customers among many take a row of some dozen bytes.
+Words of any cells can be or-ed, so a customer who comes on many days or to many stores
+counts once.
 """
 
 from pyspark.sql import DataFrame
@@ -12,10 +13,11 @@ from basketry.schemas import PARTITION_COLUMNS
 
 
 def customer_cube(baskets: DataFrame) -> DataFrame:
-    """One row per day, store and bucket of customers; a transaction counts in its customer's bucket."""
-    bucket = F.bitmap_bucket_number("customer_id").alias("bucket")
+    """One row per day, store and word of customers; a transaction counts in its customer's word."""
+    bucket = F.shiftright("customer_id", 6).alias("bucket")
+    bit = F.expr("shiftleft(1L, cast(customer_id & 63 AS int))")
     return baskets.groupBy("date", *PARTITION_COLUMNS, bucket).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position("customer_id")).alias("customers"),
+        F.bit_or(bit).alias("customers"),
         F.count(F.lit(1)).alias("transactions"),
         F.sum("basket_size").alias("category_lines"),
     )
@@ -24,12 +26,12 @@ def customer_cube(baskets: DataFrame) -> DataFrame:
 def counted(cells: DataFrame) -> DataFrame:
     """One row: customers, transactions and lines of the cells that a filter has left."""
     buckets = cells.groupBy("bucket").agg(
-        F.bitmap_or_agg("customers").alias("customers"),
+        F.bit_or("customers").alias("customers"),
         F.sum("transactions").alias("transactions"),
         F.sum("category_lines").alias("category_lines"),
     )
     return buckets.agg(
-        F.coalesce(F.sum(F.bitmap_count("customers")), F.lit(0)).alias("unique_customers"),
+        F.coalesce(F.sum(F.bit_count("customers")), F.lit(0)).alias("unique_customers"),
         F.coalesce(F.sum("transactions"), F.lit(0)).alias("transactions"),
         F.coalesce(F.sum("category_lines"), F.lit(0)).alias("category_lines"),
     )
@@ -47,12 +49,12 @@ def counted_ranges(cube: DataFrame, ranges: DataFrame) -> DataFrame:
     inside = F.col("date").between(F.col("start_date"), F.col("end_date"))
     inside &= F.col("wanted_store").isNull() | (F.col("wanted_store") == F.col("store_id"))
     buckets = cube.join(wanted, "year_month").filter(inside).groupBy("range_id", "bucket").agg(
-        F.bitmap_or_agg("customers").alias("customers"),
+        F.bit_or("customers").alias("customers"),
         F.sum("transactions").alias("transactions"),
         F.sum("category_lines").alias("category_lines"),
     )
     found = buckets.groupBy("range_id").agg(
-        F.sum(F.bitmap_count("customers")).alias("unique_customers"),
+        F.sum(F.bit_count("customers")).alias("unique_customers"),
         F.sum("transactions").alias("transactions"),
         F.sum("category_lines").alias("category_lines"),
     )
