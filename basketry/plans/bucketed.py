@@ -10,11 +10,20 @@ from pyspark.sql import DataFrame, SparkSession
 from basketry.session import fresh_path
 
 
+# The rows that one task should read, and the buckets of a small table.
+BUCKET_ROWS, LEAST_BUCKETS = 200_000, 8
+
+
+def buckets_for(rows: int) -> int:
+    """Buckets for a table of so many rows: a power of two, so that tables of other sizes can be joined with it."""
+    return max(LEAST_BUCKETS, 1 << (max(rows - 1, 0) // BUCKET_ROWS).bit_length())
+
+
 def write_by_customer(df: DataFrame, table: str, buckets: int, path: str | None = None) -> DataFrame:
     """Write a table with one file a bucket and return it as read from the catalog.
 
-    ``buckets`` is the number of tasks that will ever share the table's work: give it the table's bytes divided by
-    what one task should read, and the same number for every table that is to be joined with it.
+    ``buckets`` is the number of tasks that will ever share the table's work: ``buckets_for`` its rows, and the same
+    number for every table that is to be joined with it.
     """
     spark = df.sparkSession
     (

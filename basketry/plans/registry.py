@@ -37,8 +37,8 @@ FIRST_YEARS_UNTIL, LATER_YEARS = 1998, (1999, 2000, 2001)
 # Order in which years arrive where some are late, and the points of a scatter plot.
 ARRIVING_YEARS = (1995, 1996, 1998, 1997, 2000, 1999, 2001)
 SCATTER_POINTS = 500
-# Appends of the query over small files, and buckets of tables laid out by customer.
-SMALL_APPENDS, BUCKETS, FEW_STORES = 10, 8, 2
+# Appends of the query over small files, and stores of the queries over stored tables.
+SMALL_APPENDS, FEW_STORES = 10, 2
 
 # Reports that accept the date and store filter, each from a RetailTables.
 FILTERED_REPORTS: dict[str, Callable[..., DataFrame]] = {
@@ -189,8 +189,9 @@ def ruled_recommendations(t: RetailTables) -> DataFrame:
 
 def training_invariants(t: RetailTables) -> DataFrame:
     """What must hold of any training: every customer has a cluster, the nearest one, and k is the first best."""
-    result = segmentation(t)
-    scaled = features.scaled_features(staged(features.customer_features(t.baskets), "features"))
+    of_customers = staged(features.customer_features(staged(t.baskets, "baskets")), "features")
+    result = segments.train_segments(of_customers)
+    scaled = features.scaled_features(of_customers)
     vectors = scaled.select("customer_id", vector_to_array("scaled_features").alias("at"))
 
     def distance(centre) -> Column:
@@ -413,16 +414,20 @@ def compacted_partitions(t: RetailTables) -> DataFrame:
 
 
 def by_customer(t: RetailTables) -> DataFrame:
-    name = fresh_path(t.spark, "baskets").rsplit("/", 1)[1].replace("-", "_")
-    return bucketed.write_by_customer(t.baskets, name, BUCKETS)
+    baskets = staged(t.baskets, "baskets")
+    return bucketed.write_by_customer(baskets, table_name(t, "baskets"), bucketed.buckets_for(baskets.count()))
+
+
+def table_name(t: RetailTables, name: str) -> str:
+    return fresh_path(t.spark, name).rsplit("/", 1)[1].replace("-", "_")
 
 
 def bucketed_segments(t: RetailTables) -> DataFrame:
     """Features of customers joined with a table of clusters that is laid out alike."""
     baskets = by_customer(t)
-    name = fresh_path(t.spark, "clusters").rsplit("/", 1)[1].replace("-", "_")
+    buckets = bucketed.buckets_for(baskets.count())
     ruled = baskets.select("customer_id").distinct().withColumn("cluster", F.pmod("customer_id", F.lit(5)).cast("int"))
-    clusters = bucketed.write_by_customer(ruled, name, BUCKETS)
+    clusters = bucketed.write_by_customer(ruled, table_name(t, "clusters"), buckets)
     return features.customer_features(baskets).join(clusters, "customer_id")
 
 
