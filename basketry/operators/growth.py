@@ -26,12 +26,14 @@ def weighted(baskets: DataFrame) -> DataFrame:
 
 def counted(held: DataFrame, sets: DataFrame) -> DataFrame:
     """(items, freq) of those ``sets`` that occur; their items are sorted.  ``held`` should be a stored table."""
-    longest = sets.agg(F.max(F.size("items"))).first()[0] or 0
+    lengths = {row[0] for row in sets.select(F.size("items")).distinct().collect()}
     rows = held.select(F.slice("held", 1, 0).alias("items"), F.col("held").alias("rest"), "weight")
     found = held.sparkSession.createDataFrame([], sets.select("items", F.lit(0).cast("bigint").alias("freq")).schema)
-    for length in range(1, longest + 1):
+    for length in range(1, max(lengths, default=0) + 1):
         begun = sets.filter(F.size("items") >= length).select(F.slice("items", 1, length).alias("items")).distinct()
         rows = grown(rows).join(begun, "items", "left_semi")
+        if length not in lengths:
+            continue
         whole = rows.join(sets.filter(F.size("items") == length), "items", "left_semi")
         found = found.unionByName(whole.groupBy("items").agg(F.sum("weight").alias("freq")))
     return found

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from basketry.operators import customer_state, distinct_cube, itemsets, rules
 from basketry.plans.ingest import Store
 from basketry.schemas import BASKETS, PARTITION_COLUMNS, RECEIPT_KEY
+from basketry.session import staged
 from basketry.sources import readers, writers
 from basketry.streaming import incremental
 
@@ -87,7 +88,9 @@ def load_and_follow(
         state, loads, _ = known
         removed = spark.read.schema(BASKETS).parquet(replaced)
         everything = readers.read_baskets(spark, store.baskets)
-        state = itemsets.updated(state, baskets(), everything, removed)
+        # Read several times over.
+        added = staged(baskets().select("categories"), "added")
+        state = itemsets.updated(state, added, everything, removed)
         writers.write_table(itemsets.rules_of(state, min_confidence), store.rules)
         write_itemsets(spark, store, state, loads + 1, load)
     return months

@@ -72,9 +72,8 @@ def merge_batch(
             mode="append",
             measures={"lines": F.count(F.lit(1))},
         )
-        partitions = new.select(*PARTITION_COLUMNS).distinct()
-        rebuilt = stored_lines().join(partitions, PARTITION_COLUMNS, "left_semi")
-        writers.write_partitioned(prepare.build_baskets(rebuilt), store.baskets)
+        # Just the named partitions are read, so nothing is left to be filtered.
+        writers.write_partitioned(prepare.build_baskets(stored_lines()), store.baskets)
         return added["lines"]
     finally:
         new.unpersist()

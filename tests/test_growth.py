@@ -38,3 +38,11 @@ def test_no_basket_is_shuffled_to_be_counted(spark, plan_of):
     sets = spark.createDataFrame([([1, 2],)], "items array<bigint>")
     sent = [line for line in plan_of(growth.counted(baskets, sets)).split("\n") if "hashpartitioning" in line]
     assert sent and not any("held" in line or "rest" in line for line in sent)
+
+
+def test_sets_of_one_length_are_counted_in_one_pass(spark, plan_of):
+    baskets = spark.createDataFrame([([1, 2, 3],)], "held array<bigint>").selectExpr("held", "1L AS weight")
+    sets = spark.createDataFrame([([1, 2, 3],)], "items array<bigint>")
+    found = growth.counted(baskets, sets)
+    assert len([line for line in plan_of(found, "simple").split("\n") if "Generate posexplode" in line]) == 3
+    assert as_counts(found) == {(1, 2, 3): 1}

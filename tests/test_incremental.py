@@ -179,3 +179,16 @@ def test_stream_with_state_writes_one_file_for_a_small_partition(spark, categori
     path = str(tmp_path / "lines")
     incremental.start_deduplicated_lines(stream, categories, path, str(tmp_path / "checkpoint")).awaitTermination()
     assert len(glob.glob(f"{path}/**/store_id=1/year_month=2013-08/*.parquet", recursive=True)) == 1
+
+
+def test_months_of_the_same_stores_are_one_scan(spark, tmp_path, plan_of):
+    path, schema = str(tmp_path / "table"), "n bigint, store_id bigint, year_month string"
+    rows = [(k, store, month) for k, (store, month) in enumerate((s, f"2020-0{m}") for s in (1, 2, 3) for m in range(1, 7))]
+    spark.createDataFrame(rows, schema).write.partitionBy("store_id", "year_month").parquet(path)
+    struct = spark.createDataFrame([], schema).schema
+    named = [(s, f"2020-0{m}") for s in (1, 3) for m in range(1, 6)] + [(2, "2020-06"), (1, "2021-01"), (9, "2020-02")]
+    found = readers.read_partitions(spark, path, struct, named)
+    assert sorted(tuple(r) for r in found.collect()) == [r for r in rows if r[1:] in named]
+    whole = readers.read_partitions(spark, path, struct, [(s, f"2020-0{m}") for s in (1, 3) for m in range(1, 7)])
+    assert len([line for line in plan_of(whole, "simple").split("\n") if "FileScan" in line]) == 1
+    assert readers.read_partitions(spark, path, struct, [(7, "2020-01")]).collect() == []
