@@ -31,11 +31,17 @@ def met_sets(holders: DataFrame, sets: DataFrame, popularity: DataFrame | None =
     return items.join(by_rarest_item(sets, popularity), "item").select("holder", "number", "items")
 
 
-def held_sets(holders: DataFrame, sets: DataFrame, popularity: DataFrame | None = None) -> DataFrame:
+def held_sets(holders: DataFrame, sets: DataFrame, popularity: DataFrame | None = None, few: bool = False) -> DataFrame:
     """(holder, number) for every set that lies whole inside what a holder has.
 
-    A set of one item is held where it is met; all others are compared.
+    A set of one item is held where it is met; all others are compared.  ``few`` sets are broadcast, and then
+    holders stay where they are.
     """
+    if few:
+        popularity = holders_of_items(holders) if popularity is None else popularity
+        items = holders.select("holder", "held", F.explode("held").alias("item"))
+        met = items.join(F.broadcast(by_rarest_item(sets, popularity)), "item")
+        return met.filter(whole("items", "held")).select("holder", "number")
     met = met_sets(holders, sets, popularity)
     return met.join(holders, "holder").filter(whole("items", "held")).select("holder", "number")
 

@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 
 from basketry.session import staged
 
+# Items of all sets together up to which sets are broadcast.
+BROADCAST_ITEMS = 1_000_000
+
 
 def weighted(baskets: DataFrame) -> DataFrame:
     """(held, weight): the sorted sets of categories and how many baskets have them."""
@@ -26,22 +29,26 @@ def weighted(baskets: DataFrame) -> DataFrame:
 
 def counted(held: DataFrame, sets: DataFrame) -> DataFrame:
     """(items, freq) of those ``sets`` that occur; their items are sorted.  ``held`` should be a stored table."""
-    lengths = {row[0] for row in sets.select(F.size("items")).distinct().collect()}
+    lengths = {row[0]: row[1] for row in sets.groupBy(F.size("items")).count().collect()}
+    # Where sets are few, the rows of all baskets stay where they are, whatever Spark's own threshold is.
+    sent = F.broadcast if sum(n * size for size, n in lengths.items()) <= BROADCAST_ITEMS else lambda table: table
     rows = held.select(F.slice("held", 1, 0).alias("items"), F.col("held").alias("rest"), "weight")
     found = held.sparkSession.createDataFrame([], sets.select("items", F.lit(0).cast("bigint").alias("freq")).schema)
     for length in range(1, max(lengths, default=0) + 1):
         begun = sets.filter(F.size("items") >= length).select(F.slice("items", 1, length).alias("items")).distinct()
-        rows = grown(rows).join(begun, "items", "left_semi")
+        still = min(size for size in lengths if size >= length) - length
+        rows = grown(rows, still).join(sent(begun), "items", "left_semi")
         if length not in lengths:
             continue
-        whole = rows.join(sets.filter(F.size("items") == length), "items", "left_semi")
+        whole = rows.join(sent(sets.filter(F.size("items") == length)), "items", "left_semi")
         found = found.unionByName(whole.groupBy("items").agg(F.sum("weight").alias("freq")))
     return found
 
 
-def grown(rows: DataFrame) -> DataFrame:
-    """(items, rest, weight) with one more item, once for each of the rest."""
-    each = rows.select("items", "rest", "weight", F.posexplode("rest").alias("place", "item"))
+def grown(rows: DataFrame, still: int) -> DataFrame:
+    """(items, rest, weight) with one more item, once for each of the rest that leaves ``still`` items or more."""
+    enough = F.slice("rest", F.lit(1), F.greatest(F.size("rest") - still, F.lit(0)))
+    each = rows.select("items", "rest", "weight", F.posexplode(enough).alias("place", "item"))
     return each.select(
         F.concat("items", F.array("item")).alias("items"),
         F.slice("rest", F.col("place") + 2, F.size("rest")).alias("rest"),

@@ -9,6 +9,7 @@ from basketry.functions.arrays import is_subset
 from basketry.functions.labels import lift_tier
 from basketry.functions.stats import rounded
 from basketry.operators import containment, growth
+from basketry.session import staged
 
 # Mining thresholds and list lengths.
 MIN_SUPPORT = 0.01
@@ -16,6 +17,8 @@ MIN_CONFIDENCE = 0.3
 RULES_PER_KEY = 10
 TOP_RULES = 20
 PRODUCTS_SHOWN = 50
+# Rules up to this number are broadcast.
+BROADCAST_RULES = 50_000
 
 
 @dataclass(frozen=True)
@@ -160,29 +163,46 @@ def rules_for_customers(
     The numbers of what a history holds whole are put in order and cut inside
     its row, and a rule's sides are fetched for the few that remain.
     """
-    keyed = bought.withColumn("history", F.sha2(F.array_join("bought", ","), 256))
+    keyed = with_history(bought)
+    return keyed.join(rules_for_histories(keyed, rules, limit), "history").drop("history")
+
+
+def with_history(bought: DataFrame) -> DataFrame:
+    """``bought`` (customer_id, bought) with a hash that customers with the same history share."""
+    return bought.withColumn("history", F.sha2(F.array_join("bought", ","), 256))
+
+
+def rules_for_histories(keyed: DataFrame, rules: DataFrame, limit: int) -> DataFrame:
+    """The best ``limit`` rules of every history, with their rank.
+
+    Rules of up to ``BROADCAST_RULES`` are broadcast, whatever Spark's own threshold is: then nothing but the
+    histories is shuffled.
+    """
     histories = keyed.groupBy("history").agg(F.first("bought").alias("bought"))
     numbered = best_per_antecedent(rules, limit).withColumn(
         "position", F.row_number().over(Window.orderBy(*by_lift()))
     )
+    numbered = staged(numbered, "numbered")
+    few = numbered.count() <= BROADCAST_RULES
+    sent = F.broadcast if few else lambda table: table
     antecedents = numbered.groupBy("antecedent").agg(
         F.min("position").alias("number"), F.collect_list("position").alias("positions")
     )
     applying = containment.held_sets(
         histories.select(F.col("history").alias("holder"), F.col("bought").alias("held")),
         antecedents.select("number", F.col("antecedent").alias("items")),
+        few=few,
     )
     in_order = F.array_sort(F.flatten(F.collect_list("positions")))
-    best = (
-        applying.join(antecedents.select("number", "positions"), "number")
+    return (
+        applying.join(sent(antecedents.select("number", "positions")), "number")
         .groupBy(F.col("holder").alias("history"))
         .agg(F.slice(in_order, 1, limit).alias("positions"))
         .select("history", F.posexplode("positions").alias("rank", "position"))
         .withColumn("rank", (F.col("rank") + 1).cast("bigint"))
-        .join(numbered, "position")
+        .join(sent(numbered), "position")
         .drop("position")
     )
-    return keyed.join(best, "history").drop("history")
 
 
 def best_per_antecedent(rules: DataFrame, limit: int) -> DataFrame:
@@ -218,13 +238,11 @@ def recommend(
         )
     )
     suggested = F.array_sort(F.array_distinct(F.flatten(F.collect_list("consequent"))))
-    result = (
-        rules_for_customers(bought_categories(baskets, since), rules, limit)
-        .groupBy("customer_id")
-        .agg(
-            F.array_except(suggested, F.first("bought")).alias("recommended_categories"),
-            used.alias("rules_used"),
-        )
+    keyed = with_history(bought_categories(baskets, since))
+    # A history's list is made once, before customers are joined to it.
+    lists = rules_for_histories(keyed, rules, limit).groupBy("history")
+    result = keyed.join(lists.agg(suggested.alias("suggested"), used.alias("rules_used")), "history").select(
+        "customer_id", F.array_except("suggested", "bought").alias("recommended_categories"), "rules_used"
     )
     if clusters is None:
         return result

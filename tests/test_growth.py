@@ -46,3 +46,15 @@ def test_sets_of_one_length_are_counted_in_one_pass(spark, plan_of):
     found = growth.counted(baskets, sets)
     assert len([line for line in plan_of(found, "simple").split("\n") if "Generate posexplode" in line]) == 3
     assert as_counts(found) == {(1, 2, 3): 1}
+
+
+def test_baskets_stay_where_they_are_whatever_spark_broadcasts(spark, plan_of):
+    baskets = spark.createDataFrame([([1, 2, 3],), ([2, 3],)], "held array<bigint>").selectExpr("held", "1L AS weight")
+    sets = spark.createDataFrame([([1, 2, 3],), ([2, 3],), ([1, 4],)], "items array<bigint>")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = growth.counted(baskets, sets)
+        assert "SortMergeJoin" not in plan_of(found, "simple")
+        assert as_counts(found) == {(1, 2, 3): 1, (2, 3): 2}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

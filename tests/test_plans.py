@@ -115,6 +115,26 @@ def test_customers_are_shuffled_once_for_all_rules(spark, plan_of, tmp_path):
     assert not re.search(r"Window(GroupLimit)? .*(history|holder)#", plan)
 
 
+def test_histories_stay_where_they_are_whatever_spark_broadcasts(spark, plan_of, monkeypatch):
+    bought = spark.createDataFrame([(1, [1, 2]), (2, [1]), (None, [1]), (3, [3])], "customer_id bigint, bought array<bigint>")
+    found = spark.createDataFrame(
+        [([1], [2], 0.5, 1.2, 0.1), ([1, 2], [3], 0.5, 1.1, 0.1)],
+        "antecedent array<bigint>, consequent array<bigint>, confidence double, lift double, support double",
+    )
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        used = rules.rules_for_customers(bought, found)
+        assert not [e for e in exchanges(plan_of(used, "simple")) if "position" in e]
+        few = {(r["customer_id"], r["rank"], *r["antecedent"]) for r in used.collect()}
+        monkeypatch.setattr(rules, "BROADCAST_RULES", 0)
+        many = rules.rules_for_customers(bought, found)
+        assert [e for e in exchanges(plan_of(many, "simple")) if "position" in e]
+        assert few == {(r["customer_id"], r["rank"], *r["antecedent"]) for r in many.collect()}
+        assert few == {(1, 1, 1), (1, 2, 1, 2), (2, 1, 1), (None, 1, 1)}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_no_python_and_no_cartesian_product(stored, categories, plan_of, spark):
     lines, baskets = stored
     table = spark.createDataFrame(
