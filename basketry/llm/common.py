@@ -31,6 +31,12 @@ class WordHashes(dict):
         return value
 
 
+class SomeHashes(WordHashes):
+    """Two tasks of an executor remember words beside the arrays that they sort."""
+
+    ROOM = 400_000
+
+
 def n_words(text: Column) -> Column:
     """Number of words of a text; null counts as empty."""
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD_PATTERN)).cast("bigint")

@@ -2,9 +2,15 @@
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+# Texts that a Python task gets at a time.
+BATCH_TEXTS = 1_000
+
 
 def shared_folder(spark: SparkSession) -> str:
     """Folder all executors can reach, as named by ``spark.checkpoint.dir``.
@@ -38,3 +44,25 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """What runs meanwhile gets its rows in small Arrow batches, or in smaller ones if the session says so.
+
+    Ten thousand texts, as Spark deals them out, are held several times over: in the executor outside its heap, in
+    the Python task as they came, and there again as the strings and words made from them.
+    """
+    before = spark.conf.get(BATCH_KEY)
+    if not 0 < int(before) <= BATCH_TEXTS:
+        spark.conf.set(BATCH_KEY, str(BATCH_TEXTS))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_KEY, before)
+
+
+def staged_texts(df: DataFrame, name: str) -> DataFrame:
+    """As ``staged``, of what Python tasks make from texts or from lists as long as texts."""
+    with small_batches(df.sparkSession):
+        return staged(df, name)

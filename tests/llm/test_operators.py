@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from hypothesis import given, settings
@@ -20,6 +21,7 @@ from basketry.llm import (
     weak_quality,
 )
 from basketry.llm.queries import URL_RULES, VOCABULARY
+from basketry import session
 
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
@@ -625,3 +627,48 @@ def test_markup_inside_the_article():
     page = "<body class='no-sidebar'><div class='with-sidebar'><article><div class='post-header'><h1>T</h1></div><p>a</div></article>"
     assert html_blocks.main_text(page)[0] == "T\na"
     assert html_blocks.main_text("<main><p>a<div id='comments'><article><p>b</article></div></main>")[0] == "a"
+
+
+# What tasks hold of texts
+
+
+def test_tasks_get_texts_in_small_batches(spark):
+    docs = make(spark, ["a word"] * (2 * session.BATCH_TEXTS)).coalesce(1)
+
+    def rows(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"doc_id": [batch.num_rows]})
+
+    def sizes():
+        return docs.select("doc_id", "text").mapInArrow(rows, "doc_id bigint")
+
+    before = spark.conf.get(session.BATCH_KEY)
+    assert max(r[0] for r in session.staged_texts(sizes(), "sizes").collect()) <= session.BATCH_TEXTS
+    assert spark.conf.get(session.BATCH_KEY) == before
+    spark.conf.set(session.BATCH_KEY, "70")
+    try:
+        assert max(r[0] for r in session.staged_texts(sizes(), "sizes").collect()) <= 70
+        with pytest.raises(ZeroDivisionError), session.small_batches(spark):
+            raise ZeroDivisionError
+        assert spark.conf.get(session.BATCH_KEY) == "70"
+    finally:
+        spark.conf.set(session.BATCH_KEY, before)
+
+
+@pytest.mark.parametrize(
+    "operator, module, steps",
+    [
+        (perplexity.quality, perplexity, {"words", "ngrams", "scored"}),
+    ],
+)
+def test_steps_over_texts_use_small_batches(spark, monkeypatch, operator, module, steps):
+    seen, write = {}, session.staged
+
+    def noted(df, name):
+        seen.setdefault(name, set()).add(int(spark.conf.get(session.BATCH_KEY)))
+        return write(df, name)
+
+    monkeypatch.setattr(session, "staged", noted)
+    monkeypatch.setattr(module, "staged", noted)
+    operator(make(spark, prose(random.Random(4), [60] * 20))).collect()
+    assert all(max(seen[name]) <= session.BATCH_TEXTS for name in steps)
