@@ -35,8 +35,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from basketry.llm.common import WordHashes, opened, ship, utf8
-from basketry.session import staged
+from basketry.llm.common import SomeHashes, WordHashes, opened, ship, utf8
+from basketry.session import small_batches, staged, staged_texts
 
 MIX_A, MIX_B, MIX_C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 CLASS_BITS = np.uint64(56)
@@ -110,7 +110,7 @@ def token_classes(docs: DataFrame, settings: Settings) -> list[np.ndarray]:
     cells = int(ends[-1])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory, total = WordHashes(), np.zeros(cells, np.int32)
+        memory, total = SomeHashes(), np.zeros(cells, np.int32)
         held: list[np.ndarray] = []
         size = 0
 
@@ -151,8 +151,9 @@ def token_classes(docs: DataFrame, settings: Settings) -> list[np.ndarray]:
     schema = "block bigint, counts binary"
     found = docs.select("text").mapInArrow(count, schema).repartition("block").mapInArrow(merge, schema)
     loads = np.zeros((cells // width, width), np.int32)
-    for row in found.toLocalIterator():  # one row a block
-        loads[row["block"]] = np.frombuffer(row["counts"], np.int32)
+    with small_batches(docs.sparkSession):
+        for row in found.toLocalIterator():  # one row a block
+            loads[row["block"]] = np.frombuffer(row["counts"], np.int32)
     classes = []
     for k in range(settings.orders):
         of_order = loads.reshape(-1)[ends[k] : ends[k + 1]]
@@ -168,7 +169,7 @@ def nodes_of(docs: DataFrame, classes, settings: Settings) -> DataFrame:
     """doc_id, node (hash of the set, null if empty), n, and the set's prefix under the first order."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory, table = WordHashes(), opened(classes)
+        memory, table = SomeHashes(), opened(classes)
         for batch in batches:
             nodes, sizes, prefixes = [], [], []
             for text in utf8(batch, "text"):
@@ -252,7 +253,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, settings: Settings) -> DataFrame
     shipped = ship(docs.sparkSession, bits)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memory, allowed = WordHashes(), opened(shipped)
+        memory, allowed = SomeHashes(), opened(shipped)
         for batch in batches:
             at = batch.column("spot").to_numpy()
             chosen = np.flatnonzero(allowed[at >> 3] >> (at & 7).astype(np.uint8) & 1)
@@ -456,7 +457,7 @@ def linked_components(docs: DataFrame, settings: Settings = Settings()) -> DataF
     """
     spark = docs.sparkSession
     classes = ship(spark, token_classes(docs, settings))
-    known = staged(nodes_of(docs, classes, settings), "nodes")
+    known = staged_texts(nodes_of(docs, classes, settings), "nodes")
     # One document stands for all with the same set.
     stand_in = known.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     posted = staged(meeting(postings(known.filter("node is not null")), settings), "posted")
@@ -465,10 +466,10 @@ def linked_components(docs: DataFrame, settings: Settings = Settings()) -> DataF
     large = posted.filter(F.col("size") > settings.small)
     candidates = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(large.select("node")).distinct()
     wanted = staged(stand_in.join(candidates, "node", "left_semi"), "wanted")
-    sets = staged(sets_of(docs, wanted, settings), "sets")
+    sets = staged_texts(sets_of(docs, wanted, settings), "sets")
     others, left = [], sets
     for order in range(1, settings.orders):
-        others.append(staged(meeting(postings(with_prefix(left, classes, order, settings)), settings), "posted"))
+        others.append(staged_texts(meeting(postings(with_prefix(left, classes, order, settings)), settings), "posted"))
         left = left.join(others[-1].select("node").distinct(), "node", "left_semi")
     survivors = others[-1].select("node").distinct() if others else sets.select("node")
     large = staged(large.join(survivors, "node", "left_semi"), "large")

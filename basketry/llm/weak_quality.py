@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from basketry.llm.common import opened, ship, utf8
 from basketry.llm.html_blocks import STOP_WORDS
-from basketry.session import staged
+from basketry.session import staged_texts
 
 GOOD, BAD, ABSTAIN = 1, 0, 2
 SHORT = 5  # words, below which nothing can be said
@@ -222,7 +222,7 @@ def quality(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     their posterior and score are the share of good documents.  Repeated rows get equal scores; an empty table gives no
     rows; other columns are not read.  Nothing but the text enters a score.
     """
-    found = staged(described(docs, settings), "described")
+    found = staged_texts(described(docs, settings), "described")
     counted = found.groupBy("pattern").agg(F.count("*").alias("n")).orderBy("pattern").toArrow()
     patterns, counts = counted["pattern"].to_numpy(), counted["n"].to_numpy().astype(float)
     posterior, _ = label_model(patterns, counts, settings.iterations)

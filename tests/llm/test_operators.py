@@ -659,6 +659,8 @@ def test_tasks_get_texts_in_small_batches(spark):
     "operator, module, steps",
     [
         (perplexity.quality, perplexity, {"words", "ngrams", "scored"}),
+        (jaccard_join.linked_components, jaccard_join, {"nodes", "sets"}),
+        (weak_quality.quality, weak_quality, {"described"}),
     ],
 )
 def test_steps_over_texts_use_small_batches(spark, monkeypatch, operator, module, steps):
@@ -669,6 +671,6 @@ def test_steps_over_texts_use_small_batches(spark, monkeypatch, operator, module
         return write(df, name)
 
     monkeypatch.setattr(session, "staged", noted)
-    monkeypatch.setattr(module, "staged", noted)
+    monkeypatch.setattr(module, "staged", noted, raising=False)
     operator(make(spark, prose(random.Random(4), [60] * 20))).collect()
     assert all(max(seen[name]) <= session.BATCH_TEXTS for name in steps)
