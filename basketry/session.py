@@ -8,6 +8,8 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+# Whether a query's shuffle files go when it ends, and not only when the driver collects its garbage.
+CLEANUP_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 # Texts that a Python task gets at a time.
 BATCH_TEXTS = 1_000
 
@@ -38,14 +40,30 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and go on from the written table.
 
     Iterative training reads its input a hundred times; from a written table a
-    lost executor costs one re-read, not the whole job that made the table.
+    lost executor costs one re-read, not the whole job that made the table.  What
+    was shuffled for it is of no more use then and goes from the disks.
     """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    with setting(spark, CLEANUP_KEY, "true"):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """The setting has this value meanwhile, and then its own again."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 @contextmanager
 def small_batches(spark: SparkSession) -> Iterator[None]:
     """What runs meanwhile gets its rows in small Arrow batches, or in smaller ones if the session says so.
@@ -53,13 +71,9 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
     Ten thousand texts, as Spark deals them out, are held several times over: in the executor outside its heap, in
     the Python task as they came, and there again as the strings and words made from them.
     """
-    before = spark.conf.get(BATCH_KEY)
-    if not 0 < int(before) <= BATCH_TEXTS:
-        spark.conf.set(BATCH_KEY, str(BATCH_TEXTS))
-    try:
+    before = int(spark.conf.get(BATCH_KEY))
+    with setting(spark, BATCH_KEY, str(before if 0 < before <= BATCH_TEXTS else BATCH_TEXTS)):
         yield
-    finally:
-        spark.conf.set(BATCH_KEY, before)
 
 
 def staged_texts(df: DataFrame, name: str) -> DataFrame:

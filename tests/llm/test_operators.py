@@ -378,6 +378,15 @@ def test_joined_model_scores_as_the_broadcast_one(spark):
         assert r["log_perplexity"] is None or abs(r["log_perplexity"] - joined[i]["log_perplexity"]) < 1e-5
 
 
+def test_a_staged_tables_shuffle_files_go(spark, monkeypatch):
+    seen = []
+    write = type(spark.range(0).write).parquet
+    monkeypatch.setattr(type(spark.range(0).write), "parquet", lambda *a, **b: (seen.append(spark.conf.get(session.CLEANUP_KEY)), write(*a, **b))[1])
+    before = spark.conf.get(session.CLEANUP_KEY)
+    assert session.staged(spark.range(9).groupBy((F.col("id") % 2).alias("k")).count(), "few").count() == 2
+    assert seen == ["true"] and spark.conf.get(session.CLEANUP_KEY) == before
+
+
 # Weak labels
 
 
